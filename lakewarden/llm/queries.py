@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakewarden.llm import packing
+from lakewarden.llm import langid, packing
 
 
 def tokenizer_path(name: str) -> str:
@@ -15,13 +15,18 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return langid.identify(docs, tokenizer_path("piece_bpe_32k.model"))
+
+
 def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_mixture_packing": op4_mixture_packing}
+    return {"op1_language_id": op1_language_id, "op4_mixture_packing": op4_mixture_packing}
 
 
 def oracle_sql() -> dict[str, str]:
