@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakewarden.llm import langid, packing
+from lakewarden.llm import langid, packing, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -25,8 +25,13 @@ def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return toxicity.rate(docs, labels)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_id": op1_language_id, "op4_mixture_packing": op4_mixture_packing}
+    return {"op1_language_id": op1_language_id, "op4_mixture_packing": op4_mixture_packing, "op5_toxicity": op5_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
