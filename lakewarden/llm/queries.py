@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakewarden.llm import langid, packing, toxicity
+from lakewarden.llm import langid, packing, secrets, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -20,6 +20,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, tokenizer_path("piece_bpe_32k.model"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
@@ -31,7 +35,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_id": op1_language_id, "op4_mixture_packing": op4_mixture_packing, "op5_toxicity": op5_toxicity}
+    return {"op1_language_id": op1_language_id, "op3_secrets": op3_secrets, "op4_mixture_packing": op4_mixture_packing, "op5_toxicity": op5_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
