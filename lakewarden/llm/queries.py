@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakewarden.llm import langid, packing, secrets, toxicity
+from lakewarden.llm import langid, neardup, packing, secrets, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -34,8 +34,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rate(docs, labels)
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.link(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_id": op1_language_id, "op3_secrets": op3_secrets, "op4_mixture_packing": op4_mixture_packing, "op5_toxicity": op5_toxicity}
+    return {"op1_language_id": op1_language_id, "op3_secrets": op3_secrets, "op4_mixture_packing": op4_mixture_packing, "op5_toxicity": op5_toxicity, "op10_minhash_near_dedup": op10_minhash_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
