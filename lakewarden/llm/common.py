@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Characters of text that one step inside a task holds as Python words.
 CHUNK_CHARS = 1 << 20
 #: Distinct words that a Python worker remembers before it starts afresh.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 300_000
 
 
 def shared_dir(spark: SparkSession) -> str:

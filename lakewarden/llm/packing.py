@@ -33,32 +33,78 @@ MAX_QUEUES = 1024
 END_ID = 1
 
 
-class WordTokens(WordCodes):
-    """Token ids of words. The tokenizer drops white space and no token crosses it, so the ids of a text are those of its words."""
+def lowered(text: str) -> str:
+    """The text in lower case where that is sure to be what the tokenizer does itself; it makes more words equal."""
+    if "<|" in text:  # may be a special token, which is told by its case
+        return text
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
+#: Marks that end a word; after letters each is a token of its own.
+MARKS = frozenset(".,!?;:")
+
+
+class StemTokens(WordCodes):
+    """Token ids of words, straight from the tokenizer."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
         self.ids, self.starts, self.lengths = (np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
+    def keep(self, ids: list[np.ndarray], counts: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
+        self.lengths = np.concatenate([self.lengths, counts])
+        self.ids = np.concatenate([self.ids, *ids])
+
     def learn(self, words: list[str]) -> None:
         lengths, ids = [], []
         for low, high in chunks(words, 1 << 16):
             part = words[low:high]
-            begins = np.cumsum([0, *(len(w) + 1 for w in part)])
             done = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             ids.append(np.array(done.ids, np.uint32))
-            at = np.fromiter((a for a, _ in done.offsets), np.int64, len(done.ids))
-            lengths.append(np.bincount(np.searchsorted(begins, at, "right") - 1, minlength=len(part)))
-        counts = np.concatenate(lengths)
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
-        self.lengths = np.concatenate([self.lengths, counts])
-        self.ids = np.concatenate([self.ids, *ids])
+            lengths.append(self.counts(part, done, ids[-1]))
+        self.keep(ids, np.concatenate(lengths))
+
+    def counts(self, part: list[str], done, ids: np.ndarray) -> np.ndarray:
+        """How many of the ids each word has."""
+        ends = np.flatnonzero(self.last[ids])
+        if len(ends) == len(part) and all(map(str.isalpha, part)):  # one token of each word ends it
+            return np.diff(ends, prepend=-1)
+        begins = np.cumsum([0, *(len(w) + 1 for w in part)])
+        at = np.fromiter((a for a, _ in done.offsets), np.int64, len(ids))
+        return np.bincount(np.searchsorted(begins, at, "right") - 1, minlength=len(part))
+
+
+class WordTokens(StemTokens):
+    """Token ids of words and texts. The tokenizer drops white space and no token crosses it, so the ids of a text are those of its words; those of letters with a mark are the letters' and the mark's."""
+
+    def __init__(self, path: str) -> None:
+        super().__init__(path)
+        self.stems = StemTokens(path)
+
+    def learn(self, words: list[str]) -> None:
+        marked = [w[-1:] in MARKS and w[:-1].isalpha() for w in words]
+        both = [x for w, m in zip(words, marked, strict=True) for x in ((w[:-1], w[-1:]) if m else (w, ""))]
+        self.stems.of(sorted(set(both), key=str.isalpha))  # letters apart from the rest, which takes another way
+        codes = self.stems.of(both)
+        lengths = self.stems.lengths[codes]
+        self.keep([self.stems.ids[ragged(self.stems.starts[codes], lengths)]], lengths.reshape(-1, 2).sum(axis=1))
+
+    def id_type(self) -> str:
+        return "<u2" if len(self.last) <= 1 << 16 else "<u4"
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
@@ -66,8 +112,7 @@ class WordTokens(WordCodes):
         for low, high in chunks(texts):
             words, counts = [], []
             for text in texts[low:high]:
-                if text.isascii() and "<|" not in text:
-                    text = text.lower()
+                text = lowered(text)
                 own = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
                 words += own
                 counts.append(len(own))
@@ -90,13 +135,14 @@ def encoder(path: str) -> WordTokens:
 
 
 def tokenize(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """(doc_id, queue, part, n, ids): ids are little-endian unsigned 32-bit numbers and end with END_ID."""
+    """(doc_id, queue, part, n, ids): ids are little-endian unsigned numbers of id_type and end with END_ID."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(tokenizer)
+        kind_of_ids = words.id_type()
         for batch in batches:
             texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
-            ids = [np.append(x, END_ID).astype("<u4") for x in words.encode(texts)]
+            ids = [np.append(x, END_ID).astype(kind_of_ids) for x in words.encode(texts)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("queue"), batch.column("part"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
                 names=["doc_id", "queue", "part", "n", "ids"],
@@ -197,6 +243,7 @@ def pack(docs: DataFrame, tokenizer: str, *, length: int = 2048, window_sequence
             owner, out = [], []
             columns = (batch.column(c).to_pylist() for c in ("queue", "n", "ids", "at"))
             for i, (queue, n, ids, at) in enumerate(zip(*columns, strict=True)):
+                wide = np.frombuffer(ids, f"<u{len(ids) // n}").astype("<u4").tobytes()
                 for position, size, place in plan.pieces(number[queue], at, n):
                     done = 0
                     while done < size:
@@ -211,7 +258,7 @@ def pack(docs: DataFrame, tokenizer: str, *, length: int = 2048, window_sequence
                         take = min(size - done, stop - here)
                         start = position - at + done
                         owner.append(i)
-                        out.append((start, take, zlib.crc32(ids[4 * start : 4 * (start + take)]), n, sequence, offset))
+                        out.append((start, take, zlib.crc32(wide[4 * start : 4 * (start + take)]), n, sequence, offset))
                         done += take
             numbers = [pa.array(x, pa.int64()) for x in zip(*out, strict=True)] or [pa.array([], pa.int64())] * 6
             owners = pa.array(owner, pa.int64())
