@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakewarden.llm import langid, neardup, packing, secrets, toxicity
+from lakewarden.llm import langid, neardup, packing, secrets, topk, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -38,9 +38,30 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=2)
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP7_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
+    CAST(list_sum(list_transform(generate_series(1, len(a.q)), lambda i: a.q[i] * b.q[i])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+  WHERE a.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+WHERE rank <= 5
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_id": op1_language_id, "op3_secrets": op3_secrets, "op4_mixture_packing": op4_mixture_packing, "op5_toxicity": op5_toxicity, "op10_minhash_near_dedup": op10_minhash_near_dedup}
+    return {"op1_language_id": op1_language_id, "op3_secrets": op3_secrets, "op4_mixture_packing": op4_mixture_packing, "op5_toxicity": op5_toxicity, "op7_exact_top_k": op7_exact_top_k, "op10_minhash_near_dedup": op10_minhash_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_exact_top_k": OP7_SQL}
