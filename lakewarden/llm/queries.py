@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakewarden.llm import langid, neardup, packing, secrets, topk, toxicity
+from lakewarden.llm import langid, media, neardup, packing, quotes, sampling, secrets, topk, toxicity, warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -20,6 +20,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, tokenizer_path("piece_bpe_32k.model"))
 
 
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.documents_as_media(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -34,10 +38,25 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rate(docs, labels)
 
 
+def op8_quote_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return quotes.conversations(quotes.as_mail(turns))
+
+
+def op9_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return sampling.round_trip(docs, tokenizer_path("piece_bpe_32k.model"), seed=1)
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=2)
 
 
+def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return warc.derive(warc.responses(pages), ["page_id"])
+
+
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -60,7 +79,11 @@ WHERE rank <= 5
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_id": op1_language_id, "op3_secrets": op3_secrets, "op4_mixture_packing": op4_mixture_packing, "op5_toxicity": op5_toxicity, "op7_exact_top_k": op7_exact_top_k, "op10_minhash_near_dedup": op10_minhash_near_dedup}
+    ops = (
+        op1_language_id, op2_media_columns, op3_secrets, op4_mixture_packing, op5_toxicity, op6_warc_derivatives,
+        op7_exact_top_k, op8_quote_threads, op9_sampled_pieces, op10_minhash_near_dedup,
+    )
+    return {op.__name__: op for op in ops}
 
 
 def oracle_sql() -> dict[str, str]:
