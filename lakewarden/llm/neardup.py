@@ -256,3 +256,14 @@ def settle(buckets: DataFrame, shingles: DataFrame, labels: DataFrame, percent:
         if buckets.isEmpty():
             return labels
         turn += 1
+
+
+def deduplicate(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all columns, without those that are not their component's kept document; of rows with equal ids one stays, rows with a null id all stay."""
+    linked = link(docs, size=size, percent=percent).select("doc_id", "kept")
+    gone = stage_table(linked.filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    few = gone.count() <= MAX_BROADCAST_IDS
+    left = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    if docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").isEmpty():
+        return left
+    return left.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id is null"))
