@@ -39,7 +39,7 @@ def pack_blocks(rows: DataFrame, count: int) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id")
-        matrix = np.array(pdf["vector"].tolist(), np.float64).reshape(len(pdf), -1)
+        matrix = np.array(pdf["vector"].tolist(), np.float64).reshape(len(pdf), pdf["length"].iloc[0])
         out = {"block": pdf["block"].iloc[0], "length": pdf["length"].iloc[0], "ids": pdf["vec_id"].to_numpy(np.int64).tobytes(), "columns": np.ascontiguousarray(matrix.T).tobytes()}
         return pd.DataFrame([out])
 
@@ -111,9 +111,7 @@ def search(vectors: DataFrame, *, every: int = 50, k: int = 5, scale: int = 256)
             for i in range(batch.num_rows):
                 length, *data = (batch.column(c)[i].as_py() for c in range(5))
                 ids, query_ids = np.frombuffer(data[0], np.int64), np.frombuffer(data[2], np.int64)
-                columns, queries = np.frombuffer(data[1]).reshape(length, -1), np.frombuffer(data[3]).reshape(length, -1).T
-                if not length:
-                    columns, queries = np.zeros((0, len(ids))), np.zeros((len(query_ids), 0))
+                columns, queries = np.frombuffer(data[1]).reshape(length, len(ids)), np.frombuffer(data[3]).reshape(length, len(query_ids)).T
                 largest = float(np.abs(columns).max(initial=0) * np.abs(queries).max(initial=0) * max(1, length))
                 found = (best if largest < EXACT else exact_best)(queries, query_ids, columns, ids, k)
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
