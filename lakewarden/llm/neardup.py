@@ -4,10 +4,12 @@ A document's set of word shingles is hashed once; each bin keeps its smallest ha
 a bin drawn by its own sequence of hashes (optimal densification), the same for all documents. Bands of bins
 give buckets. Documents of equal sets are one class, and only its smallest id goes on. In each bucket the
 member that meets most others is the centre, and candidates are the edges from the members to it. Links are
-confirmed on full sets. A star alone could miss a link between two members that are both unlike the centre, so
-buckets that still hold more than one component go into further rounds, each with more centres, until every pair of
-different components within a bucket has been compared or joined; the number of pairs of a group of
-near copies thus stays that of a star. Components are found by hooking and pointer jumping over tables.
+confirmed on full sets. A star alone could miss a link between two members x and y that are both unlike the centre c, so
+members outside the centre's component are compared with the others once more. In groups of up to SMALL_GROUP members
+that is each pair of different components. In larger ones it is bounded exactly: x and y share at most |x & c| shingles
+of c, so to be linked they must share some outside c (found by joining the rarest of x's, as many as leave no
+way round) or y must be small enough for |x & c| to suffice. Near copies of one text thus do not meet in
+pairs. Components are found by hooking and pointer jumping over tables.
 
 With 40 bands of 6 bins, two sets at a similarity of 0.8 share no bucket with a probability of 5e-6.
 
@@ -32,8 +34,8 @@ BINS = BANDS * BINS_OF_BAND
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Ids of documents that have a candidate are broadcast up to this number (8 bytes each); beyond it they are joined by a shuffle.
 MAX_BROADCAST_IDS = 500_000
-#: Centres of each bucket in the first round and in each later one.
-CENTRES = (1, 16, 256, 4096)
+#: Members of a star's group whose pairs are compared as they are; larger groups go by shared shingles.
+SMALL_GROUP = 16
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -148,25 +150,47 @@ def sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, shingles binary")
 
 
-def confirm(edges: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
-    """The edges (a, b) whose full sets have 100 * intersection >= percent * union."""
+def joined_sets(edges: DataFrame, shingles: DataFrame) -> DataFrame:
+    """edges (a, b, ...) with set_a and set_b."""
     near = shingles.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
     far = shingles.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
+    return edges.join(near, "a").join(far, "b")
+
+
+def overlap(edges: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n_a, n_b, common, linked): set sizes, their intersection, and whether 100 * intersection >= percent * union."""
+    names = ["a", "b", "n_a", "n_b", "common", "linked"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column("set_a"), batch.column("set_b"), strict=True)):
+            rows = []
+            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) < len(y):
-                    x, y = y, x
-                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                common = int((x[at] == y).sum())
-                if 100 * common >= percent * (len(x) + len(y) - common):
-                    keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+                small, large = (x, y) if len(x) < len(y) else (y, x)
+                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+                common = int((large[at] == small).sum())
+                rows.append((len(x), len(y), common, 100 * common >= percent * (len(x) + len(y) - common)))
+            columns = [pa.array([r[i] for r in rows], pa.bool_() if i == 3 else pa.int64()) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *columns], names=names)
+
+    sets_of = joined_sets(edges.select("a", "b"), shingles).select("a", "b", "set_a", "set_b")
+    return sets_of.mapInArrow(run, "a bigint, b bigint, n_a bigint, n_b bigint, common bigint, linked boolean")
+
+
+def outside(members: DataFrame, shingles: DataFrame) -> DataFrame:
+    """(a, b, shingle): a row for each shingle of a that its centre b has not."""
 
-    return edges.select("a", "b").join(near, "a").join(far, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = []
+            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
+                own.append(np.setdiff1d(np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64), assume_unique=True))
+            at = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]), pa.int64())
+            values = pa.array(np.concatenate(own) if own else np.zeros(0, np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at), values], names=["a", "b", "shingle"])
+
+    sets_of = joined_sets(members.select("a", "b"), shingles).select("a", "b", "set_a", "set_b")
+    return sets_of.mapInArrow(run, "a bigint, b bigint, shingle bigint")
 
 
 def components(links: DataFrame, nodes: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -228,34 +252,45 @@ def link(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
 
 
 def settle(buckets: DataFrame, shingles: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Compares members with their buckets' centres, round by round, until each bucket is one component or all its pairs have been compared."""
-    turn, done = 0, 0
-    while True:
-        most = CENTRES[min(turn, len(CENTRES) - 1)] + done
-        placed = buckets.withColumn("rank", F.expr("row_number() over (partition by bucket order by degree desc, doc_id)"))
-        centres = placed.filter(F.col("rank") <= most)  # limited within each task before the shuffle
-        if done:
-            centres = centres.filter(F.col("rank") > done)
-        centres = centres.select("bucket", F.col("doc_id").alias("b"), F.col("degree").alias("degree_b"), F.col("n").alias("n_b"))
-        edges = buckets.join(centres, "bucket").filter(
-            "degree < degree_b or degree = degree_b and doc_id > b"
-        ).filter(f"100 * least(n, n_b) >= {percent} * greatest(n, n_b)")
-        edges = edges.select(F.col("doc_id").alias("a"), "b").distinct()
-        if turn:  # pairs within a component need no comparison
-            of_a, of_b = labels.select(F.col("doc_id").alias("a"), F.col("component").alias("of_a")), labels.select(F.col("doc_id").alias("b"), F.col("component").alias("of_b"))
-            edges = edges.join(of_a, "a").join(of_b, "b").filter("of_a <> of_b")
-        links = stage_table(confirm(edges, shingles, percent), "links")
-        labels = components(links, labels, labels if turn else None)
-
-        # Only buckets with members of several components whose pairs have not all been compared go on.
-        done = most
-        at = buckets.join(labels, "doc_id")
-        mixed_up = at.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"))
-        mixed_up = mixed_up.filter(f"low <> high and members > {done} + 1").select("bucket")
-        buckets = stage_table(buckets.join(mixed_up, "bucket", "left_semi"), "buckets")
-        if buckets.isEmpty():
-            return labels
-        turn += 1
+    """labels (doc_id, component) after all links within buckets."""
+    # The centre: the member of highest degree, limited within each task before the shuffle.
+    placed = buckets.withColumn("rank", F.expr("row_number() over (partition by bucket order by degree desc, doc_id)"))
+    centres = placed.filter("rank = 1").select("bucket", F.col("doc_id").alias("b"))
+    stars = buckets.join(centres, "bucket").filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
+    stars = stage_table(overlap(stars, shingles, percent), "stars")
+    labels = components(stars.filter("linked"), labels)
+
+    # Groups whose members, but for the centre, are of several components.
+    of = lambda side: labels.select(F.col("doc_id").alias(side), F.col("component").alias(f"of_{side}"))
+    members = stage_table(stars.join(of("a"), "a").join(of("b"), "b"), "members")
+    groups = members.groupBy("b").agg(F.min("of_a").alias("low"), F.max("of_a").alias("high"), F.count(F.lit(1)).alias("size"))
+    groups = groups.filter("low <> high").select("b", (F.col("size") <= SMALL_GROUP).alias("small"))
+    members = stage_table(members.join(groups, "b"), "members")
+    loose = F.col("of_a") != F.col("of_b")
+    other = members.select("b", F.col("a").alias("y"), F.col("of_a").alias("of_y"), F.col("n_a").alias("n_y"), "small")
+    sized = f"100 * least(n_a, n_y) >= {percent} * greatest(n_a, n_y) and of_a <> of_y"
+    few = members.filter(loose & F.col("small")).join(other.filter("small").drop("small"), "b").filter(sized)
+
+    large = members.filter(~F.col("small"))
+    # Without a shared shingle outside the centre, |x & c| must suffice.
+    enough = large.filter(loose & (F.col("common") * 100 >= F.col("n_a") * percent)).withColumn("most", F.expr(f"floor(common * {100 + percent} / {percent}) - n_a"))
+    enough = enough.join(other.filter("not small").drop("small"), "b").filter(f"{sized} and n_y <= most")
+    # With one, it is among the rarest that remain when the fewest that x and y must share are left out.
+    extra = stage_table(outside(large, shingles), "outside")
+    spread = extra.groupBy("b", "shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    facts = large.select("a", "b", "of_a", "n_a", "common", loose.alias("loose"))
+    rare = extra.join(facts.filter("loose"), ["a", "b"]).join(spread, ["b", "shingle"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    rare = rare.withColumn("rank", F.expr("row_number() over (partition by a, b order by n, shingle)"))
+    rare = rare.filter(F.expr(f"rank <= n_a - common - greatest(1, ceil(n_a * {percent} / 100) - common) + 1 and n > 1"))
+    rare = rare.select("b", "shingle", "a", "of_a", "n_a")
+    whose = extra.join(facts.select("a", "b", F.col("of_a").alias("of_y"), F.col("n_a").alias("n_y")), ["a", "b"]).select("b", "shingle", F.col("a").alias("y"), "of_y", "n_y")
+    shared = rare.join(whose, ["b", "shingle"]).filter(sized)
+    pairs = few.select("a", "y").unionByName(enough.select("a", "y")).unionByName(shared.select("a", "y"))
+    pairs = stage_table(pairs.select(F.least("a", "y").alias("a"), F.greatest("a", "y").alias("b")).distinct(), "pairs")
+    if pairs.isEmpty():
+        return labels
+    links = stage_table(overlap(pairs, shingles, percent).filter("linked"), "links")
+    return components(links, labels, labels)
 
 
 def deduplicate(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
