@@ -19,7 +19,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose toxicity is below the threshold; the model is fitted on the labels outside the held-out fold."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    weights, bias = toxicity.fit(toxicity.labelled_texts(docs, labels))
+    weights, bias = toxicity.fit(docs, toxicity.learnable(labels))
     scored = toxicity.score(docs.select(*COLUMNS), weights, bias, COLUMNS)
     return scored.filter(F.col("score") < toxicity.THRESHOLD).select(*COLUMNS)
 

@@ -119,15 +119,18 @@ class Bag:
             rows.append(owner[places][at[0]])
             features.append(numbers[at])
         order = np.argsort(row := np.concatenate(rows), kind="stable")
-        features, per_word = np.concatenate(features)[order], np.bincount(row, minlength=len(number))
-
-        text_of = np.repeat(np.repeat(np.arange(len(texts)), self.per_text), self.per_sentence)
-        text, word = np.divmod(np.unique(text_of * len(number) + self.words), max(1, len(number)))
-        uses = features[ragged((np.cumsum(per_word) - per_word)[word], per_word[word])]
-        pairs = np.unique(np.repeat(text, per_word[word]) << BITS | uses)
-        often = np.bincount(pairs & (1 << BITS) - 1, minlength=1 << BITS) >= LEAST_TEXTS
+        features, per_word = np.concatenate(features)[order].astype(np.int32), np.bincount(row, minlength=len(number))
+        del words, parts, rows, row, order
+
+        first, at, texts_of = np.cumsum(per_word) - per_word, 0, np.zeros(1 << BITS, np.int32)
+        sizes = np.add.reduceat(self.per_sentence, np.cumsum(self.per_text) - self.per_text)
+        for size in sizes:
+            own = np.unique(self.words[at : at + size])
+            texts_of[np.unique(features[ragged(first[own], per_word[own])])] += 1
+            at += size
+        often = texts_of >= LEAST_TEXTS
         self.numbers = np.flatnonzero(often)  # of the features that are fitted
-        place = np.cumsum(often) - 1
+        place = (np.cumsum(often) - 1).astype(np.int32)
         self.features = place[features[often[features]]]
         self.per_word = np.bincount(np.repeat(np.arange(len(number)), per_word)[often[features]], minlength=len(number))
 
@@ -154,21 +157,26 @@ class Bag:
         return w, g2, bias, bias_square
 
 
-def fit(labelled: DataFrame, *, rounds: int = 3, steps: int = 40, max_positive: int = 3000, max_negative: int = 9000, max_chars: int = 50_000, workers: int = 4) -> tuple[np.ndarray, float]:
-    """Weights and bias, from rows of text and label (0 or 1).
+def fit(docs: DataFrame, labels: DataFrame, *, rounds: int = 3, steps: int = 40, max_positive: int = 3000, max_negative: int = 9000, max_chars: int = 50_000, workers: int = 6) -> tuple[np.ndarray, float]:
+    """Weights and bias, from docs (doc_id, text) and labels (labelled_id, label of 0 or 1, an id once).
 
-    The classifier is fitted on about max_positive and max_negative rows, those with the smallest hash of the
-    text, of texts of at most max_chars characters; rows are weighted so that the labels keep their shares.
+    The classifier is fitted on about max_positive and max_negative labelled documents, those with the smallest hash of the
+    id, of texts of at most max_chars characters; rows are weighted so that the labels keep their shares. The chosen
+    ids are so many at most and are broadcast; texts are not shuffled before they are chosen.
     """
     weights, squares = np.zeros(1 << BITS, np.float32), np.full(1 << BITS, 1e-6, np.float32)
     bias, bias_square = -5.0, 1e-6
-    usable = labelled.filter(f"text is not null and label in (0, 1) and length(text) <= {max_chars}").select("text", F.col("label").cast("int").alias("label"))
-    counts = {r.label: r.n for r in usable.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r.label: r.n for r in labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
         return weights, -50.0
     rates = {0: min(1.0, max_negative / counts[0]), 1: min(1.0, max_positive / counts[1])}
     rate = F.when(F.col("label") == 1, rates[1]).otherwise(rates[0])
-    sample = stage_table(usable.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < rate * (1 << 20)).repartition(workers), "labelled")
+    chosen = labels.filter(F.pmod(F.xxhash64("labelled_id"), F.lit(1 << 20)) < rate * (1 << 20))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(f"text is not null and length(text) <= {max_chars}")
+    found = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled_id")).select("text", "label")
+    # a partition of fewer rows would learn little, and the mean of many such ones nothing
+    workers = max(1, min(workers, int(sum(counts[y] * rates[y] for y in (0, 1))) // 1500))
+    sample = stage_table(found.repartition(workers), "labelled")
     for _ in range(rounds):
 
         def local(batches: Iterator[pa.RecordBatch], state: tuple = (weights, squares, bias, bias_square)) -> Iterator[pa.RecordBatch]:
@@ -232,16 +240,16 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return id_remainder(doc_id, 3) == 1
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and label of the rows that may be learned from; documents without a row of labels have none."""
-    own = labels.select(F.col("doc_id").alias("labelled_id"), F.col("toxic").alias("label")).filter("label is not null")
-    own = own.filter(~held_out("labelled_id"))
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(own, F.col("doc_id") == F.col("labelled_id")).select("text", "label")
+def learnable(labels: DataFrame) -> DataFrame:
+    """(labelled_id, label) of the rows that may be learned from; of several labels of an id the larger counts."""
+    own = labels.select(F.col("doc_id").alias("labelled_id"), F.col("toxic").cast("int").alias("label"))
+    own = own.filter("labelled_id is not null and label in (0, 1)").filter(~held_out("labelled_id"))
+    return own.groupBy("labelled_id").agg(F.max("label").alias("label"))
 
 
 def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, sentences; a third of the ids is held out and never learned from."""
-    weights, bias = fit(labelled_texts(docs, labels))
+    weights, bias = fit(docs, learnable(labels))
     found = score(docs.select("doc_id", F.col("text").cast("string").alias("text")), weights, bias, ["doc_id"], locate=True)
     predicted = F.when(F.col("score") >= THRESHOLD, 1).otherwise(0)
     return found.select("doc_id", held_out().alias("held_out"), "score", predicted.alias("predicted"), "sentences")
