@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
 #: Characters of text that one step inside a task holds as Python words.
 CHUNK_CHARS = 1 << 20
 #: Distinct words that a Python worker remembers before it starts afresh.
@@ -72,6 +74,17 @@ def char_matrix(words: list[str], width: int) -> np.ndarray:
     return out
 
 
+_remembered: dict[str, object] = {}
+
+
+def remember(key: str, make: Callable[[], T]) -> T:
+    """What a Python worker keeps between tasks: one thing at a time, so that operators that follow each other do not add up."""
+    if key not in _remembered:
+        _remembered.clear()
+        _remembered[key] = make()
+    return _remembered[key]  # type: ignore[return-value]
+
+
 class WordCodes:
     """Numbers words as they come; a subclass fills what it keeps for new ones."""
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.llm.common import WordCodes, chunks, id_remainder, segment_sums, stage_table
+from lakewarden.llm.common import WordCodes, chunks, id_remainder, remember, segment_sums, stage_table
 from lakewarden.llm.lattice import PieceIndex, blocks, cut_words, read_pieces
 
 UNKNOWN = "und"
@@ -165,19 +165,13 @@ def fit(docs: DataFrame, vocabulary: str, *, rounds: int = 4, max_docs: int = 15
     return names, model, shares
 
 
-_scores: dict[str, WordScores] = {}
-
-
 def predict(docs: DataFrame, vocabulary: str, names: list[str], model: np.ndarray, shares: np.ndarray, keep: list[str]) -> DataFrame:
     """The columns of keep, lang_pred and score (its posterior probability) for every row of docs, from text alone."""
     model, shares = docs.sparkSession.sparkContext.broadcast(model.astype(np.float32)), shares.tolist()
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _scores:
-            _scores.clear()
-            _scores[key] = WordScores(pieces(vocabulary), model.value.astype(np.float64))
-        scores = _scores[key]
+        scores = remember(key, lambda: WordScores(pieces(vocabulary), model.value.astype(np.float64)))
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             lang, best = [], []

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.llm.common import WordCodes, chunks, stage_table
+from lakewarden.llm.common import WordCodes, chunks, remember, stage_table
 
 BANDS, BINS_OF_BAND = 40, 6
 BINS = BANDS * BINS_OF_BAND
@@ -70,16 +70,14 @@ class WordHashes(WordCodes):
         self.hashes = np.concatenate([self.hashes, np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))])
 
 
-_words = WordHashes()
-
-
 def shingle_sets(texts: list[str], size: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
+    known = remember("hashes", WordHashes)
     for low, high in chunks(texts):
         # bytes.lower changes A-Z only, and bytes.split cuts at the six ASCII spaces
         words = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts[low:high]]
-        codes = _words.of([w for own in words for w in own])
-        hashes, at = _words.hashes[codes], 0
+        codes = known.of([w for own in words for w in own])
+        hashes, at = known.hashes[codes], 0
         for own in words:
             h = hashes[at : at + len(own)]
             at += len(own)

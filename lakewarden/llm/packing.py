@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakewarden.llm.common import WordCodes, chunks, ragged, stage_table
+from lakewarden.llm.common import WordCodes, chunks, ragged, remember, stage_table
 
 #: Quanta are fixed-point numbers with this many parts of a token.
 PARTS = 1 << 20
@@ -124,14 +124,9 @@ class WordTokens(StemTokens):
         return out
 
 
-_encoders: dict[str, WordTokens] = {}
-
-
 def encoder(path: str) -> WordTokens:
     """One for each Python worker, as its memory of words is worth keeping between tasks."""
-    if path not in _encoders:
-        _encoders[path] = WordTokens(path)
-    return _encoders[path]
+    return remember(f"tokens {path}", lambda: WordTokens(path))
 
 
 def tokenize(docs: DataFrame, tokenizer: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.llm.common import WordCodes, chunks, ragged
+from lakewarden.llm.common import WordCodes, chunks, ragged, remember
 from lakewarden.llm.lattice import PieceIndex, blocks, cut_words, read_pieces
 
 CHUNK = re.compile(r" ?[^ \n▁]+|[ \n▁]")
@@ -156,13 +156,8 @@ class Lattices(WordCodes):
         return out
 
 
-_lattices: dict[str, Lattices] = {}
-
-
 def lattices(path: str) -> Lattices:
-    if path not in _lattices:
-        _lattices[path] = Lattices(path)
-    return _lattices[path]
+    return remember(f"lattices {path}", lambda: Lattices(path))
 
 
 def encode(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str = "text", seed: int = 0, keep: list[str] | None = None) -> DataFrame:

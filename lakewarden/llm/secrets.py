@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.llm.common import WordCodes, chunks, stage_table
+from lakewarden.llm.common import WordCodes, chunks, remember, stage_table
 
 # The base patterns, in the order of their kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -270,24 +270,19 @@ def fit(docs: DataFrame, *, rounds: int = 2, steps: int = 20, max_docs: int = 40
     return state[0], state[1]
 
 
-_features: dict[str, WordFeatures] = {}
-
-
 def scan(docs: DataFrame, weights: np.ndarray, moves: np.ndarray, keep: list[str]) -> DataFrame:
     """The columns of keep, base (spans of the fixed patterns) and added (those of the field alone), as start, kind, end."""
     shared, key = docs.sparkSession.sparkContext.broadcast(weights), uuid.uuid4().hex
     kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _features:
-            _features.clear()
-            _features[key] = WordFeatures(shared.value)
+        words = remember(key, lambda: WordFeatures(shared.value))
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             base = [base_spans(t) for t in texts]
             added: list[list[tuple[int, int, int]]] = []
             for low, high in chunks(texts):
-                added += decode(_features[key], moves, texts[low:high])
+                added += decode(words, moves, texts[low:high])
             added = [[s for s in new if not any(s[0] < b[2] and b[0] < s[2] for b in old)] if new else new for new, old in zip(added, base, strict=True)]
             columns = [pa.array([[{"start": a, "kind": KINDS[k], "end": b} for a, k, b in own] for own in spans], kind) for spans in (base, added)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns], names=[*keep, "base", "added"])

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.llm.common import WordCodes, char_matrix, chunks, id_remainder, ragged, segment_sums, stage_table
+from lakewarden.llm.common import WordCodes, char_matrix, chunks, id_remainder, ragged, remember, segment_sums, stage_table
 from lakewarden.llm.lattice import blocks, cut_words, keys_of
 
 BITS = 20
@@ -203,23 +203,18 @@ def fit(docs: DataFrame, labels: DataFrame, *, rounds: int = 3, steps: int = 40,
     return weights, bias
 
 
-_logits: dict[str, WordLogits] = {}
-
-
 def score(docs: DataFrame, weights: np.ndarray, bias: float, keep: list[str], *, locate: bool = False) -> DataFrame:
     """The columns of keep, score and, if asked for, sentences: begin, end and score of those at or above THRESHOLD."""
     shared, key = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32)), uuid.uuid4().hex
     found_type = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _logits:
-            _logits.clear()
-            _logits[key] = WordLogits(shared.value.astype(np.float64))
+        words = remember(key, lambda: WordLogits(shared.value.astype(np.float64)))
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             scores, found = [], []
             for low, high in chunks(texts):
-                z, per_text, own = _logits[key].score(texts[low:high], bias)
+                z, per_text, own = words.score(texts[low:high], bias)
                 scores.append(own)
                 if locate:
                     p, at = 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0
