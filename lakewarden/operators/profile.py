@@ -15,6 +15,8 @@ from lakewarden.functions import text
 
 #: Values of more characters are grouped by a digest and their first characters, so that long texts are not shuffled.
 LONG = 256
+#: Places of what is no top value, among a column's rows.
+LOW, HIGH, DISTINCT = -1, -2, -3
 
 
 def orderable(kind: T.DataType) -> bool:
@@ -104,18 +106,27 @@ def profile(df: DataFrame, k: int = 5) -> DataFrame:
 
     A column of one or two distinct values publishes the constant mask alone, so that no mask tells them apart.
     """
+    # Facts, extrema and top values of a column as rows, so that each table is aggregated once and every value masked by one expression.
     counted = frequencies(df)
-    distinct = counted.groupBy("ordinal").agg(F.count(F.lit(1)).alias("distinct_count"))
-    tops = top_values(df, counted, k).select("ordinal", F.struct("place", text.mask(F.col("value")).alias("value"), "count").alias("top"))
-    tops = tops.groupBy("ordinal").agg(F.array_sort(F.collect_list("top")).alias("tops"))  # k rows a column
-    rows = statistics(df).join(distinct, "ordinal", "left").join(tops, "ordinal", "left")
-    rows = rows.withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0)))
-    samples = F.coalesce("tops", F.array().cast("array<struct<place:int,value:struct<masked:string,semantic_type:string,length:int>,count:bigint>>"))
-    rows = rows.withColumn("tops", samples)
+    facts = ["name", "data_type", "row_count", "present"]
+    no = lambda *names: [F.lit(None).cast({"count": "bigint", "row_count": "bigint", "present": "bigint"}.get(n, "string")).alias(n) for n in names]
+    part = lambda place, value: F.struct(F.lit(place).alias("place"), value.alias("value"))
+    ends = F.array(part(LOW, F.col("low")), part(HIGH, F.col("high")))
+    rows = statistics(df).select("ordinal", *facts, F.explode(ends).alias("p")).select("ordinal", "p.place", "p.value", *no("count"), *facts)
+    distinct = counted.groupBy("ordinal").agg(F.count(F.lit(1)).alias("count"))
+    rows = rows.unionByName(distinct.select("ordinal", F.lit(DISTINCT).alias("place"), *no("value"), "count", *no(*facts)))
+    rows = rows.unionByName(top_values(df, counted, k).select("ordinal", "place", "value", "count", *no(*facts)))
+    masked = rows.withColumn("masked", text.mask(F.col("value")))
+    only = lambda place, c: F.max(F.when(F.col("place") == place, F.col(c)))
+    top = F.when(F.col("place") > 0, F.struct("place", F.col("masked").alias("value"), "count"))
+    rows = masked.groupBy("ordinal").agg(
+        *(F.max(c).alias(c) for c in facts), F.coalesce(only(DISTINCT, "count"), F.lit(0)).alias("distinct_count"),
+        only(LOW, "masked").alias("low"), only(HIGH, "masked").alias("high"), F.array_sort(F.collect_list(top)).alias("tops"),  # k tops a column
+    )
     rows = rows.withColumn("semantic_type", vote(F.transform("tops", lambda t: t["value"]["semantic_type"])))
     hidden = F.struct(F.lit(text.RUN).alias("masked"), F.col("semantic_type"), F.lit(None).cast("int").alias("length"))
     low = F.col("distinct_count").between(1, text.LOW_CARDINALITY) | F.size("tops").between(1, text.LOW_CARDINALITY)
-    extremum = lambda c: F.when(F.col(c).isNull(), F.lit(None)).when(low, hidden).otherwise(text.mask(F.col(c)))
+    extremum = lambda c: F.when(F.col(c).isNull(), F.lit(None)).when(low, hidden).otherwise(F.col(c))
     shown = F.transform("tops", lambda t: F.struct(F.when(low, hidden).otherwise(t["value"]).alias("value"), t["count"].alias("count")))
     nulls = F.col("row_count") - F.col("present")
     return rows.select(

@@ -88,7 +88,7 @@ _SOURCES = "SELECT concat('src', o_orderkey) AS name, CASE o_orderkey % 3 WHEN 0
 def _a4(spark, sf_dir):
     empty = F.array().cast("array<string>")
     requests = I.derive(spark, sf_dir, _SOURCES).withColumn("exclude_schemas", empty)
-    known = I.derive(spark, sf_dir, "SELECT DISTINCT 'postgres' AS engine, concat('h', n_nationkey) AS host, concat('d', o_custkey % 20) AS database FROM nation JOIN orders ON true WHERE n_nationkey < 25")
+    known = I.derive(spark, sf_dir, "SELECT DISTINCT 'postgres' AS engine, concat('h', o_custkey % 50) AS host, concat('d', o_custkey % 20) AS database FROM orders WHERE o_custkey % 50 < 25")
     known = known.withColumn("include_schemas", F.array(F.lit("b"), F.lit("a"))).withColumn("exclude_schemas", empty)
     return sources.register(requests, known).select("name", "engine", "host", "database")
 
@@ -353,9 +353,6 @@ def _f6(spark, sf_dir):
     return history.as_of(I.derive(spark, sf_dir, I.VERSIONS), "1997-06-01 00:00:00").select("asset_id", "version")
 
 
-_ASKED = "SELECT event_id AS request_id, concat('a', event_id % 1600) AS asset_id, CAST('1994-01-01 00:00:00' AS TIMESTAMP) + INTERVAL '1' DAY * 0 AS at0, event_id % 2400 AS days FROM events"
-
-
 @add("f6_as_of_each", with_inputs("SELECT r.request_id, (SELECT max(version) FROM v WHERE v.asset_id = r.asset_id AND v.created_at <= r.at) AS version FROM r", v=I.VERSIONS, r="SELECT e.event_id AS request_id, concat('a', e.event_id % 1600) AS asset_id, o.o_orderdate AS at FROM events e JOIN orders o ON o.o_orderkey = e.event_id"))
 def _f6b(spark, sf_dir):
     asked = I.derive(spark, sf_dir, "SELECT e.event_id AS request_id, concat('a', e.event_id % 1600) AS asset_id, o.o_orderdate AS at FROM events e JOIN orders o ON o.o_orderkey = e.event_id")
