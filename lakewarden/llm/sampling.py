@@ -48,6 +48,12 @@ def probabilities(pieces: list[str]) -> tuple[list[int], np.ndarray]:
     return ids, weight / weight.sum()
 
 
+def piece_bytes(pieces: list[str]) -> list[bytes]:
+    """What each piece decodes to."""
+    plain = [p.replace("▁", " ").encode() for p in pieces[FIRST_PIECE:]]
+    return [b""] * FIRST_BYTE + [bytes([i]) for i in range(256)] + plain
+
+
 class Lattices(WordCodes):
     """Backward choices of chunks. A node is a place in a chunk part; its choices are the pieces that end there."""
 
@@ -58,7 +64,6 @@ class Lattices(WordCodes):
         own = [pieces[i] for i in ids]
         self.index = PieceIndex(own, max(map(len, own)))
         self.ids, self.p = np.array([*ids, 0]), np.array([*p, 0.0])
-        self.bytes = [bytes([i - FIRST_BYTE]) if FIRST_BYTE <= i < FIRST_PIECE else pieces[i].replace("▁", " ").encode() if i >= FIRST_PIECE else b"" for i in range(len(pieces))]
         self.forget()
 
     def forget(self) -> None:
@@ -166,11 +171,13 @@ def encode(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattices(vocabulary)
-        for batch in batches:
-            ids = own.encode([t or "" for t in batch.column("__text").to_pylist()], batch.column("__key").to_pylist(), seed)
-            offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            values = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=[*keep, "ids"])
+        for whole in batches:
+            texts = [t or "" for t in whole.column("__text").to_pylist()]
+            for low, high in chunks(texts):
+                batch = whole.slice(low, high - low)
+                ids = own.encode(texts[low:high], batch.column("__key").to_pylist(), seed)
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), lists], names=[*keep, "ids"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     needed = docs.select(*keep, F.coalesce(F.col(key).cast("string"), F.lit("")).alias("__key"), F.col(text).cast("string").alias("__text"))
@@ -181,7 +188,7 @@ def decode(encoded: DataFrame, vocabulary: str, *, keep: list[str]) -> DataFrame
     """The columns of keep and text, from ids; null ids give the empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = lattices(vocabulary).bytes
+        pieces = remember(f"bytes {vocabulary}", lambda: piece_bytes(read_pieces(vocabulary)))
         for batch in batches:
             texts = [b"".join(map(pieces.__getitem__, ids.values.to_numpy().tolist() if ids.is_valid else ())).decode("utf-8", "surrogatepass") for ids in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, "text"])
