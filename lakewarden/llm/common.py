@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import repeat
 from typing import TypeVar
 
 import numpy as np
@@ -99,13 +100,17 @@ class WordCodes:
         raise NotImplementedError
 
     def of(self, words: list[str]) -> np.ndarray:
-        new = [w for w in dict.fromkeys(words) if w not in self.codes]
-        if new:
+        found = np.fromiter(map(self.codes.get, words, repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(found < 0)
+        if len(unknown):
+            missing = [words[i] for i in unknown.tolist()]
+            new = list(dict.fromkeys(missing))
             if len(self.codes) + len(new) > self.most:
                 self.codes.clear()
                 self.forget()
-                new = list(dict.fromkeys(words))
+                unknown, missing, new = slice(None), words, list(dict.fromkeys(words))
             first = len(self.codes)
             self.learn(new)
             self.codes.update(zip(new, range(first, first + len(new)), strict=True))
-        return np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
+            found[unknown] = np.fromiter(map(self.codes.__getitem__, missing), np.int64, len(missing))
+        return found

@@ -98,8 +98,9 @@ class WordTokens(StemTokens):
     def learn(self, words: list[str]) -> None:
         marked = [w[-1:] in MARKS and w[:-1].isalpha() for w in words]
         both = [x for w, m in zip(words, marked, strict=True) for x in ((w[:-1], w[-1:]) if m else (w, ""))]
-        self.stems.of(sorted(set(both), key=str.isalpha))  # letters apart from the rest, which takes another way
-        codes = self.stems.of(both)
+        own = sorted(set(both), key=str.isalpha)  # letters apart from the rest, which takes another way
+        number = dict(zip(own, self.stems.of(own).tolist(), strict=True))
+        codes = np.fromiter(map(number.__getitem__, both), np.int64, len(both))
         lengths = self.stems.lengths[codes]
         self.keep([self.stems.ids[ragged(self.stems.starts[codes], lengths)]], lengths.reshape(-1, 2).sum(axis=1))
 
@@ -171,25 +172,36 @@ class Schedule:
             at += sum(now) - sum(taken)
             taken = now
         self.size = at
+        self.bases_of = np.array(self.bases, np.int64).T.tolist()
+        self.quanta_of = np.array(self.quanta, np.int64).T.tolist()
+        self.windows: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
 
     def taken(self, phase: int, w: int) -> np.ndarray:
         """Tokens taken from each queue before window w of a phase."""
         whole, part = np.divmod(self.quanta[phase], PARTS)
         return np.minimum(self.bases[phase] + w * whole + w * part // PARTS, self.totals)
 
+    def window(self, phase: int, w: int) -> list[tuple[int, int, int]]:
+        """Of window w of a phase: each queue's first token, its end, and its place in the stream."""
+        if (phase, w) not in self.windows:
+            if len(self.windows) > 4096:
+                self.windows.clear()
+            low, high = self.taken(phase, w), self.taken(phase, w + 1)
+            places = self.first[phase] + (low - self.bases[phase]).sum() + np.cumsum(high - low) - (high - low)
+            self.windows[phase, w] = list(zip(low.tolist(), high.tolist(), places.tolist(), strict=True))
+        return self.windows[phase, w]
+
     def pieces(self, queue: int, start: int, length: int) -> Iterator[tuple[int, int, int]]:
         """(queue position, length, place in the stream) of the runs that a queue's tokens start .. start + length lie in."""
-        bases = [int(b[queue]) for b in self.bases]
         at, end = start, start + length
         while at < end:
-            phase = bisect_right(bases, at) - 1
-            w = max(0, (at - bases[phase]) * PARTS // int(self.quanta[phase][queue]) - 1)
-            while self.taken(phase, w + 1)[queue] <= at:
+            phase = bisect_right(self.bases_of[queue], at) - 1
+            w = max(0, (at - self.bases_of[queue][phase]) * PARTS // self.quanta_of[queue][phase] - 1)
+            while (found := self.window(phase, w)[queue])[1] <= at:
                 w += 1
-            low, high = self.taken(phase, w), self.taken(phase, w + 1)
-            place = self.first[phase] + int((low - self.bases[phase]).sum()) + int((high - low)[:queue].sum())
-            stop = min(end, int(high[queue]))
-            yield at, stop - at, place + at - int(low[queue])
+            low, high, place = found
+            stop = min(end, high)
+            yield at, stop - at, place + at - low
             at = stop
 
 
