@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Queries' distinct terms up to this number are broadcast.
+POSTINGS = 1_000_000
+
 
 def rules(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """rule, failed, total: rows for which each condition does not hold; nulls fail. One pass for all rules."""
@@ -39,12 +42,17 @@ def name_tokens(name: Column) -> Column:
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """query_id, doc_id, score, rank: the k best documents (doc_id, tokens) of each query (query_id, tokens)."""
-    terms = docs.select("doc_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """query_id, doc_id, score, rank: the k best documents (doc_id, tokens) of each query (query_id, tokens). Common terms stay: only words that no query asks for are dropped, and those only after lengths are taken."""
+    asked = queries.select("query_id", F.explode("tokens").alias("term")).distinct()
+    few = asked.count() <= POSTINGS  # then no term's rows meet in one task
+    small = F.broadcast if few else lambda df: df
+    wanted = small(asked.select("term").distinct())
     size = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("mean"))
-    spread = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    asked = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("term"))
-    hits = terms.join(asked, "term").join(spread, "term").join(F.broadcast(size))
+    spread = docs.select(F.explode(F.array_distinct("tokens")).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # one exchange by document serves its term frequencies and its scores
+    words = docs.repartition("doc_id").select("doc_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
+    terms = words.groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    hits = terms.join(small(asked.join(spread, "term")), "term").join(F.broadcast(size))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(weight), 6).alias("score"))

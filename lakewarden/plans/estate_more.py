@@ -455,7 +455,7 @@ def _l2(spark, sf_dir):
 
 @add("l2_bm25")
 def _l2b(spark, sf_dir):
-    words = lambda df, key, name: df.select(F.col(key).alias(name), F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 6).alias("tokens"))
+    words = lambda df, key, name: df.select(F.col(key).alias(name), F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("tokens"))
     return quality.bm25(words(table(spark, sf_dir, "documents"), "doc_id", "doc_id"), words(table(spark, sf_dir, "benchmark"), "item_id", "query_id"), 5)
 
 
