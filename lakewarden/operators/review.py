@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakewarden.streaming import streams
+
 
 def consistent_policy() -> Column:
     """A policy names itself, and nobody else names one."""
@@ -56,21 +58,26 @@ def judge(decisions: DataFrame, proposals: DataFrame, states: DataFrame) -> Data
     return rows.select(*decisions.columns, "asset_id", "version", verdict.alias("verdict"))
 
 
-def settle_keys(decisions: DataFrame, proposals: DataFrame, states: DataFrame, rounds: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(judged, refused): keys are used up by accepted decisions only, so conflicts are dropped and the rest judged again until none is left; refused has those dropped or, after the last round, still open."""
-    kept, refused = decisions, None
-    for _ in range(rounds):
-        judged = judge(kept, proposals, states)
-        owner = judged.filter("verdict = 'accepted' and idempotency_key is not null").groupBy("idempotency_key").agg(F.min_by(F.struct(*REQUEST, "decided_at", "id"), F.struct("decided_at", "id")).alias("owner"))
-        later = judged.join(owner, "idempotency_key").filter("struct(decided_at, id) > struct(owner.decided_at, owner.id)")
-        clash = later.filter(~F.struct(*REQUEST).eqNullSafe(F.struct(*(F.col(f"owner.{c}") for c in REQUEST)))).select("id")
-        clash = clash.withColumn("why", F.lit("key_conflict"))
-        if clash.isEmpty():
-            break
-        refused = clash if refused is None else refused.unionByName(clash)
-        kept = kept.join(clash, "id", "left_anti")
-    judged = judge(kept, proposals, states)
-    return judged, refused if refused is not None else judged.select("id").limit(0).withColumn("why", F.lit(""))
+def settle_keys(decisions: DataFrame, proposals: DataFrame, states: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(judged, refused): keys are used up by accepted decisions only; refused has the conflicts (id, why), judged all others. Ids are unique.
+
+    Each round judges without the conflicts found in the round before and finds all of them anew, so that one whose owner falls is taken
+    back. A decision hangs on earlier ones only: each round puts at least the first wrong one right, and what does not change any more is
+    what a replay one by one gives. Rounds are as many as conflicts hang on each other in a row; each writes its conflicts, for a short lineage.
+    """
+    folder = streams.folder(decisions.sparkSession, "keys")
+    at, request = F.struct("decided_at", "id"), F.struct(*REQUEST)
+    keyed = decisions.filter("idempotency_key is not null")
+    refused, turn = decisions.select("id").limit(0), 0
+    while True:
+        judged = judge(decisions.join(refused, "id", "left_anti"), proposals, states)
+        owner = judged.filter("verdict = 'accepted' and idempotency_key is not null").groupBy("idempotency_key").agg(F.min_by(F.struct(request.alias("request"), at.alias("at")), at).alias("owner"))
+        clash = keyed.join(owner, "idempotency_key").filter((at > F.col("owner.at")) & ~request.eqNullSafe(F.col("owner.request"))).select("id")
+        clash.write.parquet(f"{folder}/{turn}")
+        before, refused = refused, decisions.sparkSession.read.schema(clash.schema).parquet(f"{folder}/{turn}")
+        if refused.join(before, "id", "left_anti").isEmpty() and before.join(refused, "id", "left_anti").isEmpty():
+            return judged, refused.withColumn("why", F.lit("key_conflict"))
+        turn += 1
 
 
 def statuses(proposals: DataFrame, judged: DataFrame) -> DataFrame:

@@ -1,12 +1,13 @@
 """Whole results where an earlier form did less than the whole job."""
 
 import math
+import random
 import re
 from collections import Counter
 
 from pyspark.sql import functions as F
 
-from lakewarden.operators import quality
+from lakewarden.operators import quality, review
 from lakewarden.plans import estate
 
 
@@ -43,3 +44,56 @@ def test_bm25_is_the_same_without_broadcast(spark, monkeypatch):
     small = sorted(map(tuple, quality.bm25(docs, queries, 3).collect()))
     monkeypatch.setattr(quality, "POSTINGS", 0)
     assert sorted(map(tuple, quality.bm25(docs, queries, 3).collect())) == small
+
+
+DECISION = "id string, proposal_id long, outcome string, actor_kind string, actor_id string, policy_id string, reason string, idempotency_key string, decided_at long"
+
+
+def replayed(decisions, proposals):
+    """id: verdict, one decision at a time; every asset is active and every profile the latest."""
+    asset, version = {p: a for p, a, _, _ in proposals}, {p: v for p, _, v, _ in proposals}
+    used, done, standing, out = {}, set(), {}, {}
+    for d in sorted(decisions, key=lambda d: (d[8], d[0])):
+        name, proposal, outcome, key, request = d[0], d[1], d[2], d[7], d[1:7]
+        if key in used and used[key] != request:
+            out[name] = "key_conflict"
+        elif proposal in done:
+            out[name] = "not_pending"
+        elif outcome == "approve" and version[proposal] <= standing.get(asset[proposal], 0):
+            out[name] = "newer_version_stands"
+        else:
+            out[name] = "accepted"
+            done.add(proposal)
+            if outcome == "approve":
+                standing[asset[proposal]] = version[proposal]
+            if key is not None:
+                used.setdefault(key, request)
+    return out
+
+
+def settled(spark, decisions, proposals):
+    states = spark.createDataFrame([(a, True, 1) for a in sorted({p[1] for p in proposals})], "asset_id long, active boolean, latest_version long")
+    ours = spark.createDataFrame(proposals, "proposal_id long, asset_id long, version long, profile_version long")
+    judged, refused = review.settle_keys(spark.createDataFrame(decisions, DECISION), ours, states)
+    rows = [(r.id, r.verdict) for r in judged.collect()] + [(r.id, r.why) for r in refused.collect()]
+    assert len(rows) == len(decisions)
+    return dict(rows)
+
+
+def test_keys_settle_through_a_long_chain(spark):
+    decision = lambda i, p, key: (f"d{i:03}", p, "approve", "human", "x", None, "r", key, i)
+    proposals, decisions = [(1, 0, 1, 1)], [decision(0, 1, "k0")]
+    for i in range(8):  # dropping the newer version's approval lets the older one use the next key
+        proposals += [(10 * i + 12, i + 1, 2, 1), (10 * i + 11, i + 1, 1, 1)]
+        decisions += [decision(2 * i + 1, 10 * i + 12, f"k{i}"), decision(2 * i + 2, 10 * i + 11, f"k{i + 1}")]
+    wanted = replayed(decisions, proposals)
+    assert sum(v == "key_conflict" for v in wanted.values()) == 8
+    assert settled(spark, decisions, proposals) == wanted
+
+
+def test_keys_settle_as_one_by_one(spark):
+    draw = random.Random(5)
+    proposals = [(p, p % 4, p // 4 + 1, 1) for p in range(40)]
+    decisions = [(f"d{i:03}", draw.randrange(40), draw.choice(["approve", "approve", "reject"]), "human", "x", None, "r", draw.choice([None, *(f"k{k}" for k in range(12))]), i // 2) for i in range(150)]
+    wanted = replayed(decisions, proposals)
+    assert settled(spark, decisions, proposals) == wanted and {"key_conflict", "accepted"} <= set(wanted.values())
