@@ -66,7 +66,16 @@ def gate(verdict: DataFrame, runs: int = RUNS) -> DataFrame:
 
 
 def disagreements(predicted: DataFrame) -> DataFrame:
-    """Columns on which runs differ in labels, with each run's answer."""
-    labels = label_set(F.col("labels"))
-    rows = predicted.groupBy("table_name", "column_name").agg(F.count_distinct(labels).alias("answers"), F.array_sort(F.collect_list(F.struct("run", labels.alias("labels")))).alias("by_run"))
+    """Columns on which runs differ in labels, or in confidence or citations (an array) where predicted has them, with each run's answer."""
+    answer = [label_set(F.col("labels")).alias("labels")]
+    answer += [F.col("confidence")] if "confidence" in predicted.columns else []
+    answer += [F.array_sort(F.array_distinct(F.coalesce("citations", F.array()))).alias("citations")] if "citations" in predicted.columns else []
+    rows = predicted.groupBy("table_name", "column_name").agg(F.count_distinct(F.struct(*answer)).alias("answers"), F.array_sort(F.collect_list(F.struct("run", *answer))).alias("by_run"))
     return rows.filter("answers > 1")
+
+
+def evidence_failures(scored: DataFrame, unresolved: DataFrame) -> DataFrame:
+    """scored with failures: how many citations of each run and column equal no stored fact. unresolved: run, asset_id (the table's name), column_name."""
+    key = ["run", "table_name", "column_name"]
+    bad = unresolved.withColumnRenamed("asset_id", "table_name").groupBy(*key).agg(F.count(F.lit(1)).alias("failures"))
+    return scored.join(bad, key, "left").withColumn("failures", F.coalesce("failures", F.lit(0)))

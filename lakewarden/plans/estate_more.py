@@ -217,6 +217,37 @@ def _h6(spark, sf_dir):
     return found.select("table_name", "column_name", "answers", F.array_join(F.transform("by_run", lambda r: F.concat_ws("=", r["run"], F.array_join(r["labels"], "+"))), ";").alias("by_run"))
 
 
+_BAD = f"cited AS ({I.CITATIONS}), fact AS ({I.CITABLE}), bad AS (SELECT * FROM cited c WHERE NOT EXISTS (SELECT 1 FROM fact f WHERE f.asset_id = c.asset_id AND f.version = c.version AND f.column_name = c.column_name AND f.kind = c.kind AND f.locator = c.locator))"
+_EVIDENT = f"{_SCORED}, {_BAD}, evident AS (SELECT v.run, array_to_string(list_sort(list_filter(string_split(reasons, ',') || CASE WHEN EXISTS (SELECT 1 FROM bad b WHERE b.run = v.run) THEN ['unresolved_evidence'] ELSE [] END, lambda x: x <> '')), ',') AS reasons FROM verdict v)"
+
+
+def failing(spark, sf_dir) -> DataFrame:
+    return classify.unresolved(I.derive(spark, sf_dir, I.CITATIONS), I.derive(spark, sf_dir, I.CITABLE))
+
+
+@add("h1_evidence_failures", f"WITH {_SCORED}, {_BAD} SELECT s.run, s.table_name, s.column_name, outcome, (SELECT count(*) FROM bad b WHERE b.run = s.run AND b.asset_id = s.table_name AND b.column_name = s.column_name) AS failures FROM scored s")
+def _h1b(spark, sf_dir):
+    return score.evidence_failures(scored(spark, sf_dir), failing(spark, sf_dir)).select("run", "table_name", "column_name", "outcome", "failures")
+
+
+@add("h4_verdicts_on_evidence", f"WITH {_EVIDENT} SELECT run, reasons, reasons = '' AS passed FROM evident")
+def _h4b(spark, sf_dir):
+    found = scored(spark, sf_dir)
+    return score.verdicts(found, score.rates(score.confusion(found)), failing(spark, sf_dir)).select("run", F.array_join(F.array_sort("reasons"), ",").alias("reasons"), "passed")
+
+
+@add("h5_gate_on_evidence", f"WITH {_EVIDENT} SELECT count(*) AS runs, bool_and(reasons = '') AND count(*) = 3 AS passed FROM evident")
+def _h5b(spark, sf_dir):
+    found = scored(spark, sf_dir)
+    return score.gate(score.verdicts(found, score.rates(score.confusion(found)), failing(spark, sf_dir)))
+
+
+@add("h6_disagreements_on_evidence", with_inputs("SELECT table_name, column_name, answers FROM (SELECT table_name, column_name, count(DISTINCT concat_ws('|', l, confidence, coalesce(cited, ''))) AS answers FROM (SELECT run, table_name, column_name, confidence, array_to_string(list_sort(list_filter(labels, lambda x: x <> 'none')), '+') AS l FROM p) q LEFT JOIN (SELECT run AS r, asset_id, column_name AS n, string_agg(kind || '=' || locator, ',' ORDER BY kind, locator) AS cited FROM c GROUP BY ALL) g ON r = run AND asset_id = table_name AND n = column_name GROUP BY table_name, column_name) WHERE answers > 1", p=I.CONFIDENT, c=I.CITATIONS))
+def _h6b(spark, sf_dir):
+    cited = I.derive(spark, sf_dir, I.CITATIONS).groupBy("run", F.col("asset_id").alias("table_name"), "column_name").agg(F.collect_set(F.struct("kind", "locator")).alias("citations"))
+    return score.disagreements(I.derive(spark, sf_dir, I.CONFIDENT).join(cited, ["run", "table_name", "column_name"], "left")).select("table_name", "column_name", "answers")
+
+
 # Ledgers
 
 

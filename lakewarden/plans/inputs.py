@@ -68,6 +68,17 @@ PREDICTED = """
 SELECT r.run, d.source AS table_name, concat('d', d.doc_id) AS column_name,
   CASE WHEN (d.doc_id + r.run) % 29 = 0 THEN array['none'] WHEN l.toxic = 1 AND l.quality = 1 THEN array['phi', 'pii'] WHEN l.toxic = 1 THEN array['financial'] WHEN l.quality = 0 THEN array['pii'] WHEN d.doc_id % 31 = 0 THEN array['pii'] ELSE array['none'] END AS labels
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id JOIN (SELECT 1 AS run UNION ALL SELECT 2 UNION ALL SELECT 3) r ON (d.doc_id + r.run) % 41 <> 0"""
+#: The same predictions with a confidence, what they cite, and what may be cited; the second run cites some facts that are not there.
+CONFIDENT = f"""
+SELECT q.run, q.table_name, q.column_name, q.labels, CASE WHEN (CAST(substr(q.column_name, 2) AS BIGINT) + q.run) % 37 = 0 THEN 70 ELSE 80 END AS confidence FROM ({PREDICTED}) q"""
+CITATIONS = """
+SELECT r.run, d.source AS asset_id, CAST(1 AS BIGINT) AS version, concat('d', d.doc_id) AS column_name, k.kind,
+  CASE WHEN k.kind = 'data_type' THEN 'text' WHEN r.run = 2 AND d.doc_id % 43 = 0 THEN 'absent' ELSE coalesce(d.lang, '-') END AS locator
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id JOIN (SELECT 1 AS run UNION ALL SELECT 2 UNION ALL SELECT 3) r ON (d.doc_id + r.run) % 41 <> 0
+  JOIN (SELECT 'data_type' AS kind UNION ALL SELECT 'semantic_type') k ON k.kind = 'semantic_type' OR (d.doc_id + r.run) % 47 <> 0"""
+CITABLE = """
+SELECT d.source AS asset_id, CAST(1 AS BIGINT) AS version, concat('d', d.doc_id) AS column_name, k.kind, CASE WHEN k.kind = 'data_type' THEN 'text' ELSE coalesce(d.lang, '-') END AS locator
+FROM documents d JOIN (SELECT 'data_type' AS kind UNION ALL SELECT 'semantic_type') k ON true"""
 FIELDS_OLD = """
 SELECT concat('m', CAST(floor(p_partkey / 8.0) AS BIGINT)) AS subject, concat('/f', p_partkey % 8) AS path, CASE WHEN p_size % 2 = 0 THEN 'string' ELSE 'integer' END AS type, p_size % 3 = 0 AS required,
   CASE WHEN p_size % 5 = 0 THEN array['a', 'b', 'c'] END AS vals FROM part WHERE p_partkey % 13 <> 0"""

@@ -5,9 +5,11 @@ import random
 import re
 from collections import Counter
 
+import pytest
+import test_estate
 from pyspark.sql import functions as F
 
-from lakewarden.operators import quality, review
+from lakewarden.operators import quality, review, score
 from lakewarden.plans import estate
 
 
@@ -97,3 +99,26 @@ def test_keys_settle_as_one_by_one(spark):
     decisions = [(f"d{i:03}", draw.randrange(40), draw.choice(["approve", "approve", "reject"]), "human", "x", None, "r", draw.choice([None, *(f"k{k}" for k in range(12))]), i // 2) for i in range(150)]
     wanted = replayed(decisions, proposals)
     assert settled(spark, decisions, proposals) == wanted and {"key_conflict", "accepted"} <= set(wanted.values())
+
+
+def test_runs_disagree_on_confidence_and_citations(spark):
+    schema = "run int, table_name string, column_name string, labels array<string>, confidence int, citations array<struct<kind: string, locator: string>>"
+    a, b = ("data_type", "text"), ("semantic_type", "email")
+    answers = {"same": [(80, [a, b]), (80, [b, a])], "confidence": [(80, [a]), (70, [a])], "cited": [(80, [a]), (80, [b])], "uncited": [(80, [a]), (80, None)], "null": [(None, [a]), (80, [a])]}
+    rows = [(i, "t", name, ["pii"], *x) for name, two in answers.items() for i, x in enumerate(two)]
+    found = score.disagreements(spark.createDataFrame(rows, schema)).collect()
+    assert {r.column_name for r in found} == {"confidence", "cited", "uncited", "null"}
+
+
+def test_bad_citations_fail_runs(spark, data):
+    found = {name: estate.queries()[name](spark, data).collect() for name in ("h1_evidence_failures", "h4_verdicts_on_evidence")}
+    assert {r.run for r in found["h1_evidence_failures"] if r.failures} == {2}
+    assert {r.run for r in found["h4_verdicts_on_evidence"] if "unresolved_evidence" in r.reasons} == {2}
+
+
+EVIDENT = ["h1_evidence_failures", "h4_verdicts_on_evidence", "h5_gate_on_evidence", "h6_disagreements_on_evidence", "h6_disagreements"]
+
+
+@pytest.mark.parametrize("name", EVIDENT)
+def test_evidence_queries_equal_their_sql(spark, data, name):
+    test_estate.test_query_equals_its_sql(spark, data, name)
