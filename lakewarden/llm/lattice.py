@@ -5,14 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 
-from lakewarden.llm.common import char_matrix
+from lakewarden.llm.common import MIX, KeyTable, blocks, char_matrix
 
 #: Any odd number serves; substrings are keyed by polynomials in it, modulo 2**64.
-BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Longer words are cut every so many characters, and their parts scored one by one.
-MAX_WORD = 32
+BASE = np.uint64(0xD1342543DE82EF95)
 
 
 def read_pieces(path: str) -> list[str]:
@@ -23,59 +20,67 @@ def read_pieces(path: str) -> list[str]:
     return [model.id_to_piece(i) for i in range(model.vocab_size())]
 
 
-def keys_of(chars: np.ndarray, longest: int) -> list[np.ndarray]:
-    """keys[l - 1][:, j]: the key of the l characters that end at j."""
-    chars = chars.astype(np.uint64)
-    out = [chars]
+def ordinary_ids(path: str) -> list[int]:
+    """The ids of the pieces that can stand in a text: all but control pieces and those for single bytes."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    return [i for i in range(model.vocab_size()) if not (model.is_unknown(i) or model.is_control(i) or model.is_unused(i) or model.is_byte(i))]
+
+
+def keys_of(chars: np.ndarray, longest: int) -> Iterator[np.ndarray]:
+    """For each length the keys of the characters that end at each place; chars has a row for each place, a column for each word, and no zero inside a word."""
+    key = chars = chars.astype(np.uint64)
+    yield key
     for _ in range(1, longest):
-        key = np.zeros_like(chars)
-        key[:, 1:] = out[-1][:, :-1] * BASE + chars[:, 1:]
-        out.append(key)
-    return out
+        last, key = key, np.zeros_like(chars)
+        key[1:] = last[:-1] * BASE + chars[1:]
+        yield key
 
 
 class PieceIndex:
-    """Finds pieces of up to `longest` characters in words."""
+    """Finds the pieces of a vocabulary in words; pieces are numbered as given."""
 
-    def __init__(self, pieces: list[str], longest: int) -> None:
-        self.longest, self.size = longest, len(pieces)
-        lengths = np.array([len(p) for p in pieces])
+    def __init__(self, pieces: list[str]) -> None:
+        self.longest, self.size = max(map(len, pieces)), len(pieces)
         keys = np.zeros(len(pieces), np.uint64)
-        chars = char_matrix(pieces, longest)
-        for k, own in enumerate(keys_of(chars, longest), 1):
-            keys[lengths == k] = own[lengths == k, k - 1]
-        self.index = pd.Index(keys * np.uint64(longest + 1) + lengths.astype(np.uint64))
-
-    def edges(self, words: list[str]) -> list[np.ndarray]:
-        """edges[l - 1][:, j]: the piece of l characters that ends at j (0-based, inclusive) or -1."""
+        for places, block in blocks(pieces):
+            lengths = np.array([len(p) for p in block])
+            for k, own in enumerate(keys_of(char_matrix(block, len(block[0])).T, len(block[0])), 1):
+                keys[places[lengths == k]] = own[k - 1, lengths == k]
+        self.table = KeyTable()
+        self.table.add(keys)
+        self.seen = np.zeros(1 << 20, bool)  # most substrings are no piece, which this tells at once
+        self.seen[self._short(keys)] = True
+
+    def _short(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * MIX) >> np.uint64(44)).astype(np.int32)
+
+    def edges(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each length l (from 1): (bounds, rows, pieces). The words rows[bounds[j] : bounds[j + 1]] have these pieces as the l characters that end
+        at character j (from 0). Each character of a word has an edge of length 1, whose piece is `size` if the character is none."""
         width = max(map(len, words))
-        chars = char_matrix(words, width)
+        chars = np.ascontiguousarray(char_matrix(words, width).T)
         out = []
         for k, keys in enumerate(keys_of(chars, min(self.longest, width)), 1):
-            found = np.full(chars.shape, -1, np.int32)
-            inside = chars[:, k - 1 :] != 0
-            found[:, k - 1 :][inside] = self.index.get_indexer(keys[:, k - 1 :][inside] * np.uint64(self.longest + 1) + np.uint64(k))
-            out.append(found)
+            inside = chars[k - 1 :] != 0
+            if k > 1:
+                inside &= self.seen[self._short(keys[k - 1 :])]
+            at, rows = np.nonzero(inside)
+            at += k - 1
+            pieces = self.table.find(keys[at, rows])
+            if k > 1:
+                real = np.flatnonzero(pieces >= 0)
+                at, rows, pieces = at[real], rows[real], pieces[real]
+            else:
+                pieces[pieces < 0] = self.size
+            out.append((np.searchsorted(at, np.arange(width + 1)), rows, pieces))
         return out
 
 
-def blocks(words: list[str], most: int = 8192) -> Iterator[tuple[np.ndarray, list[str]]]:
-    """Blocks of words of similar length, with their places."""
-    order = np.argsort(np.fromiter(map(len, words), np.int64, len(words)), kind="stable")
-    for low in range(0, len(words), most):
-        part = order[low : low + most]
-        yield part, [words[i] for i in part]
-
-
-def cut_words(words: list[str]) -> tuple[list[str], np.ndarray]:
-    """Words cut to MAX_WORD characters, and how many parts each has."""
-    parts, counts = [], []
-    for w in words:
-        if len(w) <= MAX_WORD:
-            parts.append(w)
-            counts.append(1)
-        else:
-            own = [w[i : i + MAX_WORD] for i in range(0, len(w), MAX_WORD)]
-            parts += own
-            counts.append(len(own))
-    return parts, np.array(counts, np.int64)
+def ending_at(edges: list[tuple[np.ndarray, np.ndarray, np.ndarray]], j: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, words, pieces) of the edges that end at character j."""
+    for k, (bounds, rows, pieces) in enumerate(edges[: j + 1], 1):
+        low, high = bounds[j], bounds[j + 1]
+        if low < high:
+            yield k, rows[low:high], pieces[low:high]

@@ -3,12 +3,13 @@
 A document's set of word shingles is hashed once; each bin keeps its smallest hash, and an empty bin copies that of
 a bin drawn by its own sequence of hashes (optimal densification), the same for all documents. Bands of bins
 give buckets. Documents of equal sets are one class, and only its smallest id goes on. In each bucket the
-member that meets most others is the centre, and candidates are the edges from the members to it. Links are
-confirmed on full sets. A star alone could miss a link between two members x and y that are both unlike the centre c, so
-members outside the centre's component are compared with the others once more. In groups of up to SMALL_GROUP members
-that is each pair of different components. In larger ones it is bounded exactly: x and y share at most |x & c| shingles
-of c, so to be linked they must share some outside c (found by joining the rarest of x's, as many as leave no
-way round) or y must be small enough for |x & c| to suffice. Near copies of one text thus do not meet in
+member that meets most others is the centre c, and candidates are the edges from the members to it. Links are
+confirmed on full sets. A star alone could miss a link between two members x and y of which one is not in the centre's component (loose), so
+these are compared once more, bounded exactly. x and y must share at least `percent` of the larger one's shingles; at
+most as many as both share with c lie in c. So either they share a shingle outside c, and then one among the first few of
+what each has outside c, in an order common to all (the prefix bound); or both lie in c but for a few, and share one of the first few of all
+they have. The order is rarest first, by a sketch of counts of fixed size that covers all members; what the sketch
+saw once in a group can be shared by none and is left out. So near copies of one text, each with edits of its own, do not meet in
 pairs. Components are found by hooking and pointer jumping over tables.
 
 With 40 bands of 6 bins, two sets at a similarity of 0.8 share no bucket with a probability of 5e-6.
@@ -20,29 +21,23 @@ links and come back each; an empty table gives no rows; other columns are ignore
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.llm.common import WordCodes, chunks, remember, stage_table
+from lakewarden.llm.common import FOLDED, MIX, SPACES, Bytes, chunks, flags, keys_of_spans, mixed, stage_table
 
 BANDS, BINS_OF_BAND = 40, 6
 BINS = BANDS * BINS_OF_BAND
-MIX = np.uint64(0x9E3779B97F4A7C15)
+PARTING = flags(SPACES)
 #: Ids of documents that have a candidate are broadcast up to this number (8 bytes each); beyond it they are joined by a shuffle.
 MAX_BROADCAST_IDS = 500_000
-#: Members of a star's group whose pairs are compared as they are; larger groups go by shared shingles.
-SMALL_GROUP = 16
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A permutation of 64-bit numbers that leaves no visible pattern."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+#: Cells of the sketch that counts how often a shingle occurs in a star's group.
+CELLS = 1 << 22
 
 
 def probes() -> np.ndarray:
@@ -54,41 +49,18 @@ def probes() -> np.ndarray:
 PROBES = probes()
 
 
-class WordHashes(WordCodes):
-    """64-bit hashes of words (bytes)."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.forget()
-
-    def forget(self) -> None:
-        self.hashes = np.zeros(0, np.uint64)
-
-    def learn(self, words: list[bytes]) -> None:
-        import xxhash
-
-        self.hashes = np.concatenate([self.hashes, np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))])
-
-
-def shingle_sets(texts: list[str], size: int) -> Iterator[np.ndarray]:
+def shingle_sets(part: Bytes, size: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    known = remember("hashes", WordHashes)
-    for low, high in chunks(texts):
-        # bytes.lower changes A-Z only, and bytes.split cuts at the six ASCII spaces
-        words = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts[low:high]]
-        codes = known.of([w for own in words for w in own])
-        hashes, at = known.hashes[codes], 0
-        for own in words:
-            h = hashes[at : at + len(own)]
-            at += len(own)
-            width = min(size, len(h))
-            if not width:
-                yield np.zeros(0, np.uint64)
-                continue
-            total = np.full(len(h) - width + 1, np.uint64(width))
-            for k in range(width):
-                total = mixed(total * MIX + h[k : len(h) - width + 1 + k])
-            yield np.unique(total)
+    begins, ends, counts = part.words(PARTING)
+    words = keys_of_spans(part.data, begins, ends, FOLDED)
+    at = 0
+    for n in counts.tolist():
+        own, width = words[at : at + n], min(size, n)
+        at += n
+        total = np.full(max(0, n - width + 1) if width else 0, np.uint64(width))
+        for k in range(width):
+            total = mixed(total * MIX + own[k : n - width + 1 + k])
+        yield np.unique(total)
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -124,10 +96,9 @@ def sign(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
+        for batch in (part for whole in batches for part in chunks(whole)):
             n, keys, bands = [], [], []
-            for shingles in shingle_sets(texts, size):
+            for shingles in shingle_sets(Bytes.of(batch.column("text")), size):
                 n.append(len(shingles))
                 keys.append(xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None)
                 bands.append(bands_of(signature(shingles)) if len(shingles) else None)
@@ -140,9 +111,8 @@ def sets(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, shingles): the sorted hashes as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            own = [s.tobytes() for s in shingle_sets(texts, size)]
+        for batch in (part for whole in batches for part in chunks(whole)):
+            own = [s.tobytes() for s in shingle_sets(Bytes.of(batch.column("text")), size)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(own, pa.binary())], names=["doc_id", "shingles"])
 
     return docs.mapInArrow(run, "doc_id bigint, shingles binary")
@@ -175,20 +145,92 @@ def overlap(edges: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
     return sets_of.mapInArrow(run, "a bigint, b bigint, n_a bigint, n_b bigint, common bigint, linked boolean")
 
 
-def outside(members: DataFrame, shingles: DataFrame) -> DataFrame:
-    """(a, b, shingle): a row for each shingle of a that its centre b has not."""
+def material(members: DataFrame, shingles: DataFrame) -> DataFrame:
+    """(a, b, inside, keep, shingles): what decides whether a meets others of the group of b, and of how many of them, in the common order, one is shared.
+
+    members: a, b, common, n_a, need (the fewest shingles that a shares with what it is linked with), and within: whether it may be linked with
+    one that shares enough with it inside b.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, whole.num_rows, 512):
+                batch = whole.slice(low, 512)
+                owner, inside, keep, own = [], [], [], []
+                columns = (batch.column(c).to_pylist() for c in ("common", "n_a", "need", "within"))
+                for i, (common, n, need, within) in enumerate(zip(*columns, strict=True)):
+                    x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in ("set_a", "set_b"))
+                    found = [(False, n - common - max(1, need - common) + 1, np.setdiff1d(x, y, assume_unique=True))]
+                    found += [(True, n - need + 1, x)] if within else []
+                    for kind, most, values in found:
+                        if most > 0 and len(values):
+                            owner.append(i)
+                            inside.append(kind)
+                            keep.append(most)
+                            own.append(values.tobytes())
+                at = pa.array(owner, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at), pa.array(inside, pa.bool_()), pa.array(keep, pa.int64()), pa.array(own, pa.binary())], names=["a", "b", "inside", "keep", "shingles"])
+
+    return joined_sets(members, shingles).mapInArrow(run, "a bigint, b bigint, inside boolean, keep bigint, shingles binary")
+
+
+def size_class(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) * 50).cast("int")
+
+
+def cells(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each row of material its shingles and their cells of the sketch."""
+    for b, inside, own in zip(batch.column("b").to_pylist(), batch.column("inside").to_pylist(), batch.column("shingles"), strict=True):
+        values = np.frombuffer(own.as_buffer(), np.uint64)
+        yield values, (mixed(values + np.uint64((2 * b + inside) * int(MIX) % (1 << 64))) % np.uint64(CELLS)).astype(np.int64)
+
+
+def sketch(rows: DataFrame) -> np.ndarray:
+    """How often the shingles of a cell occur in their groups, up to 65535: sums of fixed size, of tasks, then of some tasks, then of all."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.uint32)
         for batch in batches:
-            own = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                own.append(np.setdiff1d(np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64), assume_unique=True))
-            at = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]), pa.int64())
-            values = pa.array(np.concatenate(own) if own else np.zeros(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at), values], names=["a", "b", "shingle"])
+            for _, own in cells(batch):
+                np.add.at(total, own, 1)
+        yield packed(total)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.uint32)
+        for batch in batches:
+            for own in batch.column("cells"):
+                total += np.frombuffer(zlib.decompress(own.as_py()), np.uint16)
+        yield packed(total)
+
+    def packed(total: np.ndarray) -> pa.RecordBatch:
+        data = zlib.compress(np.minimum(total, 65535).astype(np.uint16).tobytes(), 1)
+        return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["cells"])
+
+    parts = rows.mapInArrow(count, "cells binary").repartition(32).mapInArrow(add, "cells binary")
+    total = np.zeros(CELLS, np.uint32)
+    for r in parts.collect():  # 32 rows
+        total += np.frombuffer(zlib.decompress(r.cells), np.uint16)
+    return np.minimum(total, 65535).astype(np.uint16)
 
-    sets_of = joined_sets(members.select("a", "b"), shingles).select("a", "b", "set_a", "set_b")
-    return sets_of.mapInArrow(run, "a bigint, b bigint, shingle bigint")
+
+def first_few(rows: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(a, b, inside, shingles): of each row of material the first `keep` in the common order, without those that no other member of the group has."""
+    shared = rows.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, whole.num_rows, 512):
+                batch = whole.slice(low, 512)
+                out = []
+                for keep, (values, own) in zip(batch.column("keep").to_pylist(), cells(batch), strict=True):
+                    n = shared.value[own]
+                    order = np.lexsort((values, n))[:keep]
+                    out.append(values[order][n[order] > 1].view(np.int64))
+                ends = np.cumsum([0, *map(len, out)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out), pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b", "inside")] + [lists], names=["a", "b", "inside", "shingles"])
+
+    return rows.mapInArrow(run, "a bigint, b bigint, inside boolean, shingles array<bigint>")
 
 
 def components(links: DataFrame, nodes: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -219,7 +261,7 @@ def classes(signed: DataFrame) -> DataFrame:
 
 def link(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text); kept is one document of each component."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     signed = stage_table(sign(docs, size), "signed")
     groups = stage_table(classes(signed), "classes")
 
@@ -261,29 +303,26 @@ def settle(buckets: DataFrame, shingles: DataFrame, labels: DataFrame, percent:
     # Groups whose members, but for the centre, are of several components.
     of = lambda side: labels.select(F.col("doc_id").alias(side), F.col("component").alias(f"of_{side}"))
     members = stage_table(stars.join(of("a"), "a").join(of("b"), "b"), "members")
-    groups = members.groupBy("b").agg(F.min("of_a").alias("low"), F.max("of_a").alias("high"), F.count(F.lit(1)).alias("size"))
-    groups = groups.filter("low <> high").select("b", (F.col("size") <= SMALL_GROUP).alias("small"))
-    members = stage_table(members.join(groups, "b"), "members")
-    loose = F.col("of_a") != F.col("of_b")
-    other = members.select("b", F.col("a").alias("y"), F.col("of_a").alias("of_y"), F.col("n_a").alias("n_y"), "small")
+    members = members.withColumn("loose", F.col("of_a") != F.col("of_b"))
+    groups = members.groupBy("b").agg(F.min("of_a").alias("low"), F.max("of_a").alias("high")).filter("low <> high").select("b")
+    # n_a and n_y share enough inside b only if n_y <= most(a) and n_a <= most(y); sizes meet in classes of two percent
+    members = members.join(groups, "b").withColumn("need", F.expr(f"(n_a * {percent} + 99) div 100")).withColumn("most", F.expr(f"least(common * {100 + percent} div {percent} - n_a, n_a * 100 div {percent})"))
+    members = stage_table(members.select("a", "b", "of_a", "n_a", "common", "need", "loose", "most", size_class(F.col("n_a")).alias("class")), "members")
+    if members.isEmpty():
+        return labels
+    held = members.filter("most >= need")
+    wanted = held.filter("loose").select("a", "b", F.explode(F.sequence(size_class(F.col("need")), size_class(F.col("most")))).alias("class"))
+    wanted = stage_table(wanted.join(held.select("b", "class").distinct(), ["b", "class"], "left_semi"), "wanted")
+    within = wanted.select("a", "b").union(held.join(wanted.select("b", "class").distinct(), ["b", "class"], "left_semi").select("a", "b")).distinct()
+    asked = members.join(within.withColumn("within", F.lit(True)), ["a", "b"], "left").withColumn("within", F.coalesce("within", F.lit(False)))
+    rows = stage_table(material(asked.select("a", "b", "common", "n_a", "need", "within"), shingles), "material")
+    few = first_few(rows, sketch(rows)).select("a", "b", "inside", F.explode("shingles").alias("shingle"))
+    few = stage_table(few.join(members.select("a", "b", "of_a", "n_a", "loose", "most", "class"), ["a", "b"]), "few")
+    other = few.select("b", "inside", "shingle", "class", F.col("a").alias("y"), F.col("of_a").alias("of_y"), F.col("n_a").alias("n_y"), F.col("most").alias("most_y"))
     sized = f"100 * least(n_a, n_y) >= {percent} * greatest(n_a, n_y) and of_a <> of_y"
-    few = members.filter(loose & F.col("small")).join(other.filter("small").drop("small"), "b").filter(sized)
-
-    large = members.filter(~F.col("small"))
-    # Without a shared shingle outside the centre, |x & c| must suffice.
-    enough = large.filter(loose & (F.col("common") * 100 >= F.col("n_a") * percent)).withColumn("most", F.expr(f"floor(common * {100 + percent} / {percent}) - n_a"))
-    enough = enough.join(other.filter("not small").drop("small"), "b").filter(f"{sized} and n_y <= most")
-    # With one, it is among the rarest that remain when the fewest that x and y must share are left out.
-    extra = stage_table(outside(large, shingles), "outside")
-    spread = extra.groupBy("b", "shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    facts = large.select("a", "b", "of_a", "n_a", "common", loose.alias("loose"))
-    rare = extra.join(facts.filter("loose"), ["a", "b"]).join(spread, ["b", "shingle"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
-    rare = rare.withColumn("rank", F.expr("row_number() over (partition by a, b order by n, shingle)"))
-    rare = rare.filter(F.expr(f"rank <= n_a - common - greatest(1, ceil(n_a * {percent} / 100) - common) + 1 and n > 1"))
-    rare = rare.select("b", "shingle", "a", "of_a", "n_a")
-    whose = extra.join(facts.select("a", "b", F.col("of_a").alias("of_y"), F.col("n_a").alias("n_y")), ["a", "b"]).select("b", "shingle", F.col("a").alias("y"), "of_y", "n_y")
-    shared = rare.join(whose, ["b", "shingle"]).filter(sized)
-    pairs = few.select("a", "y").unionByName(enough.select("a", "y")).unionByName(shared.select("a", "y"))
+    beyond = few.filter("loose and not inside").join(other.filter("not inside").drop("class"), ["b", "shingle"]).filter(sized)
+    inner = few.filter("loose and inside").drop("class").join(wanted, ["a", "b"]).join(other.filter("inside"), ["b", "class", "shingle"]).filter(f"{sized} and n_y <= most and n_a <= most_y")
+    pairs = beyond.select("a", "y").union(inner.select("a", "y"))
     pairs = stage_table(pairs.select(F.least("a", "y").alias("a"), F.greatest("a", "y").alias("b")).distinct(), "pairs")
     if pairs.isEmpty():
         return labels

@@ -1,7 +1,7 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
-The tokens of each source form one queue, ordered by input part, id and tokens. Every window of the
-output takes from each queue its quantum, the target share of the window; the fraction of a
+The tokens of each source form one queue, ordered by a hash of id and tokens, so that the order hangs on the rows alone and not on
+files or partitions. Every window of the output takes from each queue its quantum, the target share of the window; the fraction of a
 token that a window cannot take is the queue's deficit and is carried to the next one. As a deficit
 after w windows is a closed form of w (the carried fraction of w * quantum), any task can place any
 document from the queue position of its first token, so windows and deficits run across
@@ -9,12 +9,17 @@ partitions without a sequential pass. When a queue runs dry, a new phase shares
 among the others. Windows follow each other without gaps in one token stream, which is
 cut into sequences; the last, partial sequence is cut into powers of two, so nothing is padded.
 
+A queue's position comes from two levels of sums: over its slots (ranges of the hash, at most 2**SLOT_BITS rows a queue) and within a
+slot, so that no task sorts more than a slot of a source. The schedule holds a few numbers for each source and phase, on the driver and in each
+task; phases are as many as queues that run dry apart from each other, a few with the default weights.
+
 Cases: null text packs as the empty text (one end token); a null source is the source ''; null ids stay
 null; repeated rows are packed each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -24,105 +29,79 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakewarden.llm.common import WordCodes, chunks, ragged, remember, stage_table
+from lakewarden.llm.common import EXACT, FOLDED, Bytes, WordCodes, chunks, flags, ragged, remember, segment_sums, stage_table
 
 #: Quanta are fixed-point numbers with this many parts of a token.
 PARTS = 1 << 20
-#: More sources than this are hashed onto so many queues, so that the schedule stays small.
-MAX_QUEUES = 1024
+#: A queue's rows are dealt into 2**SLOT_BITS ranges of their hash.
+SLOT_BITS = 12
+#: Numbers of windows that a task remembers.
+WINDOW_CELLS = 1 << 17
 END_ID = 1
 
 
-def lowered(text: str) -> str:
-    """The text in lower case where that is sure to be what the tokenizer does itself; it makes more words equal."""
-    if "<|" in text:  # may be a special token, which is told by its case
-        return text
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return text
-    return text.lower()
+def byte_letters() -> dict[int, str]:
+    """The letters that a byte-level vocabulary writes for the code points 0 to 255 of bytes: printable ones are themselves, the others follow from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in shown)}
 
 
-#: Marks that end a word; after letters each is a token of its own.
-MARKS = frozenset(".,!?;:")
+#: Words of these characters are what the tokenizer's normalizer leaves them, but for case.
+PLAIN = re.compile("[!-~\u00a1-\u00ac\u00ae-\u00ff]+")
+# How the tokenizer parts such a word, in lower case, before it looks for pieces.
+LETTER, NUMBER = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+PRETOKENS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^{LETTER}{NUMBER}]+")
+#: White space of ASCII that parts words for the tokenizer too.
+PARTING = flags(b" \t\n\v\f\r")
+#: Distinct parts that a Python worker remembers.
+MOST_PARTS = 200_000
 
 
-class StemTokens(WordCodes):
-    """Token ids of words, straight from the tokenizer."""
+class WordTokens(WordCodes):
+    """Token ids of words and texts. The tokenizer drops white space and no token crosses it, so the ids of a text are those of its words; those of a plain word are those of its parts."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.last[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
-        self.forget()
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.letters, self.parts = byte_letters(), {}
+        self.kind = np.dtype("<u2" if max(self.tokenizer.get_vocab(with_added_tokens=True).values()) < 1 << 16 else "<u4")
+        super().__init__()
 
     def forget(self) -> None:
-        self.ids, self.starts, self.lengths = (np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-    def keep(self, ids: list[np.ndarray], counts: np.ndarray) -> None:
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
-        self.lengths = np.concatenate([self.lengths, counts])
-        self.ids = np.concatenate([self.ids, *ids])
+        self.ids, self.starts, self.lengths = np.zeros(0, self.kind), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def learn(self, words: list[str]) -> None:
-        lengths, ids = [], []
-        for low, high in chunks(words, 1 << 16):
-            part = words[low:high]
-            done = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids.append(np.array(done.ids, np.uint32))
-            lengths.append(self.counts(part, done, ids[-1]))
-        self.keep(ids, np.concatenate(lengths))
-
-    def counts(self, part: list[str], done, ids: np.ndarray) -> np.ndarray:
-        """How many of the ids each word has."""
-        ends = np.flatnonzero(self.last[ids])
-        if len(ends) == len(part) and all(map(str.isalpha, part)):  # one token of each word ends it
-            return np.diff(ends, prepend=-1)
-        begins = np.cumsum([0, *(len(w) + 1 for w in part)])
-        at = np.fromiter((a for a, _ in done.offsets), np.int64, len(ids))
-        return np.bincount(np.searchsorted(begins, at, "right") - 1, minlength=len(part))
-
-
-class WordTokens(StemTokens):
-    """Token ids of words and texts. The tokenizer drops white space and no token crosses it, so the ids of a text are those of its words; those of letters with a mark are the letters' and the mark's."""
-
-    def __init__(self, path: str) -> None:
-        super().__init__(path)
-        self.stems = StemTokens(path)
+        parts, split, plain, tokenize = self.parts, PRETOKENS.findall, PLAIN.fullmatch, self.tokenizer.model.tokenize
+        ids: list[int] = []
+        ends = []
+        for word in words:
+            if plain(word) and not ("<" in word and any(s in word.encode() for s in self.special)):
+                for part in split(word.lower()):
+                    known = parts.get(part)
+                    if known is None:
+                        shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+                        known = parts[part] = [t.id for t in tokenize(shown)]
+                    ids += known
+            else:
+                ids += self.tokenizer.encode(word, add_special_tokens=False).ids
+            ends.append(len(ids))
+        if len(parts) > MOST_PARTS:
+            parts.clear()
+        counts = np.diff(ends, prepend=0).astype(np.int32)
+        self.starts = np.concatenate([self.starts, (len(self.ids) + np.cumsum(counts) - counts).astype(np.int32)])
+        self.lengths = np.concatenate([self.lengths, counts])
+        self.ids = np.concatenate([self.ids, np.array(ids, self.kind)])
 
-    def learn(self, words: list[str]) -> None:
-        marked = [w[-1:] in MARKS and w[:-1].isalpha() for w in words]
-        both = [x for w, m in zip(words, marked, strict=True) for x in ((w[:-1], w[-1:]) if m else (w, ""))]
-        own = sorted(set(both), key=str.isalpha)  # letters apart from the rest, which takes another way
-        number = dict(zip(own, self.stems.of(own).tolist(), strict=True))
-        codes = np.fromiter(map(number.__getitem__, both), np.int64, len(both))
-        lengths = self.stems.lengths[codes]
-        self.keep([self.stems.ids[ragged(self.stems.starts[codes], lengths)]], lengths.reshape(-1, 2).sum(axis=1))
-
-    def id_type(self) -> str:
-        return "<u2" if len(self.last) <= 1 << 16 else "<u4"
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
-        out = []
-        for low, high in chunks(texts):
-            words, counts = [], []
-            for text in texts[low:high]:
-                text = lowered(text)
-                own = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-                words += own
-                counts.append(len(own))
-            codes = self.of(words)
-            lengths = self.lengths[codes]
-            ids = self.ids[ragged(self.starts[codes], lengths)]
-            before = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum([0, *counts])]
-            out += [ids[a:b] for a, b in zip(before[:-1], before[1:], strict=True)]
-        return out
+    def encode(self, part: Bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and how many each has."""
+        begins, ends, counts = part.words(PARTING)
+        folded = part.data.tobytes().lower()  # case tells special tokens from ordinary text, and nothing else
+        self.terms = EXACT if any(s.lower() in folded for s in self.special) else FOLDED
+        codes = self.of(part.data, begins, ends)
+        lengths = self.lengths[codes]
+        return self.ids[ragged(self.starts[codes], lengths)], segment_sums(lengths, counts).astype(np.int64)
 
 
 def encoder(path: str) -> WordTokens:
@@ -131,23 +110,26 @@ def encoder(path: str) -> WordTokens:
 
 
 def tokenize(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """(doc_id, queue, part, n, ids): ids are little-endian unsigned numbers of id_type and end with END_ID."""
+    """(doc_id, queue, slot, place, n, ids): ids are little-endian unsigned numbers of 16 or 32 bits and end with END_ID; place is a hash of id and ids, slot its upper bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(tokenizer)
-        kind_of_ids = words.id_type()
-        for batch in batches:
-            texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
-            ids = [np.append(x, END_ID).astype(kind_of_ids) for x in words.encode(texts)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("queue"), batch.column("part"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
-                names=["doc_id", "queue", "part", "n", "ids"],
-            )
+        width = words.kind.itemsize
+        for whole in batches:
+            for batch in chunks(whole):
+                own, counts = words.encode(Bytes.of(batch.column("text")))
+                ends = np.cumsum(counts + 1)
+                ids = np.full(ends[-1], END_ID, words.kind)
+                ids[ragged(ends - counts - 1, counts)] = own
+                column = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer((np.append(0, ends) * width).astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("queue"), pa.array(counts + 1), column], names=["doc_id", "queue", "n", "ids"])
 
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
-    chosen = docs.select("doc_id", source.alias("queue"), F.spark_partition_id().alias("part"), F.col("text").cast("string").alias("text"))
-    return chosen.mapInArrow(run, f"doc_id {kind}, queue string, part int, n bigint, ids binary")
+    chosen = docs.select("doc_id", source.alias("queue"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    made = chosen.mapInArrow(run, f"doc_id {kind}, queue string, n bigint, ids binary")
+    place = F.xxhash64("doc_id", "ids")
+    return made.select("doc_id", "queue", F.shiftrightunsigned(place, 64 - SLOT_BITS).cast("int").alias("slot"), place.alias("place"), "n", "ids")
 
 
 class Schedule:
@@ -184,7 +166,7 @@ class Schedule:
     def window(self, phase: int, w: int) -> list[tuple[int, int, int]]:
         """Of window w of a phase: each queue's first token, its end, and its place in the stream."""
         if (phase, w) not in self.windows:
-            if len(self.windows) > 4096:
+            if len(self.windows) * len(self.totals) > WINDOW_CELLS:
                 self.windows.clear()
             low, high = self.taken(phase, w), self.taken(phase, w + 1)
             places = self.first[phase] + (low - self.bases[phase]).sum() + np.cumsum(high - low) - (high - low)
@@ -225,28 +207,22 @@ def pack(docs: DataFrame, tokenizer: str, *, length: int = 2048, window_sequence
     if length & (length - 1):
         raise ValueError("length must be a power of two")
     tokens = stage_table(tokenize(docs, tokenizer), "tokens")
-    queues = tokens.select("queue").distinct().limit(MAX_QUEUES + 1).count()
-    if queues > MAX_QUEUES:
-        hashed = F.pmod(F.xxhash64("queue"), F.lit(MAX_QUEUES)).cast("string")
-        if weights:
-            raise ValueError(f"weights need at most {MAX_QUEUES} sources")
-        tokens = tokens.withColumn("queue", hashed)
-    by_part = tokens.groupBy("queue", "part").agg(F.sum("n").alias("total"))
-    totals = {r.queue: r.total for r in by_part.groupBy("queue").agg(F.sum("total").alias("total")).collect()}
+    by_slot = tokens.groupBy("queue", "slot").agg(F.sum("n").alias("total"))
+    totals = {r.queue: r.total for r in by_slot.groupBy("queue").agg(F.sum("total").alias("total")).collect()}
     names = sorted(totals)
     plan = Schedule([totals[q] for q in names], [int((weights or totals).get(q, 0)) for q in names], length * window_sequences)
     ends = np.array(sequence_ends(plan.size, length), np.int64)
     number = {q: i for i, q in enumerate(names)}
 
-    parts = Window.partitionBy("queue").orderBy("part")  # a row for each part of the input, not for each document
-    begins = by_part.select("queue", "part", (F.sum("total").over(parts) - F.col("total")).alias("part_start"))
-    rows = Window.partitionBy("queue", "part").orderBy("doc_id", "ids")
+    slots = Window.partitionBy("queue").orderBy("slot")  # a row for each slot, not for each document
+    begins = by_slot.select("queue", "slot", (F.sum("total").over(slots) - F.col("total")).alias("slot_start"))
+    rows = Window.partitionBy("queue", "slot").orderBy("place", "doc_id", "ids")
     placed = tokens.withColumn("within", F.sum("n").over(rows.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
-    placed = placed.join(begins, ["queue", "part"]).select("doc_id", "queue", "n", "ids", (F.col("part_start") + F.col("within")).alias("at"))
+    placed = placed.join(begins, ["queue", "slot"]).select("doc_id", "queue", "n", "ids", (F.col("slot_start") + F.col("within")).alias("at"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = plan.size - plan.size % length
-        for batch in batches:
+        for batch in (whole.slice(low, 1024) for whole in batches for low in range(0, whole.num_rows, 1024)):
             owner, out = [], []
             columns = (batch.column(c).to_pylist() for c in ("queue", "n", "ids", "at"))
             for i, (queue, n, ids, at) in enumerate(zip(*columns, strict=True)):

@@ -3,10 +3,12 @@
 A sentence's score is logistic in the hashed character n-grams of its words; a document is toxic if at least
 one of its sentences is: 1 - product of (1 - p). The gradient of the document's log-likelihood reaches the
 sentences through that product, so that no sentence needs a label. Partitions fit on their own rows and the
-weights are averaged after each round (iterative parameter mixing).
+weights are averaged after each round (iterative parameter mixing). A partition of few rows would learn only what it knows by
+heart, so small samples are fitted in fewer partitions; what the model is hangs on the sample, not on the table's size.
 
 Cases: null or empty text has the score of one empty sentence; null labels are not learned; null ids are the id
-'' for the fold; without labels all scores are 0; repeated rows are scored each; other columns are ignored.
+'' for the fold; without labels all scores are 0; repeated rows are scored each, and of equal labels each counts; other
+columns are ignored, and columns to keep that have the name of a result are left out.
 """
 
 from __future__ import annotations
@@ -20,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.llm.common import WordCodes, char_matrix, chunks, id_remainder, ragged, remember, segment_sums, stage_table
-from lakewarden.llm.lattice import blocks, cut_words, keys_of
+from lakewarden.llm.common import FOLDED, MIX, SPACES, Bytes, WordCodes, blocks, char_matrix, chunks, flags, id_remainder, keys_of_spans, ragged, remember, segment_sums, stage_table
+from lakewarden.llm.lattice import keys_of
 
 BITS = 20
 #: Lengths of the character n-grams, of the word between '^' and '$'; each whole word is one more feature.
 GRAMS = (4, 5, 6)
-SENTENCE = re.compile(r"[^.!?\n]+")
+ENDS = b".!?\n"
+SENTENCE = re.compile(r"[^.!?\n]*[^.!?\n \t\v\f\r,][^.!?\n]*")  # with a word in it
+PARTING, ENDING = flags(SPACES + b"," + ENDS), flags(ENDS)
 #: A feature needs this many training texts of its partition; rarer ones would only learn these by heart.
 LEAST_TEXTS = 5
 #: Pull of every weight towards zero, so that few features remain.
@@ -36,38 +40,42 @@ THRESHOLD = 0.7
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """A row of feature numbers for each word, and which of them count."""
+    """(words, features): each feature of each word, whole words and n-grams of words of any length."""
     words = [f"^{w}$" for w in words]
     lengths = np.fromiter(map(len, words), np.int64, len(words))
-    chars = char_matrix(words, int(lengths.max()))
-    keys = keys_of(chars, max(GRAMS))
+    chars = np.ascontiguousarray(char_matrix(words, int(lengths.max())).T)
     whole = np.zeros(len(words), np.uint64)
-    for j in range(chars.shape[1]):
-        whole = np.where(j < lengths, whole * np.uint64(0x100000001B3) + chars[:, j].astype(np.uint64), whole)
-    columns = [whole[:, None], *(keys[n - 1][:, n - 1 :] for n in GRAMS)]
-    there = [np.ones((len(words), 1), bool), *(chars[:, n - 1 :] != 0 for n in GRAMS)]
-    numbers = [(k * np.uint64(0x9E3779B97F4A7C15 + 2 * i)) >> np.uint64(64 - BITS) for i, k in enumerate(columns)]
-    return np.concatenate(numbers, axis=1).astype(np.int64), np.concatenate(there, axis=1)
+    for j, column in enumerate(chars):
+        whole = np.where(j < lengths, whole * np.uint64(0x100000001B3) + column.astype(np.uint64), whole)
+    owners, features = [np.arange(len(words))], [feature(whole, 0)]
+    for n, keys in enumerate(keys_of(chars, max(GRAMS)), 1):
+        if n in GRAMS and n <= len(chars):
+            at = np.nonzero(chars[n - 1 :])
+            owners.append(at[1])
+            features.append(feature(keys[n - 1 :][at], n))
+    return np.concatenate(owners), np.concatenate(features)
+
+
+def feature(keys: np.ndarray, kind: int) -> np.ndarray:
+    return ((keys * np.uint64(int(MIX) + 2 * kind)) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
     """Begin and end of each sentence that has a word; a text without any is one empty sentence."""
-    return [m.span() for m in SENTENCE.finditer(text) if m[0].replace(",", " ").split()] or [(0, len(text))]
+    return [m.span() for m in SENTENCE.finditer(text)] or [(0, len(text))]
 
 
-def split(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """All words, how many each sentence has, and how many sentences each text has."""
-    words: list[str] = []
-    per_sentence: list[int] = []
-    per_text = []
-    for text in texts:
-        own = [s.replace(",", " ").split() for s in SENTENCE.findall(text.lower())]
-        own = [s for s in own if s] or [[]]
-        for s in own:
-            words += s
-            per_sentence.append(len(s))
-        per_text.append(len(own))
-    return words, np.array(per_sentence, np.int64), np.array(per_text, np.int64)
+def split(part: Bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end of all words, how many each sentence has, and how many sentences each text has."""
+    begins, ends, counts = part.words(PARTING)
+    passed = np.searchsorted(np.flatnonzero(ENDING[part.data]), begins)
+    row = np.repeat(np.arange(len(counts)), counts)
+    first = np.flatnonzero(np.diff(passed, prepend=-1) | np.diff(row, prepend=-1)) if len(begins) else np.zeros(0, np.int64)
+    own = np.bincount(row[first], minlength=len(counts))
+    per_text = np.maximum(own, 1)
+    per_sentence = np.zeros(int(per_text.sum()), np.int64)
+    per_sentence[ragged(np.cumsum(per_text) - per_text, own)] = np.diff(np.append(first, len(begins)))
+    return begins, ends, per_sentence, per_text
 
 
 def log_safe(z: np.ndarray) -> np.ndarray:
@@ -79,25 +87,23 @@ class WordLogits(WordCodes):
     """The part of each word in the log-odds of its sentence."""
 
     def __init__(self, weights: np.ndarray) -> None:
-        super().__init__()
         self.weights = weights
-        self.forget()
+        super().__init__(terms=FOLDED)
 
     def forget(self) -> None:
-        self.logits = np.zeros(0)
+        self.logits = np.zeros(0, np.float32)
 
     def learn(self, words: list[str]) -> None:
-        parts, counts = cut_words(words)
-        own = np.zeros(len(parts))
-        for places, block in blocks(parts):
-            numbers, there = grams(block)
-            own[places] = (self.weights[numbers] * there).sum(axis=1)
-        self.logits = np.concatenate([self.logits, segment_sums(own, counts)])
-
-    def score(self, texts: list[str], bias: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own = np.zeros(len(words), np.float32)
+        for places, block in blocks([w.lower() for w in words]):
+            rows, features = grams(block)
+            own[places] = np.bincount(rows, self.weights[features], len(block))
+        self.logits = np.concatenate([self.logits, own])
+
+    def score(self, part: Bytes, bias: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Log-odds of all sentences, how many each text has, and the texts' noisy-or."""
-        words, per_sentence, per_text = split(texts)
-        found = self.of(words)
+        begins, ends, per_sentence, per_text = split(part)
+        found = self.of(part.data, begins, ends)
         z = bias + segment_sums(self.logits[found], per_sentence)
         return z, per_text, -np.expm1(segment_sums(log_safe(z), per_text))
 
@@ -106,21 +112,20 @@ class Bag:
     """The training rows of one partition as arrays: sentences of word numbers, words of feature numbers."""
 
     def __init__(self, texts: list[str], labels: list[int], row_weights: list[float]) -> None:
-        words, self.per_sentence, self.per_text = split(texts)
+        part = Bytes.of(pa.array(texts, pa.large_string()))
+        begins, ends, self.per_sentence, self.per_text = split(part)
         self.labels, self.row_weights = np.array(labels), np.array(row_weights) / sum(row_weights)
-        number = {w: i for i, w in enumerate(dict.fromkeys(words))}
-        self.words = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-        parts, counts = cut_words(list(number))
-        rows, features = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        owner = np.repeat(np.arange(len(number)), counts)
-        for places, block in blocks(parts):
-            numbers, there = grams(block)
-            at = np.nonzero(there)
-            rows.append(owner[places][at[0]])
-            features.append(numbers[at])
+        _, some, self.words = np.unique(keys_of_spans(part.data, begins, ends, FOLDED), return_index=True, return_inverse=True)
+        raw = part.data.tobytes()
+        number = [raw[a:b].decode("utf-8", "replace").lower() for a, b in zip(begins[some].tolist(), ends[some].tolist(), strict=True)]
+        rows, features = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for places, block in blocks(number):
+            own, numbers = grams(block)
+            rows.append(places[own])
+            features.append(numbers)
         order = np.argsort(row := np.concatenate(rows), kind="stable")
-        features, per_word = np.concatenate(features)[order].astype(np.int32), np.bincount(row, minlength=len(number))
-        del words, parts, rows, row, order
+        features, per_word = np.concatenate(features)[order], np.bincount(row, minlength=len(number))
+        del rows, row, order, raw, part
 
         first, at, texts_of = np.cumsum(per_word) - per_word, 0, np.zeros(1 << BITS, np.int32)
         sizes = np.add.reduceat(self.per_sentence, np.cumsum(self.per_text) - self.per_text)
@@ -203,31 +208,35 @@ def fit(docs: DataFrame, labels: DataFrame, *, rounds: int = 3, steps: int = 40,
     return weights, bias
 
 
+def offending(text: str, p: np.ndarray) -> list[dict]:
+    """The sentences at or above THRESHOLD, and the likeliest others until those named reach it by themselves, in the order of the text."""
+    order = np.argsort(-p, kind="stable")
+    safe = np.cumprod(1 - p[order])
+    few = max(int((p >= THRESHOLD).sum()), int(np.searchsorted(-safe, -(1 - THRESHOLD), "left")) + 1)
+    where = sentences(text)
+    return [{"begin": where[i][0], "end": where[i][1], "score": float(p[i])} for i in sorted(order[:few].tolist())]
+
+
 def score(docs: DataFrame, weights: np.ndarray, bias: float, keep: list[str], *, locate: bool = False) -> DataFrame:
-    """The columns of keep, score and, if asked for, sentences: begin, end and score of those at or above THRESHOLD."""
+    """The columns of keep, score and, if asked for, sentences: begin, end and score of those that make the document toxic."""
+    keep = [c for c in keep if c.lower() not in ("score", "sentences")]
+    text = "text" if "text" in keep else "__text"
     shared, key = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32)), uuid.uuid4().hex
     found_type = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = remember(key, lambda: WordLogits(shared.value.astype(np.float64)))
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            scores, found = [], []
-            for low, high in chunks(texts):
-                z, per_text, own = words.score(texts[low:high], bias)
-                scores.append(own)
-                if locate:
-                    p, at = 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0
-                    for text, n in zip(texts[low:high], per_text, strict=True):
-                        hit = np.flatnonzero(p[at : at + n] >= THRESHOLD)
-                        where = sentences(text) if len(hit) else []
-                        found.append([{"begin": where[i][0], "end": where[i][1], "score": float(p[at + i])} for i in hit])
-                        at += n
-            columns = [*(batch.column(c) for c in keep), pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(found, found_type)] * locate, names=[*keep, "score"] + ["sentences"] * locate)
+        for batch in (part for whole in batches for part in chunks(whole, text)):
+            part = Bytes.of(batch.column(text))
+            z, per_text, scores = words.score(part, bias)
+            columns = [*(batch.column(c) for c in keep), pa.array(scores, pa.float64())]
+            if locate:
+                p, begins = 1 / (1 + np.exp(-np.clip(z, -30, 30))), np.cumsum(per_text) - per_text
+                columns.append(pa.array([offending(part.text(i), p[at : at + n]) if score >= THRESHOLD else [] for i, (at, n, score) in enumerate(zip(begins, per_text, scores, strict=True))], found_type))
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "score"] + ["sentences"] * locate)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    needed = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")
+    needed = docs.select(*keep) if text in keep else docs.select(*keep, F.col("text").cast("string").alias(text))
     return needed.mapInArrow(run, f"{kinds}, score double" + ", sentences array<struct<begin: bigint, end: bigint, score: double>>" * locate)
 
 
