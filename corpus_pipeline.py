@@ -28,7 +28,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Keeps documents with a letter whose best language is likelier than all others together."""
     vocabulary = tokenizer_path("piece_bpe_32k.model")
     model = langid.fit(docs.filter(~langid.held_out()), vocabulary)
-    found = langid.predict(docs.select(*COLUMNS), vocabulary, *model, COLUMNS)
+    found = langid.predict(docs.select(*COLUMNS), vocabulary, model, COLUMNS)
     return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= 0.5)).select(*COLUMNS)
 
 
