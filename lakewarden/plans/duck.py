@@ -22,7 +22,7 @@ def semantic_type(x: str) -> str:
     is_ = lambda p: f"regexp_matches({x}, '{p}')"
     return (
         f"CASE WHEN {x} IS NULL THEN NULL WHEN {x} = '' THEN 'empty' WHEN {is_(T.EMAIL)} THEN 'email' WHEN {is_(T.URL)} THEN 'url' WHEN {is_(T.UUID)} THEN 'uuid' "
-        f"WHEN {is_(T.IPV4)} OR ({is_(T.IPV6)} AND length(regexp_replace({x}, '\\n\\z', '')) BETWEEN 3 AND 45) THEN 'ip_address' WHEN {is_(T.TIMESTAMP)} THEN 'timestamp' "
+        f"WHEN {is_(T.IPV4)} OR ({is_(T.IPV6)} AND contains({x}, ':')) THEN 'ip_address' WHEN {is_(T.TIMESTAMP)} THEN 'timestamp' "
         f"WHEN CASE WHEN {is_(T.CARD)} AND length({digits(x)}) BETWEEN 13 AND 19 THEN {luhn(digits(x))} ELSE false END THEN 'credit_card' "
         f"WHEN {is_(T.NUMBER)} THEN 'number' WHEN {is_(T.PHONE)} THEN 'phone' WHEN lower({x}) IN ('true', 'false') THEN 'boolean' ELSE 'text' END"
     )
