@@ -494,12 +494,12 @@ def test_samples_follow_the_lattice():
 def test_cuts_part_no_piece():
     path = tokenizer_path("piece_bpe_32k.model")
     own = sampling.probabilities(path)[0]
-    text = "".join(p.replace("▁", " ") for p in own if "▁" in p or len(p) > 9)
+    text, joined = "".join(p.replace("▁", " ") for p in own if "▁" in p or len(p) > 9), sampling.neighbours(own)
     for piece in own[::7]:
         shown = piece.replace("▁", " ")
-        begins, _, _ = sampling.cut(common.Bytes.of(pa.array([shown])), sampling.neighbours(own))
+        begins, _, _ = sampling.cut(common.Bytes.of(pa.array([shown])), joined)
         assert begins.tolist() == [0] or shown == "▁"
-    begins, ends, _ = sampling.cut(common.Bytes.of(pa.array([text])), sampling.neighbours(own))
+    begins, ends, _ = sampling.cut(common.Bytes.of(pa.array([text])), joined)
     assert begins[0] == 0 and ends[-1] == len(text.encode()) and (begins[1:] == ends[:-1]).all()
 
 
