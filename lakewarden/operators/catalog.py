@@ -1,12 +1,12 @@
 """Catalog convergence: what changes when an observed schema meets the stored one, and the state after it.
 
-observed: schema_name, name, asset_type, column_name, data_type, ordinal, nullable.
+observed: schema_name, name, asset_type, column_name, data_type, ordinal, nullable. A table without columns is a row without a column.
 stored: the same with asset_lifecycle and column_lifecycle. Keys are unique in both.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ASSET = ["schema_name", "name"]
@@ -29,8 +29,8 @@ def asset_changes(observed: DataFrame, stored: DataFrame) -> DataFrame:
 def column_changes(observed: DataFrame, stored: DataFrame) -> DataFrame:
     """insert_column, update_column and missing_column rows with facts before and after. Columns of assets that were missing already are left."""
     facts = lambda side: F.struct("data_type", "ordinal", "nullable").alias(side)
-    new = observed.select(*COLUMN, facts("after"))
-    old = stored.select(*COLUMN, facts("before"), "column_lifecycle", "asset_lifecycle")
+    new = observed.filter("column_name is not null").select(*COLUMN, facts("after"))
+    old = stored.filter("column_name is not null").select(*COLUMN, facts("before"), "column_lifecycle", "asset_lifecycle")
     both = new.join(old, COLUMN, "full_outer")
     change = (
         F.when(F.col("before").isNull(), "insert_column")
@@ -59,10 +59,15 @@ def apply(observed: DataFrame, stored: DataFrame) -> DataFrame:
     """The stored table after the plan: what was not observed is missing, the rest active with its new facts; ids of stored rows stay."""
     ids = [c for c in ("asset_id", "column_id") if c in stored.columns]
     facts = ["asset_type", "data_type", "ordinal", "nullable"]
+    # The row of a table without columns goes by the empty name, and away once the table has columns.
+    named = lambda df: df.withColumn("column_name", F.coalesce("column_name", F.lit("")))
+    filled = observed.filter("column_name is not null").select(*ASSET).distinct()
+    bare = stored.filter("column_name is null").join(filled, ASSET, "left_anti")
+    observed, stored = named(observed), named(stored.filter("column_name is not null").unionByName(bare))
     # A missing column keeps the asset's lifecycle unless the asset is gone too.
     seen = observed.select(*ASSET).distinct().withColumn("asset_seen", F.lit(True))
     both = observed.select(*COLUMN, *(F.col(c).alias(f"new_{c}") for c in facts)).join(stored, COLUMN, "full_outer").join(seen, ASSET, "left")
-    here = F.col("new_data_type").isNotNull()
+    here = F.col("new_asset_type").isNotNull()
     types = observed.groupBy(*ASSET).agg(F.min("asset_type").alias("now_type"))
     both = both.join(types, ASSET, "left")
     key = lambda *c: F.sha2(F.concat_ws("\x1f", *c), 256)
@@ -70,7 +75,7 @@ def apply(observed: DataFrame, stored: DataFrame) -> DataFrame:
     asset_life = F.when(F.col("asset_seen"), "active").when(F.col("asset_lifecycle") == "active", "missing").otherwise(F.col("asset_lifecycle"))
     column_life = F.when(here, "active").when((F.col("column_lifecycle") == "active") & (F.coalesce(F.col("asset_seen"), F.lit(False)) | (F.col("asset_lifecycle") == "active")), "missing").otherwise(F.col("column_lifecycle"))
     return both.select(
-        *(F.coalesce(F.col(c), made[c]).alias(c) for c in ids), *COLUMN, F.coalesce("now_type", "asset_type").alias("asset_type"),
+        *(F.coalesce(F.col(c), made[c]).alias(c) for c in ids), *ASSET, F.nullif("column_name", F.lit("")).alias("column_name"), F.coalesce("now_type", "asset_type").alias("asset_type"),
         *(F.when(here, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in facts[1:]), asset_life.alias("asset_lifecycle"), column_life.alias("column_lifecycle"),
     )
 
@@ -87,7 +92,7 @@ def events(planned: DataFrame) -> DataFrame:
 
 def summary(observed: DataFrame, planned: DataFrame) -> DataFrame:
     """One row: assets, columns, changes and whether anything changed."""
-    seen = observed.agg(F.count_distinct(*ASSET).alias("assets"), F.count(F.lit(1)).alias("columns"))
+    seen = observed.agg(F.count_distinct(*ASSET).alias("assets"), F.count("column_name").alias("columns"))
     changes = planned.agg(F.count(F.lit(1)).alias("changes"))
     return seen.join(F.broadcast(changes)).withColumn("changed", F.col("changes") > 0)  # two rows of one aggregate each
 
@@ -100,7 +105,8 @@ def page(assets: DataFrame, after: tuple[str, str, str] | None = None, limit: in
     if after:
         rows = rows.filter(F.struct(*keys) > F.struct(*(F.lit(x).cast("string").alias(k) for k, x in zip(keys, after, strict=True))))
     rows = rows.orderBy(*keys).limit(limit)
-    return rows.withColumn("cursor", encode_cursor(*map(F.col, keys)))
+    full = F.count(F.lit(1)).over(Window.partitionBy()) == limit  # over the page's rows, 200 at most
+    return rows.withColumn("cursor", F.when(full, encode_cursor(*map(F.col, keys))))
 
 
 def encode_cursor(*parts: Column) -> Column:

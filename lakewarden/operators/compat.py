@@ -42,21 +42,22 @@ def verdicts(old: DataFrame, new: DataFrame, found: DataFrame, declared: DataFra
 
 def endpoint(url: Column) -> Column:
     """struct(scheme, host, port, path, problem) of a base URL; problem is null if it is well-formed."""
-    text = F.trim(url)
+    text = F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
     scheme = F.lower(F.regexp_extract(text, r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1))
     place = F.regexp_extract(text, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)
-    host = F.lower(F.regexp_extract(place, r"^([^:]*)", 1))
-    port = F.regexp_extract(place, r":([^:]*)$", 1)
+    host = F.lower(F.when(F.startswith(place, F.lit("[")), F.regexp_extract(place, r"^\[([^\]]*)\]", 1)).otherwise(F.regexp_extract(place, r"^([^:]*)", 1)))
+    port = F.regexp_extract(place, r"^(?:\[[^\]]*\]|[^:\[]*):(.*)$", 1)
     path = F.rtrim(F.regexp_extract(text, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1), F.lit("/"))
     problem = (
         F.when(text.isNull() | (text == ""), "empty")
         .when(~scheme.isin(*DEFAULT_PORTS), "scheme")
         .when(F.contains(place, F.lit("@")), "credentials")
-        .when(text.rlike("[?#]"), "query")
+        .when(text.rlike(r"^[^?#]*\?[^#]|#."), "query")  # an empty query or fragment is none
+        .when(F.startswith(place, F.lit("[")) & ~place.rlike(r"^\[[0-9a-fA-F:.]+\](:.*)?$"), "host")
         .when((port != "") & ~(port.rlike(r"^[0-9]{1,5}$") & (F.try_to_number(port, F.lit("99999")) <= 65535)), "port")
         .when(host == "", "host")
     )
-    number = F.when(port.rlike(r"^[0-9]{1,5}$"), port.cast("int")).otherwise(F.when(scheme == "https", 443).otherwise(80))
+    number = F.when(port.rlike(r"^[0-9]{1,5}$") & (F.try_to_number(port, F.lit("99999")) > 0), port.cast("int")).otherwise(F.when(scheme == "https", 443).otherwise(80))
     return F.struct(scheme.alias("scheme"), host.alias("host"), number.alias("port"), path.alias("path"), problem.alias("problem"))
 
 
@@ -73,7 +74,7 @@ def url_audit(urls: DataFrame, allowed: DataFrame, key: str, url: str = "url") -
     bases = allowed.select(endpoint(F.col("url")).alias("e")).select("e.*").filter("problem is null").filter(~denied(F.col("host")))
     bases = bases.groupBy("scheme", "host", "port").agg(F.collect_set("path").alias("paths"))
     rows = urls.select(key, endpoint(F.col(url)).alias("e")).select(key, "e.*")
-    rows = rows.join(F.broadcast(bases), ["scheme", "host", "port"], "left")
+    rows = rows.join(bases, ["scheme", "host", "port"], "left")
     under = F.exists("paths", lambda p: (F.col("path") == p) | F.startswith(F.col("path"), F.concat(p, F.lit("/"))))
     verdict = F.when(F.col("problem").isNotNull(), "malformed").when(denied(F.col("host")), "denied").when(F.coalesce(under, F.lit(False)), "allowed").otherwise("not_allowed")
     return rows.select(key, verdict.alias("verdict"))

@@ -29,9 +29,10 @@ def ledger_cost(cost: Column) -> Column:
 def clamped(charges: DataFrame, budgets: DataFrame) -> DataFrame:
     """Each charge with what of it was applied and what was overspent: usage stops at the budget, wall clock does not.
 
-    Charges are not negative, so the sequential min(used + x, cap) is min(running sum, cap). Order: seq.
+    Charges are not negative, so the sequential min(used + x, cap) is min(running sum, cap). Order: seq, then the charge itself; charges
+    that are equal in all follow each other in any order. A run's log is one window: it grows with the run, not with the table.
     """
-    order = Window.partitionBy("run_id").orderBy("seq")
+    order = Window.partitionBy("run_id").orderBy("seq", *(c for c in charges.columns if c not in ("run_id", "seq"))).rowsBetween(Window.unboundedPreceding, 0)
     rows = charges.withColumn("cost", ledger_cost(F.col("cost"))).join(budgets, "run_id")
     out = []
     for d in ("steps", "tokens", "cost"):
@@ -118,8 +119,8 @@ def stale_writers(writes: DataFrame, tasks: DataFrame) -> DataFrame:
 
 
 def model_cost(calls: DataFrame, prices: DataFrame, *by: str) -> DataFrame:
-    """Cost of calls (alias, tokens_in, tokens_out): the dearest of the alias's bindings; prices is a short list."""
-    dear = calls.join(F.broadcast(prices), "alias", "left").groupBy("call_id", *by).agg(F.max(F.col("tokens_in") * F.col("price_in") + F.col("tokens_out") * F.col("price_out")).alias("cost"))
+    """Cost of calls (alias, tokens_in, tokens_out): the dearest of the alias's bindings."""
+    dear = calls.join(prices, "alias", "left").groupBy("call_id", *by).agg(F.max(F.col("tokens_in") * F.col("price_in") + F.col("tokens_out") * F.col("price_out")).alias("cost"))
     return dear.groupBy(*by).agg(F.sum("cost").alias("cost"), F.count(F.lit(1)).alias("calls"))
 
 

@@ -102,7 +102,7 @@ def vote(types: Column) -> Column:
 
 
 def profile(df: DataFrame, k: int = 5) -> DataFrame:
-    """One row for each column: its counts and ratios, masked extrema and top values, and its semantic type.
+    """One row for each column, in the table's order: its counts and ratios, masked extrema and top values, and its semantic type.
 
     A column of one or two distinct values publishes the constant mask alone, so that no mask tells them apart.
     """
@@ -133,7 +133,7 @@ def profile(df: DataFrame, k: int = 5) -> DataFrame:
         "ordinal", "name", "data_type", "row_count", nulls.alias("null_count"), text.ratio(nulls, F.col("row_count")).alias("null_ratio"),
         "distinct_count", text.ratio(F.col("distinct_count"), F.col("row_count")).alias("distinct_ratio"),
         extremum("low").alias("min_value"), extremum("high").alias("max_value"), shown.alias("top_values"), "semantic_type",
-    )
+    ).orderBy("ordinal")
 
 
 def flat(profiled: DataFrame) -> DataFrame:
@@ -141,7 +141,8 @@ def flat(profiled: DataFrame) -> DataFrame:
     shown = lambda s: F.concat_ws("|", s["masked"], s["semantic_type"], F.coalesce(s["length"].cast("string"), F.lit("-")))
     tops = F.array_join(F.transform("top_values", lambda t: F.concat_ws("|", shown(t["value"]), t["count"])), ";")
     value = lambda c: F.when(F.col(c).isNotNull(), shown(F.col(c))).alias(c)
-    return profiled.select("ordinal", "name", "row_count", "null_count", "null_ratio", "distinct_count", "distinct_ratio", value("min_value"), value("max_value"), tops.alias("top_values"), "semantic_type")
+    keys = ["table_name"] if "table_name" in profiled.columns else []
+    return profiled.select(*keys, "ordinal", "name", "row_count", "null_count", "null_ratio", "distinct_count", "distinct_ratio", value("min_value"), value("max_value"), tops.alias("top_values"), "semantic_type")
 
 
 def table_document(profiled: DataFrame) -> DataFrame:

@@ -120,5 +120,5 @@ def health(events: DataFrame, width: str = "1 hour") -> DataFrame:
 def leaks(df: DataFrame, tokens: DataFrame, name: str) -> DataFrame:
     """token, table_name, rows: in how many rows of a table each token (a short list) occurs, in any column."""
     text = df.select(F.to_json(F.struct("*")).alias("row"))
-    hits = text.join(F.broadcast(tokens), F.contains(F.col("row"), F.col("token"))).groupBy("token").agg(F.count(F.lit(1)).alias("rows"))
+    hits = text.join(tokens.select("token").distinct(), F.contains(F.col("row"), F.col("token"))).groupBy("token").agg(F.count(F.lit(1)).alias("rows"))
     return hits.select("token", F.lit(name).alias("table_name"), "rows")

@@ -24,8 +24,9 @@ def requests_by_key(decisions: DataFrame) -> DataFrame:
     """Decisions with replay: first, replay (the first of its key again) or conflict (another request under a used key); without a key each is first."""
     order = Window.partitionBy("idempotency_key").orderBy("decided_at", "id")
     request = F.struct(*REQUEST)
-    kind = F.when(F.col("idempotency_key").isNull() | (F.row_number().over(order) == 1), "first").when(request.eqNullSafe(F.first(request).over(order)), "replay").otherwise("conflict")
-    return decisions.withColumn("replay", kind)
+    kind = F.when(F.row_number().over(order) == 1, "first").when(request.eqNullSafe(F.first(request).over(order)), "replay").otherwise("conflict")
+    keyed = decisions.filter("idempotency_key is not null").withColumn("replay", kind)
+    return keyed.unionByName(decisions.filter("idempotency_key is null").withColumn("replay", F.lit("first")))  # these meet no other and are not shuffled
 
 
 def judge(decisions: DataFrame, proposals: DataFrame, states: DataFrame) -> DataFrame:

@@ -22,7 +22,8 @@ def label_set(column):
 def score(expected: DataFrame, predicted: DataFrame, runs: DataFrame) -> DataFrame:
     """A row for each run and column: both label sets, whether they agree, and missing or invented columns. runs: run."""
     key = ["run", "table_name", "column_name"]
-    want = expected.select("table_name", "column_name", F.col("labels").alias("expected")).join(F.broadcast(runs))  # runs are a handful
+    # each run is to answer for every column: expected rows times runs, which are a handful
+    want = expected.select("table_name", "column_name", F.col("labels").alias("expected")).crossJoin(runs.select("run"))
     both = want.join(predicted.select(*key, F.col("labels").alias("predicted")), key, "full_outer")
     outcome = F.when(F.col("predicted").isNull(), "missing").when(F.col("expected").isNull(), "invented").when(label_set(F.col("expected")) == label_set(F.col("predicted")), "right").otherwise("wrong")
     return both.select(*key, label_set(F.col("expected")).alias("expected"), label_set(F.col("predicted")).alias("predicted"), outcome.alias("outcome"))

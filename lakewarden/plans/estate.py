@@ -215,9 +215,7 @@ def _c6(spark, sf_dir):
 
 @add("c10_profile_estate")
 def _c10(spark, sf_dir):
-    tables = {t: table(spark, sf_dir, t) for t in ("customer", "orders", "part", "supplier", "nation", "region")}
-    found = profile.profile_estate(tables)
-    return profile.flat(found).join(found.select("table_name", "name", "ordinal"), ["name", "ordinal"])
+    return profile.flat(profile.profile_estate({t: table(spark, sf_dir, t) for t in I.TABLES}))
 
 
 @add("c11_profile_digest")
@@ -265,10 +263,15 @@ def _d2(spark, sf_dir):
 _TOKENS = "SELECT DISTINCT c_mktsegment AS token FROM customer UNION SELECT 'Brand#2'"
 
 
-@add("d13_leak_sweep", f"SELECT token, 'customer' AS table_name, count(*) AS rows FROM ({_TOKENS}) t JOIN customer c ON contains(c.c_name, token) OR contains(c.c_mktsegment, token) GROUP BY token UNION ALL SELECT token, 'part', count(*) FROM ({_TOKENS}) t JOIN part p ON contains(p.p_name, token) OR contains(p.p_brand, token) OR contains(p.p_type, token) GROUP BY token")
+_LEAKS = " UNION ALL ".join(f"SELECT token, '{t}' AS table_name, count(*) AS rows FROM ({_TOKENS}) k JOIN {t} x ON contains(CAST(x AS VARCHAR), token) GROUP BY token" for t in I.TABLES)
+
+
+@add("d13_leak_sweep", _LEAKS)
 def _d13(spark, sf_dir):
+    from functools import reduce
+
     tokens = I.derive(spark, sf_dir, _TOKENS)
-    return quality.leaks(table(spark, sf_dir, "customer"), tokens, "customer").unionByName(quality.leaks(table(spark, sf_dir, "part"), tokens, "part"))
+    return reduce(DataFrame.unionByName, (quality.leaks(table(spark, sf_dir, t), tokens, t) for t in I.TABLES))
 
 
 @add("d14_residue", f"WITH {duck.mask_steps('SELECT doc_id, text AS x FROM documents WHERE text IS NOT NULL')} SELECT doc_id FROM masks WHERE masked = x AND {duck.alnums('x')} > 0")

@@ -396,7 +396,7 @@ def _j2(spark, sf_dir):
 _BASES = ("https://blog.tionsh.example.net", "http://www.ththhe.example.com/en", "https://api.mistral.ai")
 
 
-@add("j3_url_audit", "SELECT page_id, CASE WHEN regexp_matches(url, '[?#]') THEN 'malformed' WHEN regexp_matches(url, '^https://blog\\.tionsh\\.example\\.net(/|$)') OR regexp_matches(url, '^http://www\\.ththhe\\.example\\.com/en(/|$)') THEN 'allowed' ELSE 'not_allowed' END AS verdict FROM pages")
+@add("j3_url_audit", "SELECT page_id, CASE WHEN regexp_matches(url, '^[^?#]*\\?[^#]|#.') THEN 'malformed' WHEN regexp_matches(url, '^https://blog\\.tionsh\\.example\\.net(/|$)') OR regexp_matches(url, '^http://www\\.ththhe\\.example\\.com/en(/|$)') THEN 'allowed' ELSE 'not_allowed' END AS verdict FROM pages")
 def _j3(spark, sf_dir):
     allowed = spark.createDataFrame([(u,) for u in _BASES], "url string")
     return compat.url_audit(table(spark, sf_dir, "pages"), allowed, "page_id")
@@ -467,9 +467,9 @@ def _l1b(spark, sf_dir):
     return quality.duplicates(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
 
 
-@add("l1_orphans", "SELECT doc_id, toxic FROM labels WHERE doc_id % 10 <> 0 AND doc_id IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 7 <> 0)")
+@add("l1_orphans", "SELECT doc_id, toxic FROM labels WHERE doc_id IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 7 <> 0)")
 def _l1c(spark, sf_dir):
-    rows = table(spark, sf_dir, "labels").filter("doc_id % 10 <> 0").select("doc_id", "toxic")
+    rows = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     return quality.orphans(rows, "doc_id", table(spark, sf_dir, "documents").filter("doc_id % 7 <> 0"), "doc_id")
 
 

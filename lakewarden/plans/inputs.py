@@ -38,7 +38,7 @@ SELECT concat_ws('-', CAST(l_orderkey AS VARCHAR(20)), CAST(l_linenumber AS VARC
   CASE WHEN l_returnflag = 'R' THEN 'reject' ELSE 'approve' END AS outcome, CASE WHEN l_linestatus = 'F' THEN 'human' ELSE 'policy' END AS actor_kind,
   concat('x', l_suppkey % 3) AS actor_id, CASE WHEN l_linestatus = 'F' AND l_partkey % 7 <> 0 THEN NULL ELSE concat('x', l_suppkey % 3) END AS policy_id,
   'r' AS reason, CASE WHEN l_partkey % 5 = 0 THEN concat('k', l_partkey) END AS idempotency_key, l_shipdate AS decided_at
-FROM lineitem WHERE l_orderkey % 3 = 0"""
+FROM lineitem"""
 STATES = """SELECT DISTINCT o_custkey % 200 AS asset_id, (o_custkey % 200) % 9 <> 0 AS active, (o_custkey % 200) % 4 AS latest_version FROM orders"""
 TASKS = """
 SELECT event_id AS task_id, user_id AS run_id, event_type AS task_type, props AS payload,

@@ -12,13 +12,13 @@ OBSERVED = "schema_name string, name string, asset_type string, column_name stri
 
 
 def scan(tables: dict[tuple[str, str], DataFrame], views: frozenset[tuple[str, str]] = frozenset()) -> DataFrame:
-    """One row for each column of each table (schema, name): its type, place and nullability. Reads schemas only."""
+    """One row for each column of each table (schema, name): its type, place and nullability; a table without columns has one row, without a column. Reads schemas only."""
     spark = SparkSession.active()
-    rows = [
-        (schema, name, "view" if (schema, name) in views else "table", f.name, f.dataType.simpleString(), i, f.nullable)
-        for (schema, name), df in sorted(tables.items())
-        for i, f in enumerate(df.schema, 1)
-    ]
+    rows = []
+    for (schema, name), df in sorted(tables.items()):
+        kind = "view" if (schema, name) in views else "table"
+        own = [(schema, name, kind, f.name, f.dataType.simpleString(), i, f.nullable) for i, f in enumerate(df.schema, 1)]
+        rows += own or [(schema, name, kind, None, None, None, None)]
     return spark.createDataFrame(rows, OBSERVED)
 
 
@@ -29,14 +29,24 @@ def scan_catalog(spark: SparkSession, database: str) -> DataFrame:
     return scan(tables, frozenset((database, t.name) for t in found if t.tableType in ("VIEW", "TEMPORARY")))
 
 
-def scan_jdbc(spark: SparkSession, url: str, **options: str) -> DataFrame:
-    """The same from the information schema of a database."""
-    query = (
-        "select c.table_schema as schema_name, c.table_name as name, case t.table_type when 'VIEW' then 'view' else 'table' end as asset_type, "
+SYSTEM_SCHEMAS = ("information_schema", "pg_catalog", "pg_toast", "mysql", "performance_schema", "sys")
+
+
+def jdbc_query(include: list[str], exclude: list[str]) -> str:
+    """The query of scan_jdbc; tables without columns have a row too. Names are quoted as literals."""
+    literals = lambda names: ", ".join("'" + n.replace("'", "''") + "'" for n in names)
+    kept = f"t.table_schema not in ({literals([*SYSTEM_SCHEMAS, *exclude])})" + (f" and t.table_schema in ({literals(include)})" if include else "")
+    return (
+        "select t.table_schema as schema_name, t.table_name as name, case when t.table_type like '%VIEW' then 'view' else 'table' end as asset_type, "
         "c.column_name, c.data_type, c.ordinal_position as ordinal, c.is_nullable = 'YES' as nullable "
-        "from information_schema.columns c join information_schema.tables t on t.table_schema = c.table_schema and t.table_name = c.table_name"
+        "from information_schema.tables t left join information_schema.columns c on t.table_schema = c.table_schema and t.table_name = c.table_name "
+        f"where {kept}"
     )
-    return spark.read.format("jdbc").options(url=url, query=query, **options).load()
+
+
+def scan_jdbc(spark: SparkSession, url: str, include: list[str] | None = None, exclude: list[str] | None = None, **options: str) -> DataFrame:
+    """The same from the information schema of a database, without its system schemas; include (empty: all) and exclude name schemas."""
+    return spark.read.format("jdbc").options(url=url, query=jdbc_query(include or [], exclude or []), **options).load()
 
 
 def filtered(observed: DataFrame, include: list[str], exclude: list[str]) -> DataFrame:
@@ -57,7 +67,9 @@ def register(requests: DataFrame, stored: DataFrame, order: str = "requested_at"
     clean = lambda df: df.withColumn("include_schemas", canonical(F.col("include_schemas"))).withColumn("exclude_schemas", canonical(F.col("exclude_schemas")))
     first = Window.partitionBy(*NATURAL_KEY).orderBy(order, "name")
     fresh = clean(requests).withColumn("turn", F.row_number().over(first)).filter("turn = 1").drop("turn")
-    fresh = fresh.join(clean(stored).select(*NATURAL_KEY), NATURAL_KEY, "left_anti")
+    known = clean(stored).select(*(F.col(c).alias(f"known_{c}") for c in NATURAL_KEY))
+    same = [F.col(c).eqNullSafe(F.col(f"known_{c}")) for c in NATURAL_KEY]  # a source without a host is known too
+    fresh = fresh.join(known, reduce(Column.__and__, same), "left_anti")
     return fresh.withColumn("source_id", F.sha2(F.to_json(F.struct(*NATURAL_KEY)), 256))
 
 
@@ -94,8 +106,8 @@ def load_fixture(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_artifact(df: DataFrame, path: str) -> None:
-    """An evaluation's rows as JSON lines, one folder for each run."""
-    df.write.mode("overwrite").partitionBy("run").json(path)
+    """An evaluation's rows as JSON lines, one folder for each run; a run that is written again is replaced, the others stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").json(path)
 
 
 def audit(entity: str, actor: str, branches: list[tuple[DataFrame, str, Column, Column, Column]]) -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from lakewarden.functions import text as masks
 from lakewarden.operators import catalog, classify, compat, history, ledger, profile, quality, review, score
 from lakewarden.plans import estate, inputs
 from lakewarden.sources import catalog as sources
@@ -30,6 +31,7 @@ def test_profile_of_empty_and_odd_tables(spark):
     empty = profile.profile(spark.createDataFrame([], "a int, `b``c.d` string")).collect()
     assert [(r.row_count, r.distinct_count, r.null_ratio, r.min_value, len(r.top_values), r.semantic_type) for r in empty] == [(0, 0, Decimal(0), None, 0, "unknown")] * 2
     odd = profile.profile(spark.sql("select map('a', 1) as m, array(1, 2) as l, named_struct('x', 1) as s")).collect()
+    assert [r.name for r in odd] == ["m", "l", "s"]  # in column order
     assert odd[0].min_value is None and odd[1].min_value is not None
 
 
@@ -134,6 +136,112 @@ def test_ledger_rounding(spark):
     assert [str(r.r) for r in out] == ["0.000013", "0.000014", "0.700009", "3.141593", "0.000010", "2.000012"]
 
 
+def test_clamp_on_equal_seq(spark):
+    charges = spark.createDataFrame([("r", 1, i, 3, 0, Decimal("0"), 1) for i in (1, 2)] + [("r", 2, 3, 9, 0, Decimal("0"), 1)], "run_id string, seq int, task_id int, steps long, tokens long, cost decimal(14,6), wall_clock long")
+    caps = spark.createDataFrame([("r", 5, 9, Decimal("9"))], "run_id string, steps_cap long, tokens_cap long, cost_cap decimal(14,6)")
+    rows = ledger.clamped(charges, caps).collect()
+    assert sorted((r.steps_used, r.steps_applied, r.steps_over) for r in rows) == [(3, 3, 0), (5, 0, 9), (5, 2, 1)]
+
+
+def test_artifacts_of_other_runs_stay(spark, tmp_path):
+    for run, v in ((1, "a"), (2, "b"), (2, "c")):
+        sources.write_artifact(spark.createDataFrame([(run, v)], "run int, v string"), str(tmp_path / "out"))
+    assert sorted((r.run, r.v) for r in spark.read.json(str(tmp_path / "out")).collect()) == [(1, "a"), (2, "c")]
+
+
+def test_versions_are_appended(spark, tmp_path):
+    for v in (1, 2):
+        sources.append_version(spark.createDataFrame([("a", v)], "asset_id string, version int"), str(tmp_path / "v"))
+    assert sorted(r.version for r in spark.read.parquet(str(tmp_path / "v")).collect()) == [1, 2]
+
+
+def test_tables_without_columns(spark):
+    bare = spark.range(1).select()
+    observed = sources.scan({("s", "bare"): bare, ("s", "full"): spark.range(1)})
+    assert {(r.name, r.column_name) for r in observed.collect()} == {("bare", None), ("full", "id")}
+    none = spark.createDataFrame([], STORED)
+    assert {(r.name, r.change) for r in catalog.plan(observed, none).collect()} == {("bare", "insert_asset"), ("full", "insert_asset"), ("full", "insert_column")}
+    stored = catalog.apply(observed, none)
+    assert catalog.plan(observed, stored).isEmpty() and catalog.apply(observed, stored).count() == 2
+    grown = sources.scan({("s", "bare"): spark.range(1), ("s", "full"): spark.range(1)})
+    after = catalog.apply(grown, stored)
+    assert {(r.name, r.column_name, r.asset_lifecycle) for r in after.collect()} == {("bare", "id", "active"), ("full", "id", "active")}
+    assert catalog.plan(grown, after).isEmpty()
+    gone = catalog.plan(sources.scan({("s", "full"): spark.range(1)}), stored).collect()
+    assert [(r.name, r.change) for r in gone] == [("bare", "missing_asset")]
+
+
+def test_jdbc_scan_filters(spark):
+    query = sources.jdbc_query(["a'b"], ["c"])
+    assert "in ('a''b')" in query and "'pg_catalog'" in query and "'c')" in query and "left join information_schema.columns" in query
+
+
+def test_views_of_the_session_are_scanned(spark):
+    spark.sql("create database if not exists lw_scan")
+    spark.range(2).write.mode("overwrite").saveAsTable("lw_scan.t")
+    spark.sql("create or replace view lw_scan.v as select id from lw_scan.t")
+    try:
+        found = {(r.name, r.asset_type) for r in sources.scan_catalog(spark, "lw_scan").filter("schema_name = 'lw_scan' and name in ('t', 'v')").collect()}
+        assert found == {("t", "table"), ("v", "view")}
+    finally:
+        spark.sql("drop database lw_scan cascade")
+
+
+def test_short_pages_have_no_cursor(spark):
+    assets = spark.createDataFrame([("s", f"n{i:03d}", f"a{i}", "x") for i in range(70)], "schema_name string, name string, asset_id string, source_id string")
+    first = catalog.page(assets, limit=50)
+    assert first.count() == 50 and first.filter("cursor is null").isEmpty()
+    rest = catalog.page(assets, ("s", "n049", "a49"), 50)
+    assert rest.count() == 20 and rest.filter("cursor is not null").isEmpty()
+
+
+def test_endpoints(spark):
+    given = ["https://[::1]:8080/v1", "http://a.b:0/x", "\thttps://a.b/v1/ ", "https://a.b/?", "https://a.b/#", "https://a.b/?q", "https://a.b/#f", "https://[::1/v1", "https://a.b:x/"]
+    rows = spark.createDataFrame([(g,) for g in given], "u string").select(compat.endpoint(F.col("u")).alias("e")).select("e.*").collect()
+    assert [(r.host, r.port) for r in rows[:4]] == [("::1", 8080), ("a.b", 80), ("a.b", 443), ("a.b", 443)]
+    assert [r.problem for r in rows] == [None, None, None, None, None, "query", "query", "host", "port"]
+
+
+def test_register_knows_sources_without_a_host(spark):
+    shape = "name string, engine string, host string, database string, include_schemas array<string>, exclude_schemas array<string>, requested_at int"
+    rows = spark.createDataFrame([("a", "files", None, "d", [], [], 1)], shape)
+    fresh = sources.register(rows, spark.createDataFrame([], shape))
+    assert fresh.count() == 1 and sources.register(rows, fresh).isEmpty()
+
+
+def test_keys_meet_only_where_there_is_one(spark):
+    shape = "id int, proposal_id int, outcome string, actor_kind string, actor_id string, policy_id string, reason string, idempotency_key string, decided_at int"
+    rows = [(1, 1, "approve", "human", "x", None, "r", "k", 1), (2, 1, "approve", "human", "x", None, "r", "k", 2), (3, 2, "approve", "human", "x", None, "r", "k", 3), (4, 1, "approve", "human", "x", None, "r", None, 1), (5, 1, "approve", "human", "x", None, "r", None, 1)]
+    found = review.requests_by_key(spark.createDataFrame(rows, shape))
+    assert {r.id: r.replay for r in found.collect()} == {1: "first", 2: "replay", 3: "conflict", 4: "first", 5: "first"}
+
+
+def test_sweep_finds_a_planted_value(spark):
+    rows = spark.createDataFrame([(1, "plain", ["x"]), (2, "has canary-7731 in it", []), (3, "n", ["canary-7731"])], "id int, v string, l array<string>")
+    tokens = spark.createDataFrame([("canary-7731",), ("absent",)], "token string")
+    assert [(r.token, r.rows) for r in quality.leaks(rows, tokens, "t").collect()] == [("canary-7731", 2)]
+    masked = profile.flat(profile.profile(rows))
+    assert quality.leaks(masked, tokens, "profile").isEmpty()
+
+
+def test_scan_and_profile_twice(spark):
+    """A second run over the same tables changes nothing."""
+    tables = {("s", "t"): spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "a int, b string")}
+    stored = catalog.apply(sources.scan(tables), spark.createDataFrame([], STORED))
+    again = catalog.apply(sources.scan(tables), stored)
+    assert catalog.plan(sources.scan(tables), stored).isEmpty() and sorted(map(tuple, stored.collect()), key=str) == sorted(map(tuple, again.collect()), key=str)
+    document = lambda: profile.table_document(profile.profile(tables["s", "t"])).select(F.lit("t").alias("asset_id"), profile.digest("row_count", "columns").alias("digest"))
+    none = spark.createDataFrame([], "asset_id string, version int, digest string")
+    first = history.record(document(), none)
+    assert first.count() == 1 and history.record(document(), first.select("asset_id", F.col("version").cast("int").alias("version"), "digest")).isEmpty()
+
+
+def test_masks_compile(spark, data, capfd):
+    """The generated code of a mask stays within a method's limit."""
+    spark.read.parquet(f"{data}/customer.parquet").select(masks.mask(F.col("c_name"))).write.format("noop").mode("overwrite").save()
+    assert "grows beyond" not in capfd.readouterr().err
+
+
 def test_gate_needs_runs(spark):
     none = spark.createDataFrame([], "run int, passed boolean")
     assert score.gate(none).first().passed is False
