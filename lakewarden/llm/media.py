@@ -5,7 +5,8 @@ and its caption. A media store has one row for each digest. resolve() joins the
 puts what it finds back in place. Payloads here are stored as 8-bit grey PNG images, 24 samples wide, which is lossless.
 
 Cases: null HTML or text is the empty one; a reference without a digest or with an unknown one keeps its place
-and resolves to null; equal payloads are stored once; repeated rows are parsed each; an empty table gives no rows.
+and resolves to null; equal payloads are stored once; repeated rows are parsed each; an empty table gives no rows; a caption belongs to the media of
+the innermost figure around it, and outside of figures it is text; other columns are ignored, and columns to keep that are named items are left out.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakewarden.llm.common import chunks
+
 WIDTH = 24
 #: Payloads are filled up to a positive multiple of this with FILL, which no UTF-8 text contains.
 UNIT, FILL = 576, b"\xff"
@@ -41,7 +44,7 @@ class _Items(HTMLParser):
         self.items: list[dict] = []
         self.words: list[str] = []
         self.hidden = 0
-        self.figure = -1
+        self.figures: list[int] = []  # of each open figure its first item
         self.caption: list[str] | None = None
 
     def flush(self) -> None:
@@ -61,23 +64,26 @@ class _Items(HTMLParser):
             self.items.append({"position": len(self.items), "kind": "media", "text": source, "digest": digest, "caption": values.get("alt") or None})
         elif tag == "figcaption":
             self.flush()
-            self.caption = []
+            self.caption = [] if self.figures else None
         elif tag in self.BLOCKS:
             self.flush()
             if tag == "figure":
-                self.figure = len(self.items)
+                self.figures.append(len(self.items))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in ("script", "style"):
             self.hidden = max(0, self.hidden - 1)
         elif tag == "figcaption" and self.caption is not None:
             text = re.sub(r"\s+", " ", "".join(self.caption)).strip()
-            for item in self.items[max(0, self.figure) :]:
+            for item in self.items[self.figures[-1] if self.figures else len(self.items) :]:
                 if item["kind"] == "media":
                     item["caption"] = text
             self.caption = None
         elif tag in self.BLOCKS:
             self.flush()
+            if tag == "figure" and self.figures:
+                self.figures.pop()
+                self.caption = None
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:
@@ -94,9 +100,10 @@ def items(html: str) -> list[dict]:
 
 def parse(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
     """The columns of keep and items, the page's sequence."""
+    keep = [c for c in keep if c.lower() != "items"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in chunks(whole, "__html")):
             own = [items(h or "") for h in batch.column("__html").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(own, pa.list_(_ITEM))], names=[*keep, "items"])
 
@@ -138,13 +145,13 @@ def store(docs: DataFrame) -> DataFrame:
     """(digest, media): the text of each document as an image, once for each digest (sha256 of the text's bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in chunks(whole)):
             images = [to_png(filled(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(images, pa.binary())], names=["digest", "media"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    images = docs.select(F.sha2(text, 256).alias("digest"), text.alias("text")).mapInArrow(run, "digest string, media binary")
-    return images.groupBy("digest").agg(F.first("media").alias("media"))
+    once = docs.select(F.sha2(text, 256).alias("digest"), text.alias("text")).groupBy("digest").agg(F.first("text").alias("text"))
+    return once.mapInArrow(run, "digest string, media binary")
 
 
 def feature(samples: np.ndarray) -> str:
@@ -159,7 +166,7 @@ def describe(media: DataFrame) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(low, 256) for whole in batches for low in range(0, whole.num_rows, 256)):
             rows = []
             for image in batch.column("media").to_pylist():
                 payload = from_png(image)
@@ -183,6 +190,8 @@ def documents_as_media(docs: DataFrame) -> DataFrame:
     """
     digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("unnamed"))
+    for sign, shown in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        name = F.replace(name, F.lit(sign), F.lit(shown))
     html = F.concat(F.lit("<article><h1>Document</h1><figure><img src='" + SCHEME), digest, F.lit("'><figcaption>text of "), name, F.lit("</figcaption></figure></article>"))
     sequences = parse(docs.select("doc_id", html.alias("html")), ["doc_id"])
     found = resolve(sequences, describe(store(docs)), ["doc_id"]).filter("kind = 'media'")

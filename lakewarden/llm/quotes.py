@@ -1,9 +1,10 @@
 """Quotation linking: reply-ordered conversations without quotes.
 
 Each line's quote level is its number of leading '>' marks. Runs of lines of one level are passages; a quoted passage is
-normalised (lower case, single spaces) and hashed, and joined to the message whose own text has the same hash: the
-latest earlier one of its conversation or else the first of all. A message replies to the original of its first level-1
-passage. Threads follow from replies, by pointer jumping, and are ordered by depth and turn.
+normalised (lower case, single spaces) and hashed, and so are its paragraphs and lines, for passages that quote a message in part or are
+answered between their lines. Each is joined to the messages of which a whole text, a run of own lines, a paragraph or a line has the same hash: the latest
+earlier one of its conversation or else the first of all. A passage is linked as a whole if it can be, else by its first paragraph that can be, else by its
+first such line. A message replies to the original of its first level-1 passage. Threads follow from replies, by pointer jumping, and are ordered by depth and turn.
 
 Cases: null text is the empty one; empty passages link to nothing; a message cannot quote itself or a later one of its conversation;
 null ids or turns are kept as rows without a reply; repeated (conv_id, turn) count once for links and threads and come back
@@ -24,8 +25,21 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
+def parts(text: Column) -> Column:
+    """Paragraphs (rank 1) and lines (rank 2) of a text, with their place, as an array of (rank, at, hash)."""
+    cut = lambda pattern, rank: F.transform(F.split(text, pattern), lambda t, i: F.struct(F.lit(rank).alias("rank"), i.alias("at"), normalised(t).alias("text")))
+    kept = F.filter(F.concat(cut(r"\n[ \t]*\n", 1), cut(r"\n", 2)), lambda p: p["text"] != "")
+    return F.transform(kept, lambda p: F.struct(p["rank"].alias("rank"), p["at"].alias("at"), F.sha2(p["text"], 256).alias("hash")))
+
+
+def hashes(text: Column) -> Column:
+    """The same with the whole text (rank 0) before them."""
+    whole = F.struct(F.lit(0).alias("rank"), F.lit(0).alias("at"), F.sha2(normalised(text), 256).alias("hash"))
+    return F.concat(F.when(normalised(text) != "", F.array(whole)).otherwise(F.array().cast("array<struct<rank: int, at: int, hash: string>>")), parts(text))
+
+
 def parse(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, own (text without quotes) and passages: array of (place, level, hash) of quoted runs of lines."""
+    """conv_id, turn, role, own (text without quotes), units: array of hashes that others may quote, and passages: array of (place, level, hashes) of quoted runs of lines."""
     lines = F.transform(
         F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n"),
         lambda line: F.struct(
@@ -45,47 +59,57 @@ def parse(messages: DataFrame) -> DataFrame:
         ).otherwise(F.concat(done, F.array(line))),
     )
     own = F.array_join(F.transform(F.filter("runs", lambda r: r["level"] == 0), lambda r: r["text"]), "\n")
-    numbered = F.transform(F.filter("runs", lambda r: r["level"] > 0), lambda r, i: F.struct(i.alias("place"), r["level"].alias("level"), normalised(r["text"]).alias("text")))
-    passages = F.transform(F.filter(numbered, lambda p: p["text"] != ""), lambda p: F.struct(p["place"].alias("place"), p["level"].alias("level"), F.sha2(p["text"], 256).alias("hash")))
+    numbered = F.transform(F.filter("runs", lambda r: r["level"] > 0), lambda r, i: F.struct(i.alias("place"), r["level"].alias("level"), r["text"].alias("text")))
+    passages = F.transform(F.filter(numbered, lambda p: normalised(p["text"]) != ""), lambda p: F.struct(p["place"].alias("place"), p["level"].alias("level"), hashes(p["text"]).alias("hashes")))
     rows = messages.select("conv_id", "turn", F.col("role").cast("string").alias("role"), runs.alias("runs"))
     rows = rows.withColumn("own", F.regexp_replace(own, r"^\n+|\n+$", ""))
-    return rows.select("conv_id", "turn", "role", "own", passages.alias("passages"))
+    each = F.flatten(F.transform(F.filter("runs", lambda r: r["level"] == 0), lambda r: F.transform(hashes(r["text"]), lambda h: h["hash"])))
+    units = F.array_distinct(F.concat(each, F.transform(hashes(F.col("own")), lambda h: h["hash"])))
+    return rows.select("conv_id", "turn", "role", "own", units.alias("units"), passages.alias("passages"))
+
+
+#: Rows of one hash that is quoted everywhere are dealt into so many parts.
+SALTS = 32
 
 
 def links(parsed: DataFrame) -> DataFrame:
     """(conv_id, turn, place, level, to_conv, to_turn): the originals of quoted passages; a row for each passage that has one."""
     known = parsed.filter("conv_id is not null and turn is not null")
-    originals = known.filter(normalised(F.col("own")) != "").select(F.sha2(normalised(F.col("own")), 256).alias("hash"), "conv_id", "turn").distinct()
-    quoted = known.select("conv_id", "turn", F.explode("passages").alias("p")).select("conv_id", "turn", "p.place", "p.level", "p.hash").distinct()
+    quoted = known.select("conv_id", "turn", F.explode("passages").alias("p")).select("conv_id", "turn", "p.place", "p.level", F.explode("p.hashes").alias("h"))
+    quoted = quoted.select("conv_id", "turn", "place", "level", "h.rank", "h.at", "h.hash").distinct()
+    # only hashes that are quoted somewhere are looked for
+    asked = quoted.select("hash").distinct()
+    originals = known.select(F.explode("units").alias("hash"), "conv_id", "turn").join(asked, "hash", "left_semi").distinct()
     # within a conversation: the latest original before the quote, as a running maximum over both in turn order
-    both = originals.select("conv_id", "hash", "turn", F.col("turn").alias("original"), F.lit(None).cast("int").alias("place"), F.lit(None).cast("int").alias("level"))
-    both = both.unionByName(quoted.select("conv_id", "hash", "turn", F.lit(None).cast("bigint").alias("original"), "place", "level"))
+    quote = F.struct("place", "level", "rank", "at").alias("quote")
+    both = originals.select("conv_id", "hash", "turn", F.col("turn").alias("original"), F.lit(None).cast("struct<place: int, level: int, rank: int, at: int>").alias("quote"))
+    both = both.unionByName(quoted.select("conv_id", "hash", "turn", F.lit(None).cast(parsed.schema["turn"].dataType).alias("original"), quote))
     before = Window.partitionBy("conv_id", "hash").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    near = both.withColumn("near", F.max("original").over(before)).filter("level is not null")
-    first = originals.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
-    found = near.join(first, "hash", "left")
-    other = F.col("first.conv_id") != F.col("conv_id")
-    found = found.withColumn("to_conv", F.when(F.col("near").isNotNull(), F.col("conv_id")).when(other, F.col("first.conv_id")))
-    found = found.withColumn("to_turn", F.coalesce("near", F.when(other, F.col("first.turn"))))
-    return found.filter("to_turn is not null").select("conv_id", "turn", "place", "level", "to_conv", "to_turn")
+    near = both.withColumn("near", F.max("original").over(before)).filter("quote is not null")
+    inner = near.filter("near is not null").select("conv_id", "turn", "quote", F.col("conv_id").alias("to_conv"), F.col("near").alias("to_turn"))
+    # the first of all for what is left; a hash that many quote is dealt out
+    first = originals.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    left = near.filter("near is null").withColumn("salt", F.pmod(F.xxhash64("conv_id", "turn"), F.lit(SALTS)).cast("int"))
+    outer = left.join(first, ["hash", "salt"]).filter(F.col("first.conv_id") != F.col("conv_id")).select("conv_id", "turn", "quote", F.col("first.conv_id").alias("to_conv"), F.col("first.turn").alias("to_turn"))
+    best = inner.unionByName(outer).groupBy("conv_id", "turn", "quote.place", "quote.level").agg(F.min_by(F.struct("to_conv", "to_turn"), F.struct("quote.rank", "quote.at")).alias("to"))
+    return best.select("conv_id", "turn", "place", "level", "to.to_conv", "to.to_turn")
 
 
 def threads(nodes: DataFrame, parents: DataFrame) -> DataFrame:
-    """node, root, depth, by pointer jumping over (node, parent); a circle of replies, possible only across conversations, is rooted at its smallest node."""
-    state = nodes.join(parents, "node", "left").select("node", F.coalesce("parent", "node").alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.coalesce("parent", "node").alias("least"))
+    """node, root, depth, by pointer jumping over (node, parent). Replies can go in a circle only across conversations; what does, or leads into a circle, has depth 0 and the smallest node on its way as root."""
+    state = nodes.join(parents, "node", "left").select("node", F.coalesce("parent", "node").alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.least("node", F.coalesce("parent", "node")).alias("least"))
     state = stage_table(state, "threads")
-    rounds = 0
+    rounds, enough = 0, state.count().bit_length()
     while True:
         far = state.select(F.col("node").alias("root"), F.col("root").alias("beyond"), F.col("depth").alias("more"), F.col("least").alias("least_beyond"))
         jumped = state.join(far, "root").select("node", F.col("beyond").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), F.least("least", "least_beyond").alias("least"), (F.col("beyond") != F.col("root")).alias("moved"))
         jumped = stage_table(jumped, "threads")
         state, rounds = jumped.drop("moved"), rounds + 1
-        if jumped.filter("moved").isEmpty():
-            return state.select("node", "root", "depth")
-        if rounds > 40:  # longer than any chain: what still moves goes in circles
-            circle = jumped.filter("moved").select("node")
-            loose = jumped.select("node", F.col("least").alias("root"), "depth").join(circle, "node", "left_semi").withColumn("depth", F.lit(0).cast("long"))
-            return state.join(circle, "node", "left_anti").select("node", "root", "depth").unionByName(loose)
+        if rounds >= enough or jumped.filter("moved").isEmpty():  # or longer than any chain
+            break
+    onward = parents.select(F.col("node").alias("root"), F.lit(True).alias("circle"))  # a root has no parent
+    found = state.join(onward, "root", "left")
+    return found.select("node", F.when(F.col("circle"), F.col("least")).otherwise(F.col("root")).alias("root"), F.when(F.col("circle"), 0).otherwise(F.col("depth")).cast("long").alias("depth"))
 
 
 def conversations(messages: DataFrame) -> DataFrame:

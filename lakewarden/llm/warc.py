@@ -4,8 +4,9 @@ Each response gives one metadata record (fields found in its headers and HTML) a
 the response's identifier and keep its target, date, headers and payload digest; their own identifiers are
 derived from the response's, so a repeated run gives the same records.
 
-Cases: null payloads and headers are empty ones; a null URL gives the target ''; repeated rows give records with equal
-identifiers; an empty table gives no records; other columns are ignored.
+Cases: null payloads and headers are empty ones; a null URL gives the target ''; rows that are equal in id, URL and page give records with equal
+identifiers, others do not; an empty table gives no records; other columns are ignored, and columns to keep that have the name of a
+record's field are left out.
 """
 
 from __future__ import annotations
@@ -22,13 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HIDDEN = re.compile(r"(?is)<(script|style|template|noscript)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<!doctype[^>]*>|<head\b[^>]*>.*?</head\s*>")
-BREAK = re.compile(r"(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>")
-TAG = re.compile(r"<[/a-zA-Z!?][^>]*>")
-TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)</title\s*>")
-LANGUAGE = re.compile(r"(?is)<html\b[^>]*\blang\s*=\s*[\"']?([A-Za-z-]+)")
-CHARSET = re.compile(r"(?is)<meta\b[^>]*\bcharset\s*=\s*[\"']?([\w-]+)")
-LINK = re.compile(r"(?is)<a\b[^>]*\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+from lakewarden.llm.common import chunks
+
+#: Each pattern stops at the next tag, so that no page takes longer than its length.
+HIDDEN = re.compile(r"(?i)<(script|style|template|noscript|head)\b[^<>]*>|<(!--)|<!doctype[^<>]*>")
+CLOSES = {tag: re.compile(rf"(?i)</{tag}\s*>") for tag in ("script", "style", "template", "noscript", "head")} | {"!--": re.compile("-->")}
+BREAK = re.compile(r"(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^<>]*>")
+TAG = re.compile(r"<[/a-zA-Z!?][^<>]*>")
+TITLE, TITLE_END = re.compile(r"(?i)<title\b[^<>]*>"), re.compile(r"(?i)</title\s*>")
+LANGUAGE = re.compile(r"(?i)<html\b[^<>]*\blang\s*=\s*[\"']?([A-Za-z-]+)")
+CHARSET = re.compile(r"(?i)<meta\b[^<>]*\bcharset\s*=\s*[\"']?([\w-]+)")
+LINK = re.compile(r"(?i)<a\b[^<>]*\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 NAMES = ["record_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "content_length", "block_digest", "payload_digest", "source_headers", "block"]
 
 
@@ -44,18 +49,36 @@ def squeezed(text: str) -> str:
     return " ".join(html_module.unescape(text).split())
 
 
+def shown(page: str) -> str:
+    """The page without what is not shown; of an element that is never closed only the tag goes."""
+    out, at, open_ = [], 0, set()
+    while found := HIDDEN.search(page, at):
+        out.append(page[at : found.start()])
+        at, tag = found.end(), (found[1] or found[2] or "").lower()
+        if tag and tag not in open_:
+            close = CLOSES[tag].search(page, at)
+            if close:
+                at = close.end()
+            else:
+                open_.add(tag)  # nor will a later one find an end
+    return " ".join([*out, page[at:]])
+
+
 def plain_text(page: str) -> str:
     """One line for each block of the page's body that has text."""
-    page = TAG.sub("", BREAK.sub("\n", HIDDEN.sub(" ", page)))
+    page = TAG.sub("", BREAK.sub("\n", shown(page)))
     lines = (" ".join(line.split()) for line in html_module.unescape(page).split("\n"))
     return "\n".join(line for line in lines if line)
 
 
 def metadata(page: str, headers: str) -> str:
     """The warc-fields of a page."""
-    fields = [(name, squeezed(m[1])) for name, pattern in (("title", TITLE), ("language", LANGUAGE), ("charset", CHARSET)) if (m := pattern.search(page))]
+    fields = []
+    if (title := TITLE.search(page)) and (end := TITLE_END.search(page, title.end())):
+        fields.append(("title", squeezed(page[title.end() : end.start()])))
+    fields += [(name, squeezed(m[1])) for name, pattern in (("language", LANGUAGE), ("charset", CHARSET)) if (m := pattern.search(page))]
     fields += [("fetch-header", line) for line in headers.split("\r\n")[1:] if line]
-    fields += [("outlink", html_module.unescape(next(x for x in (*m.groups(), "") if x is not None)).strip()) for m in LINK.finditer(page)]
+    fields += [("outlink", " ".join(html_module.unescape(next(x for x in (*m.groups(), "") if x is not None)).split())) for m in LINK.finditer(page)]
     return "".join(f"{name}: {value}\r\n" for name, value in fields)
 
 
@@ -63,25 +86,28 @@ def responses(pages: DataFrame, *, date: str = "2024-01-01T00:00:00Z") -> DataFr
     """page_id and a response for each page (url, html): record_id, target_uri, warc_date, headers, payload, payload_digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in chunks(whole, "html")):
             urls, payloads = batch.column("url").to_pylist(), batch.column("html").to_pylist()
+            keys = batch.column("key").to_pylist()
             own = [digest(p.encode("utf-8", "surrogatepass")) for p in payloads]
             heads = [f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(p.encode('utf-8', 'surrogatepass'))}\r\n\r\n" for p in payloads]
-            ids = [record_id("response", u, d) for u, d in zip(urls, own, strict=True)]
+            ids = [record_id("response", k, u, d) for k, u, d in zip(keys, urls, own, strict=True)]
             texts = [pa.array(x, pa.string()) for x in (ids, urls, [date] * len(urls), heads)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), *texts, batch.column("html"), pa.array(own, pa.string())], names=["page_id", "record_id", "target_uri", "warc_date", "headers", "payload", "payload_digest"])
 
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     kind = pages.select("page_id").schema[0].dataType.simpleString()
     strings = ", ".join(f"{c} string" for c in ("record_id", "target_uri", "warc_date", "headers", "payload", "payload_digest"))
-    return pages.select("page_id", text("url"), text("html")).mapInArrow(run, f"page_id {kind}, {strings}")
+    key = F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("key")
+    return pages.select("page_id", text("url"), text("html"), key).mapInArrow(run, f"page_id {kind}, {strings}")
 
 
 def derive(source: DataFrame, keep: list[str]) -> DataFrame:
     """The columns of keep and those of NAMES: two records for each response."""
+    keep = [c for c in keep if c.lower() not in NAMES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in chunks(whole, "payload")):
             owner, rows = [], []
             columns = (batch.column(c).to_pylist() for c in ("record_id", "target_uri", "warc_date", "headers", "payload", "payload_digest"))
             for i, (name, target, date, headers, payload, of) in enumerate(zip(*columns, strict=True)):
@@ -105,6 +131,7 @@ def serialized(row: dict) -> bytes:
     fields = [
         ("WARC-Type", row["record_type"]), ("WARC-Record-ID", row["record_id"]), ("WARC-Refers-To", row["refers_to"]), ("WARC-Target-URI", row["target_uri"]),
         ("WARC-Date", row["warc_date"]), ("WARC-Block-Digest", row["block_digest"]), ("WARC-Source-Payload-Digest", row["payload_digest"]),
+        *(("WARC-Source-HTTP-Header", line) for line in row["source_headers"].split("\r\n")),
         ("Content-Type", row["content_type"]), ("Content-Length", str(row["content_length"])),
     ]
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields if v) + "\r\n"

@@ -152,6 +152,25 @@ def test_sequences_keep_order_and_captions(spark):
     assert [(r.kind, r.text if r.kind == "text" else r.caption, r.size) for r in rows] == [("text", "one", None), ("media", "cap", 7), ("text", "two & three", None), ("media", "x", None)]
 
 
+def test_captions_stay_with_their_figures(spark):
+    digest = ["%064x" % i for i in range(4)]
+    image = lambda i: f"<img src='urn:sha256:{digest[i]}'>"
+    html = (
+        f"<figure>{image(0)}{image(1)}<figcaption>two of them</figcaption></figure><p>text</p><figcaption>stray</figcaption>"
+        f"<figure>{image(2)}<figure><video src='urn:sha256:{digest[3]}'></video><figcaption>inner</figcaption></figure><figcaption>outer</figcaption></figure>"
+    )
+    pages = spark.createDataFrame([(1, html, "own")], "page_id int, html string, items string")
+    rows = media.parse(pages, ["page_id", "items"]).first()["items"]
+    assert [(r.kind, r.caption if r.kind == "media" else r.text) for r in rows] == [("media", "two of them"), ("media", "two of them"), ("text", "text"), ("text", "stray"), ("media", "outer"), ("media", "outer")]
+    assert [r.position for r in rows] == list(range(6)) and [r.digest for r in rows if r.kind == "media"] == digest
+
+
+def test_media_of_ids_with_markup(spark):
+    docs = spark.createDataFrame([("<img src='x'>&amp;", "a", 1), (None, None, 2)], "doc_id string, text string, media int")
+    rows = media.documents_as_media(docs).collect()
+    assert len(rows) == 2 and {r.caption for r in rows} == {"text of <img src='x'>&amp;", "text of unnamed"}
+
+
 # 3 secrets
 
 
@@ -402,6 +421,56 @@ def test_derivatives(spark):
     assert gzip.decompress(bytes(member)).startswith(b"WARC/1.1\r\nWARC-Type: ")
 
 
+def plain_page(page):
+    """Text of a page's body by the parser of the standard library."""
+    from html.parser import HTMLParser
+
+    class Text(HTMLParser):
+        hidden, out = 0, ""
+
+        def handle_starttag(self, tag, attrs):
+            self.hidden += tag in ("script", "style", "template", "noscript", "head")
+            self.out += "\n" if warc.BREAK.fullmatch(f"<{tag}>") else ""
+
+        def handle_endtag(self, tag):
+            self.hidden -= tag in ("script", "style", "template", "noscript", "head")
+            self.out += "\n" if warc.BREAK.fullmatch(f"<{tag}>") else ""
+
+        def handle_data(self, data):
+            self.out += "" if self.hidden else data
+
+    parser = Text()
+    parser.feed(page)
+    parser.close()
+    return "\n".join(x for x in (" ".join(line.split()) for line in parser.out.split("\n")) if x)
+
+
+def test_derivatives_of_given_pages_equal_a_parser_s(spark, data):
+    pages = spark.read.parquet(f"{data}/pages.parquet")
+    texts = {r.page_id: r.html for r in pages.collect()}
+    rows = warc.derive(warc.responses(pages), ["page_id"]).filter("record_type = 'conversion'").collect()
+    assert len(rows) == len(texts) and len({r.record_id for r in rows}) == len(rows)
+    same = sum(r.block.split() == plain_page(texts[r.page_id] or "").split() for r in rows)
+    assert same >= 0.95 * len(rows)  # the parsers differ on broken markup
+
+
+def test_records_of_equal_pages_and_broken_ones(spark):
+    import gzip
+    import time
+
+    html = "<p>one</p>"
+    broken = "<script>" * 20000 + "<title>" * 20000 + "<a " * 20000 + "<!--" * 20000 + "end"
+    pages = spark.createDataFrame([(1, "u", html, "x"), (2, "u", html, "y"), (3, "u", broken, None)], "page_id int, url string, html string, block string")
+    began = time.time()
+    source = warc.responses(pages)
+    assert len({r.record_id for r in source.collect()}) == 3
+    rows = warc.derive(source, ["page_id"]).collect()
+    assert time.time() - began < 60 and len({r.record_id for r in rows}) == 6
+    member = gzip.decompress(warc.serialized(rows[0].asDict())).decode()
+    assert "WARC-Source-HTTP-Header: HTTP/1.1 200 OK\r\n" in member and f"WARC-Refers-To: {rows[0].refers_to}" in member
+    assert warc.derive(warc.responses(pages.limit(0)), ["page_id"]).collect() == []
+
+
 # 7 top-k
 
 
@@ -449,6 +518,61 @@ def test_threads(spark):
     assert out[3, None].root_turn is None and out[2, 2].text == ""
 
 
+MAIL = "conv_id long, turn long, role string, text string"
+
+
+def test_partial_and_interleaved_quotes(spark):
+    rows = [
+        (1, 1, "u", "First paragraph\nof two lines\n\nSecond paragraph"),
+        (1, 2, "a", "> Second paragraph\nYes to that"),  # one paragraph
+        (1, 3, "u", "> of two lines\nthis?\n> Yes to that\nand that"),  # one line, then a whole text, answered in between
+        (1, 4, "a", "> Second paragraph\n> something that nobody wrote\nHm"),  # trimmed: its first line is known
+        (1, 5, "u", "> this?\n> and that\nTwo"),  # runs of own lines around a quote
+        (1, 6, "u", "> not at all\nNo"),
+    ]
+    out = {r.turn: r for r in quotes.conversations(spark.createDataFrame(rows, MAIL)).collect()}
+    assert [out[t].reply_turn for t in range(1, 7)] == [None, 1, 1, 1, 3, None]
+    assert [out[t].n_linked for t in range(1, 7)] == [0, 1, 2, 1, 1, 0] and out[3].text == "this?\nand that"
+    assert [out[t].depth for t in range(1, 7)] == [0, 1, 1, 1, 2, 0]
+
+
+def test_quote_cases(spark):
+    none = spark.createDataFrame([], MAIL)
+    assert quotes.conversations(none).collect() == []
+    rows = [(1, 1, "u", "Same"), (1, 1, "u", "Same"), (1, 2, "a", "> same\nYes"), (2, 1, "u", "> yes\nround"), (3, 1, "u", "> round\nagain"), (1, 3, "a", "> again\nand on"), (4, 1, None, "x " * 40000), (4, None, None, None)]
+    frame = spark.createDataFrame([(*r, "r") for r in rows], MAIL + ", root string")
+    out = quotes.conversations(frame).collect()
+    assert len(out) == len(rows)
+    by = {(r.conv_id, r.turn): r for r in out}
+    assert (by[1, 2].reply_turn, by[2, 1].reply_conv, by[3, 1].reply_conv, by[1, 3].reply_conv) == (1, 1, 2, 3)
+    assert by[1, 3].root_turn == 1 and by[1, 3].depth == 4
+    # a circle: each quotes the other, which is possible across conversations only
+    circle = spark.createDataFrame([(1, 1, "u", "> b\na"), (2, 1, "u", "> a\nb")], MAIL)
+    assert {(r.conv_id, r.root_conv, r.depth) for r in quotes.conversations(circle).collect()} == {(1, 1, 0), (2, 1, 0)}
+
+
+def test_mail_equals_brute_force(spark, data):
+    """Replies of the given conversations, by comparing every quoted passage with every earlier turn of its conversation."""
+    mail = quotes.as_mail(spark.read.parquet(f"{data}/conversations.parquet"))
+    rows = sorted({(r.conv_id, r.turn, r.text) for r in mail.collect()})
+    plain = lambda t: " ".join(t.lower().split())
+    own, want = {}, {}
+    for conv, turn, text in rows:
+        lines = text.split("\n")
+        own[conv, turn] = "\n".join(x for x in lines if not x.startswith(">"))
+        level_one = [x[2:] for x in lines if x.startswith("> ") and not x.startswith("> >")]
+        want[conv, turn] = plain("\n".join(level_one))
+    units = collections.defaultdict(set)
+    for (conv, turn), text in own.items():
+        for unit in (text, *re.split(r"\n[ \t]*\n", text), *text.split("\n")):
+            units[conv, plain(unit)].add(turn)
+    out = {(r.conv_id, r.turn): r for r in quotes.conversations(mail).collect()}
+    for (conv, turn), quoted in want.items():
+        earlier = [t for t in units.get((conv, quoted), ()) if t < turn] if quoted else []
+        if earlier:
+            assert (out[conv, turn].reply_conv, out[conv, turn].reply_turn) == (conv, max(earlier))
+
+
 def test_mail_round_trip(spark, data):
     turns = spark.read.parquet(f"{data}/conversations.parquet")
     out = quotes.conversations(quotes.as_mail(turns)).select("conv_id", "turn", F.col("text").alias("own"))
