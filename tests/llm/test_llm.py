@@ -337,6 +337,30 @@ def test_packing(docs, odd, none):
     assert packing.pack(none, path).collect() == []
 
 
+def test_packing_of_many_sources(spark):
+    """More sources than any fixed number: every window keeps each one's share, and neither files nor partitions change the result."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["river", "stone", "walk", "house"]) for _ in range(rng.randrange(20, 60))), f"site{i % 1100}") for i in range(6600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    path = tokenizer_path("word_bpe_49k.json")
+    pack = lambda df: packing.pack(df, path, window_sequences=4)
+    found = pack(docs).collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, pack(docs.repartition(7, "text")).collect()))
+    check_pieces(found, {i: t for i, t, _ in rows})
+    total, size = collections.Counter(), 4 * 2048
+    for r in found:
+        total[r.queue] += r.length
+    windows = sum(total.values()) // size
+    assert len(total) == 1100 and windows >= 10
+    for n in (1, windows // 2, windows):
+        seen = collections.Counter()
+        for r in found:
+            if r.sequence_id < 4 * n:
+                seen[r.queue] += r.length
+        # no source is more than a token and what the last window of a queue leaves over away from its share
+        assert max(abs(seen[q] - total[q] * n * size / sum(total.values())) for q in total) <= 3
+
+
 def test_windows_keep_to_the_mixture():
     totals = [70_000, 20_000, 10_000]
     plan = packing.Schedule(totals, [5, 3, 2], 1000)
