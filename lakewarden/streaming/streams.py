@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that the cluster shares, or a temporary one where none is named (tests)."""
+    """A new folder in the one that the cluster shares, as spark.checkpoint.dir names it. Where it is unset, a temporary one if all runs in one process (tests), else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="lakewarden-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"

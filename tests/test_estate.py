@@ -13,6 +13,7 @@ from lakewarden.functions import text as masks
 from lakewarden.operators import catalog, classify, compat, history, ledger, profile, quality, review, score
 from lakewarden.plans import estate, inputs
 from lakewarden.sources import catalog as sources
+from lakewarden.streaming import folds
 
 OBSERVED = "schema_name string, name string, asset_type string, column_name string, data_type string, ordinal int, nullable boolean"
 STORED = OBSERVED + ", asset_lifecycle string, column_lifecycle string"
@@ -242,6 +243,32 @@ def test_masks_compile(spark, data, capfd):
     assert "grows beyond" not in capfd.readouterr().err
 
 
+def test_leases_that_pass(spark, tmp_path):
+    """Tasks whose lease is over become pending, or dead without attempts left; ended ones and those with time left stay."""
+    shape = "task_id long, state string, attempts long, at timestamp"
+    rows = [
+        [(1, "running", 1, 0), (2, "claimed", 3, 0), (3, "running", 1, 0), (4, "running", 1, 5), (5, "done", 1, 0)],
+        [(3, "done", 1, 20), (4, "running", 2, 3590), (9, "running", 1, 3600)],
+        [(9, "done", 1, 3601)],
+        [(9, "done", 1, 3602)],
+    ]
+    for i, batch in enumerate(rows):
+        frame = spark.createDataFrame([(*r[:3], r[3]) for r in batch], "task_id long, state string, attempts long, s long")
+        frame.select("task_id", "state", "attempts", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("at")).coalesce(1).write.parquet(str(tmp_path / "in" / f"{i}"))
+    stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    query = folds.fold_tasks(stream, 60_000).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True)
+    seen = []
+    query.foreachBatch(lambda df, i: seen.extend((i, r.task_id, r.state, r.attempts) for r in df.collect())).start().awaitTermination()
+    last = {task: (state, attempts) for _, task, state, attempts in sorted(seen, key=lambda x: x[0])}
+    assert last == {1: ("pending", 1), 2: ("dead", 3), 3: ("done", 1), 4: ("running", 2), 5: ("done", 1), 9: ("done", 1)}
+
+
+def test_usage_stops_at_caps(spark):
+    charges = spark.createDataFrame([("a", 1, 3), ("a", 1, 4), ("b", 1, 1)], "run_id string, steps long, cost long")
+    caps = spark.createDataFrame([("a", 5), ("b", 5)], "run_id string, cost_cap long")
+    assert {r.run_id: (r.steps, r.cost, r.cost_used) for r in folds.usage_totals(charges, caps).collect()} == {"a": (2, 7, 5), "b": (1, 1, 1)}
+
+
 def test_gate_needs_runs(spark):
     none = spark.createDataFrame([], "run int, passed boolean")
     assert score.gate(none).first().passed is False
