@@ -15,7 +15,7 @@ pairs. Components are found by hooking and pointer jumping over tables.
 With 40 bands of 6 bins, two sets at a similarity of 0.8 share no bucket with a probability of 5e-6.
 
 Cases: null, empty or wordless text has an empty set and is linked with nothing; fewer words than a shingle make one shingle;
-null ids take no part in links and are their own component (null); repeated rows (equal ids) are one document for the
+ids are whole numbers of 64 bits, others are an error; null ids take no part in links and are their own component (null); repeated rows (equal ids) are one document for the
 links and come back each; an empty table gives no rows; other columns are ignored.
 """
 

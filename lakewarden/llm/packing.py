@@ -6,7 +6,7 @@ token that a window cannot take is the queue's deficit and is carried to the nex
 after w windows is a closed form of w (the carried fraction of w * quantum), any task can place any
 document from the queue position of its first token, so windows and deficits run across
 partitions without a sequential pass. When a queue runs dry, a new phase shares its part
-among the others. Windows follow each other without gaps in one token stream, which is
+among the others. A window is short of its size by less than a token of each source. Windows follow each other without gaps in one token stream, which is
 cut into sequences; the last, partial sequence is cut into powers of two, so nothing is padded.
 
 A queue's position comes from two levels of sums: over its slots (ranges of the hash, at most 2**SLOT_BITS rows a queue) and within a

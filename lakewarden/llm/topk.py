@@ -6,7 +6,7 @@ still gain (Cauchy-Schwarz), and vectors whose bound is below the k-th best know
 survivors compacted. Queries go in blocks too; each block of queries meets each block of vectors once.
 
 Cases: null vectors and those with a null or non-finite component take no part; only vectors of equal length are
-compared; rows with an equal id and vector count once; rows with the query's id are not its candidates; null
+compared; rows with an equal id and vector are one vector, so that it takes one rank; rows with the query's id are not its candidates; null
 ids take no part; ties go to the smaller id; scores beyond 64 bits are refused; other columns are ignored.
 """
 

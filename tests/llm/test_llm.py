@@ -357,8 +357,8 @@ def test_packing_of_many_sources(spark):
         for r in found:
             if r.sequence_id < 4 * n:
                 seen[r.queue] += r.length
-        # no source is more than a token and what the last window of a queue leaves over away from its share
-        assert max(abs(seen[q] - total[q] * n * size / sum(total.values())) for q in total) <= 3
+        # a window is up to a token of each source short, so that at its nominal end some sources have had their part of the next one
+        assert max(abs(seen[q] - total[q] * n * size / sum(total.values())) for q in total) <= max(total.values()) * size / sum(total.values()) + 2
 
 
 def test_windows_keep_to_the_mixture():
@@ -714,6 +714,33 @@ def test_near_duplicates_equal_brute_force(spark, size):
     assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
 
 
+def test_rows_grow_with_the_group_not_with_its_square(spark, monkeypatch):
+    """A group of near copies, each with edits of its own: what the second comparison makes for each member does not grow with the group."""
+    made, real = {}, neardup.stage_table
+
+    def counted(df, name):
+        out = real(df, name)
+        made[name] = made.get(name, 0) + (out.count() if name in ("few", "pairs", "material") else 0)
+        return out
+
+    monkeypatch.setattr(neardup, "stage_table", counted)
+    for size in (150, 600):
+        made.clear()
+        rng = random.Random(13)
+        word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+        base = [word() for _ in range(120)]
+        texts = {}
+        for i in range(size):
+            own = list(base)
+            for _ in range(rng.randrange(2, 16)):
+                own[rng.randrange(len(own))] = word()
+            texts[i] = " ".join(own)
+        rows = neardup.link(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), size=2).collect()
+        if size == 150:
+            assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute_components(texts, 2)
+        assert made["few"] + made.get("pairs", 0) <= 60 * size, made
+
+
 def test_near_duplicate_cases(odd, none):
     rows = neardup.link(odd, size=2).collect()
     assert len(rows) == len(ODD) and {r.component_id for r in rows if r.doc_id is None} == {None} and all(r.kept for r in rows)
