@@ -146,7 +146,7 @@ def overlap(edges: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
 
 
 def material(members: DataFrame, shingles: DataFrame) -> DataFrame:
-    """(a, b, inside, keep, shingles): what decides whether a meets others of the group of b, and of how many of them, in the common order, one is shared.
+    """(a, b, inside, n, keep, shingles): what decides whether a meets others of the group of b, and of how many of them, in the common order, one is shared.
 
     members: a, b, common, n_a, need (the fewest shingles that a shares with what it is linked with), and within: whether it may be linked with
     one that shares enough with it inside b.
@@ -156,7 +156,7 @@ def material(members: DataFrame, shingles: DataFrame) -> DataFrame:
         for whole in batches:
             for low in range(0, whole.num_rows, 512):
                 batch = whole.slice(low, 512)
-                owner, inside, keep, own = [], [], [], []
+                owner, inside, sizes, keep, own = [], [], [], [], []
                 columns = (batch.column(c).to_pylist() for c in ("common", "n_a", "need", "within"))
                 for i, (common, n, need, within) in enumerate(zip(*columns, strict=True)):
                     x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in ("set_a", "set_b"))
@@ -166,12 +166,13 @@ def material(members: DataFrame, shingles: DataFrame) -> DataFrame:
                         if most > 0 and len(values):
                             owner.append(i)
                             inside.append(kind)
+                            sizes.append(n)
                             keep.append(most)
                             own.append(values.tobytes())
                 at = pa.array(owner, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at), pa.array(inside, pa.bool_()), pa.array(keep, pa.int64()), pa.array(own, pa.binary())], names=["a", "b", "inside", "keep", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at), pa.array(inside, pa.bool_()), pa.array(sizes, pa.int64()), pa.array(keep, pa.int64()), pa.array(own, pa.binary())], names=["a", "b", "inside", "n", "keep", "shingles"])
 
-    return joined_sets(members, shingles).mapInArrow(run, "a bigint, b bigint, inside boolean, keep bigint, shingles binary")
+    return joined_sets(members, shingles).mapInArrow(run, "a bigint, b bigint, inside boolean, n bigint, keep bigint, shingles binary")
 
 
 def size_class(n: Column) -> Column:
@@ -213,24 +214,30 @@ def sketch(rows: DataFrame) -> np.ndarray:
     return np.minimum(total, 65535).astype(np.uint16)
 
 
-def first_few(rows: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(a, b, inside, shingles): of each row of material the first `keep` in the common order, without those that no other member of the group has."""
+def first_few(rows: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+    """(a, b, inside, shingles, limits): of each row of material the first `keep` in the common order, without those that no other member of the group has.
+
+    A limit is the size of the largest set that must have a shingle of the first ones up to this: a set of m must share at least percent of the union,
+    so it meets a set of n among the first n + 1 - (n + m) * percent / (100 + percent).
+    """
     shared = rows.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for low in range(0, whole.num_rows, 512):
                 batch = whole.slice(low, 512)
-                out = []
-                for keep, (values, own) in zip(batch.column("keep").to_pylist(), cells(batch), strict=True):
-                    n = shared.value[own]
-                    order = np.lexsort((values, n))[:keep]
-                    out.append(values[order][n[order] > 1].view(np.int64))
-                ends = np.cumsum([0, *map(len, out)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out), pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b", "inside")] + [lists], names=["a", "b", "inside", "shingles"])
+                out, limits = [], []
+                for n, keep, (values, own) in zip(batch.column("n").to_pylist(), batch.column("keep").to_pylist(), cells(batch), strict=True):
+                    seen = shared.value[own]
+                    order = np.lexsort((values, seen))[:keep]
+                    shared_too = np.flatnonzero(seen[order] > 1)
+                    out.append(values[order][shared_too].view(np.int64))
+                    limits.append((n - shared_too) * (100 + percent) // percent - n)
+                ends = pa.array(np.cumsum([0, *map(len, out)]), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x), pa.int64())) for x in (out, limits)]
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b", "inside")] + lists, names=["a", "b", "inside", "shingles", "limits"])
 
-    return rows.mapInArrow(run, "a bigint, b bigint, inside boolean, shingles array<bigint>")
+    return rows.mapInArrow(run, "a bigint, b bigint, inside boolean, shingles array<bigint>, limits array<bigint>")
 
 
 def components(links: DataFrame, nodes: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -316,10 +323,10 @@ def settle(buckets: DataFrame, shingles: DataFrame, labels: DataFrame, percent:
     within = wanted.select("a", "b").union(held.join(wanted.select("b", "class").distinct(), ["b", "class"], "left_semi").select("a", "b")).distinct()
     asked = members.join(within.withColumn("within", F.lit(True)), ["a", "b"], "left").withColumn("within", F.coalesce("within", F.lit(False)))
     rows = stage_table(material(asked.select("a", "b", "common", "n_a", "need", "within"), shingles), "material")
-    few = first_few(rows, sketch(rows)).select("a", "b", "inside", F.explode("shingles").alias("shingle"))
+    few = first_few(rows, sketch(rows), percent).select("a", "b", "inside", F.explode(F.arrays_zip("shingles", "limits")).alias("s")).select("a", "b", "inside", F.col("s.shingles").alias("shingle"), F.col("s.limits").alias("limit"))
     few = stage_table(few.join(members.select("a", "b", "of_a", "n_a", "loose", "most", "class"), ["a", "b"]), "few")
-    other = few.select("b", "inside", "shingle", "class", F.col("a").alias("y"), F.col("of_a").alias("of_y"), F.col("n_a").alias("n_y"), F.col("most").alias("most_y"))
-    sized = f"100 * least(n_a, n_y) >= {percent} * greatest(n_a, n_y) and of_a <> of_y"
+    other = few.select("b", "inside", "shingle", "class", F.col("a").alias("y"), F.col("of_a").alias("of_y"), F.col("n_a").alias("n_y"), F.col("most").alias("most_y"), F.col("limit").alias("limit_y"))
+    sized = f"100 * least(n_a, n_y) >= {percent} * greatest(n_a, n_y) and of_a <> of_y and n_y <= limit and n_a <= limit_y"
     beyond = few.filter("loose and not inside").join(other.filter("not inside").drop("class"), ["b", "shingle"]).filter(sized)
     inner = few.filter("loose and inside").drop("class").join(wanted, ["a", "b"]).join(other.filter("inside"), ["b", "class", "shingle"]).filter(f"{sized} and n_y <= most and n_a <= most_y")
     pairs = beyond.select("a", "y").union(inner.select("a", "y"))
