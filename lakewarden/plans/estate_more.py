@@ -484,7 +484,15 @@ def _l2(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(quality.name_tokens(F.col("p_brand")), ",").alias("tokens"))
 
 
-@add("l2_bm25")
+_WORDS = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
+_BM25 = f"""WITH w AS (SELECT doc_id, {_WORDS} AS tokens FROM documents), q AS (SELECT DISTINCT item_id AS query_id, unnest({_WORDS}) AS term FROM benchmark),
+size AS (SELECT count(*) AS n, avg(len(tokens)) AS mean FROM w), t AS (SELECT doc_id, len(tokens) AS length, unnest(tokens) AS term FROM w),
+tf AS (SELECT doc_id, length, term, count(*) AS tf FROM t GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+s AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))), 6) AS score FROM tf JOIN df USING (term) JOIN q USING (term), size GROUP BY ALL)
+SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 5"""
+
+
+@add("l2_bm25", _BM25)
 def _l2b(spark, sf_dir):
     words = lambda df, key, name: df.select(F.col(key).alias(name), F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("tokens"))
     return quality.bm25(words(table(spark, sf_dir, "documents"), "doc_id", "doc_id"), words(table(spark, sf_dir, "benchmark"), "item_id", "query_id"), 5)
