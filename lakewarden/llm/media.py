@@ -150,8 +150,9 @@ def store(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(images, pa.binary())], names=["digest", "media"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    once = docs.select(F.sha2(text, 256).alias("digest"), text.alias("text")).groupBy("digest").agg(F.first("text").alias("text"))
-    return once.mapInArrow(run, "digest string, media binary")
+    # images are smaller than texts, so that they and not these are shuffled
+    images = docs.select(F.sha2(text, 256).alias("digest"), text.alias("text")).mapInArrow(run, "digest string, media binary")
+    return images.groupBy("digest").agg(F.first("media").alias("media"))
 
 
 def feature(samples: np.ndarray) -> str:
