@@ -274,7 +274,7 @@ def _d13(spark, sf_dir):
     return reduce(DataFrame.unionByName, (quality.leaks(table(spark, sf_dir, t), tokens, t) for t in I.TABLES))
 
 
-@add("d14_residue", f"WITH {duck.mask_steps('SELECT doc_id, text AS x FROM documents WHERE text IS NOT NULL')} SELECT doc_id FROM masks WHERE masked = x AND {duck.alnums('x')} > 0")
+@add("d14_residue", f"WITH {duck.mask_steps('SELECT doc_id, text AS x FROM documents WHERE text IS NOT NULL')} SELECT doc_id FROM masks WHERE (masked = x AND {duck.alnums('x')} > 0) OR {duck.alnums('x')} - {duck.alnums('masked')} < least({duck.alnums('x')}, greatest({text.LEAST_HIDDEN}, ({duck.alnums('x')} + 1) // 2))")
 def _d14(spark, sf_dir):
     df = table(spark, sf_dir, "documents").select("doc_id", "text", text.mask(F.col("text"))["masked"].alias("masked"))
     return df.filter((F.col("masked") == F.col("text")) & (text.alnums(F.col("text")) > 0) | ~text.conceals(F.col("text"), F.col("masked"))).select("doc_id")
