@@ -2,6 +2,10 @@
 
 Toxic documents go, then those without a sure language, then near-copies; secrets are masked, and what is left is packed into
 training sequences. Every stage but the last returns the columns of documents.
+
+Cases: null, empty and letterless texts have no language and go with the second stage; rows with a null id all stay through near-dedup, of repeated rows
+(equal ids) one stays; labels of unknown documents are ignored; without labels nothing is toxic, and without languages nothing is kept; an empty table gives no rows;
+columns beside those of documents are dropped.
 """
 
 from __future__ import annotations
