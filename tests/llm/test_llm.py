@@ -768,3 +768,20 @@ def test_pipeline_stages(spark, data):
     assert set(clean) == set(single) and not any(secrets.ACCESS.search(r.text) and len(secrets.ACCESS.search(r.text)[0]) >= 20 for r in clean.values())
     assert all(r.n_chars == len(r.text) for r in clean.values())
     check_pieces(pipeline.STAGES[-1][1](spark, steps[-1], data).collect(), {i: r.text for i, r in clean.items()})
+
+
+def test_pipeline_cases(spark, tmp_path):
+    """Nulls, empty and repeated rows, an empty table, and columns with clashing names."""
+    import corpus_pipeline as pipeline
+
+    shape = "doc_id long, text string, lang string, source string, n_chars long, score double, base string, ids string, component_id long"
+    rows = [(i, t, lang, source, len(t or ""), 0.5, "x", "y", 1) for i, t, lang, source, *_ in ODD]
+    rows += [(100 + i, f"the river ran over stones number {i} and on to the sea", "en", "a", 40, 0.5, "x", "y", 1) for i in range(40)]
+    for name, given in (("some", rows), ("none", [])):
+        folder = str(tmp_path / name)
+        spark.createDataFrame(given, shape).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(4, 0), (100, 0), (9999, 1), (None, 1)][: 4 * bool(given)], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+        found = pipeline.run(spark, folder).collect()
+        assert bool(found) == bool(given)
+        ids = collections.Counter(r.doc_id for r in found if r.start == 0)
+        assert not given or (ids[4] == 1 and ids[None] == 1 and not {1, 2, 3} & set(ids))
