@@ -25,17 +25,22 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
+def digest(text: Column) -> Column:
+    """The first 16 bytes of the SHA-256 of a normalised text."""
+    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
+
+
 def parts(text: Column) -> Column:
-    """Paragraphs (rank 1) and lines (rank 2) of a text, with their place, as an array of (rank, at, hash)."""
-    cut = lambda pattern, rank: F.transform(F.split(text, pattern), lambda t, i: F.struct(F.lit(rank).alias("rank"), i.alias("at"), normalised(t).alias("text")))
+    """Paragraphs (rank 1) and lines (rank 2) of a text that has more than one, with their place, as an array of (rank, at, hash)."""
+    cut = lambda pattern, rank: F.transform(F.filter(F.split(text, pattern), lambda t: text.rlike(pattern)), lambda t, i: F.struct(F.lit(rank).alias("rank"), i.alias("at"), normalised(t).alias("text")))
     kept = F.filter(F.concat(cut(r"\n[ \t]*\n", 1), cut(r"\n", 2)), lambda p: p["text"] != "")
-    return F.transform(kept, lambda p: F.struct(p["rank"].alias("rank"), p["at"].alias("at"), F.sha2(p["text"], 256).alias("hash")))
+    return F.transform(kept, lambda p: F.struct(p["rank"].alias("rank"), p["at"].alias("at"), digest(p["text"]).alias("hash")))
 
 
 def hashes(text: Column) -> Column:
     """The same with the whole text (rank 0) before them."""
-    whole = F.struct(F.lit(0).alias("rank"), F.lit(0).alias("at"), F.sha2(normalised(text), 256).alias("hash"))
-    return F.concat(F.when(normalised(text) != "", F.array(whole)).otherwise(F.array().cast("array<struct<rank: int, at: int, hash: string>>")), parts(text))
+    whole = F.struct(F.lit(0).alias("rank"), F.lit(0).alias("at"), digest(normalised(text)).alias("hash"))
+    return F.concat(F.when(normalised(text) != "", F.array(whole)).otherwise(F.array().cast("array<struct<rank: int, at: int, hash: binary>>")), parts(text))
 
 
 def parse(messages: DataFrame) -> DataFrame:
@@ -76,10 +81,8 @@ def links(parsed: DataFrame) -> DataFrame:
     """(conv_id, turn, place, level, to_conv, to_turn): the originals of quoted passages; a row for each passage that has one."""
     known = parsed.filter("conv_id is not null and turn is not null")
     quoted = known.select("conv_id", "turn", F.explode("passages").alias("p")).select("conv_id", "turn", "p.place", "p.level", F.explode("p.hashes").alias("h"))
-    quoted = quoted.select("conv_id", "turn", "place", "level", "h.rank", "h.at", "h.hash").distinct()
-    # only hashes that are quoted somewhere are looked for
-    asked = quoted.select("hash").distinct()
-    originals = known.select(F.explode("units").alias("hash"), "conv_id", "turn").join(asked, "hash", "left_semi").distinct()
+    quoted = quoted.select("conv_id", "turn", "place", "level", "h.rank", "h.at", "h.hash")
+    originals = known.select(F.explode("units").alias("hash"), "conv_id", "turn")  # a repeated one changes no maximum
     # within a conversation: the latest original before the quote, as a running maximum over both in turn order
     quote = F.struct("place", "level", "rank", "at").alias("quote")
     both = originals.select("conv_id", "hash", "turn", F.col("turn").alias("original"), F.lit(None).cast("struct<place: int, level: int, rank: int, at: int>").alias("quote"))
