@@ -74,7 +74,7 @@ def parse(messages: DataFrame) -> DataFrame:
 
 
 #: Rows of one hash that is quoted everywhere are dealt into so many parts.
-SALTS = 32
+SALTS = 8
 
 
 def links(parsed: DataFrame) -> DataFrame:
