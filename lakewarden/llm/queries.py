@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakewarden.llm import langid, media, neardup, packing, quotes, sampling, secrets, topk, toxicity, warc
+from lakewarden.llm import hosts, langid, media, merkle, neardup, packing, periods, quotes, sampling, secrets, sql, topk, toxicity, warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -61,6 +61,18 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op11_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hosts.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.detect(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 OP7_SQL = """
 WITH v AS (
   SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
@@ -100,9 +112,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_language_id, op2_media_columns, op3_secrets, op4_mixture_packing, op5_toxicity, op6_warc_derivatives,
         op7_exact_top_k, op8_quote_threads, op9_sampled_pieces, op10_minhash_near_dedup,
+        op11_host_reputation, op12_merkle_manifest, op13_periodic_runs,
     )
     return {op.__name__: op for op in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_top_k": OP7_SQL, "op10_minhash_near_dedup": OP10_SQL}
+    return {"op7_exact_top_k": OP7_SQL, "op10_minhash_near_dedup": OP10_SQL, "op11_host_reputation": sql.OP11_SQL, "op12_merkle_manifest": sql.OP12_SQL}
