@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import tempfile
 import uuid
@@ -148,36 +149,88 @@ def chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES)
         low = high
 
 
-_TERMS = mixed(np.arange(1, 257, dtype=np.uint64) * MIX)
-#: The same for bytes that are taken as they are, and for A-Z taken as a-z.
-EXACT, FOLDED = _TERMS, np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.roll(_TERMS, -32), _TERMS)
+_LETTERS = np.arange(256)
+#: A 64-bit term and a small number for each byte, as it is, and with A-Z taken as a-z.
+EXACT = np.stack([mixed(np.arange(1, 257, dtype=np.uint64) * MIX), np.arange(1, 257, dtype=np.uint64)])
+FOLDED = EXACT[:, np.where((_LETTERS >= 65) & (_LETTERS <= 90), _LETTERS + 32, _LETTERS)]
 _BASE = 0xD1342543DE82EF95
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: The second sum is taken modulo this prime, where no two words can agree for the reasons for which they may modulo 2**64.
+PRIME = (1 << 61) - 1
+_HALF = np.uint64((1 << 31) - 1)
 
 
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        made = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
-        if size > 8 * CHUNK_BYTES:  # not to be kept
-            return made[0], made[1]
-        _powers[:] = made
-    return _powers[0], _powers[1]
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Of 64-bit numbers the remainders modulo PRIME."""
+    x = (x & np.uint64(PRIME)) + (x >> np.uint64(61))
+    return np.where(x >= np.uint64(PRIME), x - np.uint64(PRIME), x)
+
+
+def _product(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Products of numbers below PRIME modulo PRIME, from halves of 31 and 30 bits."""
+    x1, x0, y1, y0 = x >> np.uint64(31), x & _HALF, y >> np.uint64(31), y & _HALF
+    middle = x1 * y0 + x0 * y1
+    low = (middle & np.uint64((1 << 30) - 1)) << np.uint64(31)
+    return _reduced(np.uint64(2) * x1 * y1 + (middle >> np.uint64(30)) + low + x0 * y0)
+
+
+class _Powers:
+    """Powers for up to CHUNK_BYTES bytes: of a base modulo 2**64 and of its inverse, and of a base modulo PRIME, whole and in two halves."""
+
+    def __init__(self) -> None:
+        n = CHUNK_BYTES + 1
+        self.wrapped, self.inverse = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, b, np.uint64)])) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+        self.prime = np.ones(1, np.uint64)
+        while len(self.prime) < n:
+            next_ = np.uint64(pow(_BASE % PRIME, len(self.prime), PRIME))
+            self.prime = np.concatenate([self.prime, _product(self.prime, next_)])
+        self.prime = self.prime[:n]
+        self.high, self.low = (self.prime >> np.uint64(31)).astype(np.uint32), (self.prime & _HALF).astype(np.uint32)
+
+
+@functools.cache
+def _powers() -> _Powers:
+    return _Powers()
+
+
+def _sums(values: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values, out=total[1:])
+    return total
 
 
 def keys_of_spans(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, terms: np.ndarray = EXACT) -> np.ndarray:
-    """A 64-bit key of the bytes of each span, never 0. Spans ascend and do not overlap."""
-    out, low = np.zeros(len(begins), np.uint64), 0
+    """A 64-bit key of the bytes of each span, never 0. Spans ascend and do not overlap.
+
+    It is made of two sums of unlike kinds: one modulo 2**64 alone cannot tell some words of 1,024 letters and more apart, whatever its terms are. A word
+    longer than CHUNK_BYTES is a chain of its parts' keys.
+    """
+    long = np.flatnonzero(ends - begins > CHUNK_BYTES)
+    if len(long):
+        out = np.zeros(len(begins), np.uint64)
+        short = np.setdiff1d(np.arange(len(begins)), long, assume_unique=True)
+        out[short] = keys_of_spans(data, begins[short], ends[short], terms)
+        for i in long.tolist():
+            cuts = np.append(np.arange(begins[i], ends[i], CHUNK_BYTES), ends[i])
+            key = np.zeros(1, np.uint64)
+            for part in keys_of_spans(data, cuts[:-1], cuts[1:], terms):
+                key = mixed(key * MIX + part)
+            out[i] = key[0] | np.uint64(1)
+        return out
+    out, low, powers = np.zeros(len(begins), np.uint64), 0, _powers()
     while low < len(begins):
         first = int(begins[low])
         high = max(low + 1, int(np.searchsorted(ends, first + CHUNK_BYTES, "right")))
         part = data[first : int(ends[high - 1])]
-        powers, inverse = _powers_to(len(part) + 1)
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(terms[part] * powers[: len(part)], out=total[1:])
-        a, b = begins[low:high] - first, ends[low:high] - first
-        out[low:high] = mixed((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64) * MIX)
+        a, b, n = begins[low:high] - first, ends[low:high] - first, len(part)
+        total = _sums(terms[0][part] * powers.wrapped[:n])
+        key = (total[b] - total[a]) * powers.inverse[a] + (b - a).astype(np.uint64) * MIX
+        letters = terms[1][part]  # at most 256, so that sums over CHUNK_BYTES stay below 2**59
+        total = _sums(letters * powers.high[:n])
+        upper = total[b] - total[a]
+        total = _sums(letters * powers.low[:n])
+        shifted = ((upper & np.uint64((1 << 30) - 1)) << np.uint64(31)) + (upper >> np.uint64(30))  # upper * 2**31, as 2**61 is 1
+        second = _reduced(shifted + total[b] - total[a])
+        out[low:high] = mixed(key ^ mixed(_product(second, powers.prime[CHUNK_BYTES - a])))
         low = high
     return np.where(out == 0, np.uint64(1), out)
 

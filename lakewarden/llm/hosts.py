@@ -1,8 +1,8 @@
 """URL filter: listed rules first, then the reputation of a page's host by empirical Bayes.
 
 Pages with a known outcome (blocked or not) are counted by host, registered domain and public suffix. At each level a beta-binomial prior
-is centred on the posterior mean of the level above; how strongly it draws is fitted by moments over all groups of that level. So a host with few
-outcomes leans on its domain, a domain on its suffix, and a suffix on the whole table. A page is blocked if even a lower posterior
+is centred on the posterior mean of the level above; how strongly it draws is fitted by moments over all groups of that level, and no prior counts for more
+than the outcomes that its centre rests on. So a host with few outcomes leans on its domain, a domain on its suffix, and a suffix on the whole table. A page is blocked if even a lower posterior
 bound of its host's blocked share, the mean less `z` standard deviations of the beta posterior, reaches `limit`.
 
 All of it is expressions, aggregates that combine before they are shuffled, and one join by host of the pages with a written table of hosts: it is
@@ -78,11 +78,12 @@ def strength(groups: DataFrame) -> DataFrame:
 
 
 def shrunk(groups: DataFrame) -> DataFrame:
-    """groups with alpha and beta of the posterior and its mean."""
-    rows = groups.join(F.broadcast(strength(groups)))  # one row
+    """groups with alpha and beta of the posterior, its mean and its weight, their sum. groups: n, blocked, centre, weight (of what the centre rests on)."""
+    rows = groups.join(F.broadcast(strength(groups))).withColumn("strength", F.least("strength", "weight"))  # one row
     alpha = F.col("strength") * F.col("centre") + F.col("blocked")
     beta = F.col("strength") * (1 - F.col("centre")) + F.col("n") - F.col("blocked")
-    return rows.withColumns({"alpha": alpha, "beta": beta}).withColumn("mean", F.col("alpha") / (F.col("alpha") + F.col("beta"))).drop("strength")
+    rows = rows.withColumns({"alpha": alpha, "beta": beta, "weight": F.col("strength") + F.col("n")})
+    return rows.withColumn("mean", F.col("alpha") / F.col("weight")).drop("strength")
 
 
 def reputations(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
@@ -92,13 +93,14 @@ def reputations(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     counted = stage_table(counted.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "blocked"), "hosts")
     sums = lambda df, *by: df.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked"))
     domains = sums(counted, "domain", "suffix")
-    whole = counted.agg(((F.coalesce(F.sum("blocked"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("centre"))
-    centre = lambda df, key: df.select(key, F.col("mean").alias("centre"))
+    n, blocked = (F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "blocked"))
+    whole = counted.agg(((blocked + 1) / (n + 2)).alias("centre"), (n + 2).cast("double").alias("weight"))
+    centre = lambda df, key: df.select(key, F.col("mean").alias("centre"), "weight")
     suffixes = shrunk(sums(domains, "suffix").join(F.broadcast(whole)))  # one row
     domains = shrunk(domains.join(centre(suffixes, "suffix"), "suffix"))
     found = shrunk(counted.join(centre(domains, "domain"), "domain"))
-    total = F.col("alpha") + F.col("beta")
-    deviation = F.sqrt(F.col("alpha") * F.col("beta") / (total * total * (total + 1)))
+    weight = F.col("weight")
+    deviation = F.sqrt(F.col("alpha") * F.col("beta") / (weight * weight * (weight + 1)))
     return found.select("host", "n", "blocked", F.round("mean", 6).alias("mean"), F.round(F.col("mean") - z * deviation, 6).alias("lower"))
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.llm.common import SPACES, Bytes, WordCodes, blocks, char_matrix, chunks, flags, keys_of_spans, remember, stage_table
+from lakewarden.llm.common import MIX, SPACES, Bytes, WordCodes, blocks, char_matrix, chunks, flags, keys_of_spans, mixed, remember, stage_table
 
 # The base patterns, in the order of their kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -109,13 +109,9 @@ def respects(words: list[str]) -> np.ndarray:
         own = np.sort(np.where(digit | letter, code, -1), axis=1)
         variety = np.minimum(5, ((np.diff(own, axis=1) > 0).sum(axis=1) + 1) // 4)
         shape = length | (digits > 0) << 3 | (4 * digits > size) << 4 | (case == 4) << 5 | (changes > 3) << 6 | (marks & 1) << 7 | (marks >> 1 & 1) << 8 | (case == 2) << 9
-        hashed, left = np.zeros(len(block), np.int64), np.full(len(block), 24)
-        for j in range(code.shape[1]):
-            if not (on := letter[:, j] & (left > 0)).any() and j > 24 and not left.any():
-                break
-            hashed = np.where(on, (hashed * 31 + np.where(upper[:, j], code[:, j] + 32, code[:, j])) % 1000003, hashed)
-            left -= on
-        out[places] = np.stack([shape, hashed % RESPECTS[LETTERS], length, share, case, np.minimum(5, (changes + 2) // 3), marks, variety], axis=1)
+        small, rank = np.where(upper, code + 32, code).astype(np.uint64), letter.cumsum(axis=1).astype(np.uint64)
+        hashed = np.where(letter, mixed(small * MIX + rank), np.uint64(0)).sum(axis=1)  # each letter and its place among the letters
+        out[places] = np.stack([shape, (hashed % np.uint64(RESPECTS[LETTERS])).astype(np.int64), length, share, case, np.minimum(5, (changes + 2) // 3), marks, variety], axis=1)
     return out
 
 

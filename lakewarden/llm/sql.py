@@ -11,7 +11,7 @@ def _shrunk(name: str, groups: str) -> str:
     """CTE text: groups (key, n, k, centre, ...) with the beta posterior's a and b."""
     return f"""{name}_g AS ({groups}),
 {name}_s AS (SELECT {_POSTERIOR} AS s FROM (SELECT round(CASE WHEN sum(n * (n - 1) * centre * (1 - centre)) > 0 THEN sum((k - n * centre) ** 2 - n * centre * (1 - centre)) / sum(n * (n - 1) * centre * (1 - centre)) END, 9) AS r FROM {name}_g)),
-{name} AS (SELECT *, s * centre + k AS a, s * (1 - centre) + n - k AS b FROM {name}_g, {name}_s)"""
+{name} AS (SELECT *, least(s, weight) * centre + k AS a, least(s, weight) * (1 - centre) + n - k AS b FROM {name}_g, {name}_s)"""
 
 
 _FITS = " UNION ALL ".join(f"SELECT '{v}' AS verdict, '{h}' AS rule_host, '{p}' AS rule_path" for v, h, p in hosts.RULES)
@@ -24,9 +24,9 @@ c0 AS (SELECT host, CAST(count(hit.verdict) AS DOUBLE) AS n, CAST(count(*) FILTE
 c AS (SELECT *, regexp_matches(name, '^([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+|\[.*\])$') OR NOT contains(name, '.') AS alone FROM c0),
 h AS (SELECT host, n, k, CASE WHEN alone THEN name ELSE regexp_extract(name, '(?:^|\.)([^.]*\.{hosts.SUFFIX})$', 1) END AS domain, CASE WHEN alone THEN name ELSE regexp_extract(name, '(?:^|\.)({hosts.SUFFIX})$', 1) END AS suffix FROM c),
 dom AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY ALL),
-{_shrunk("s1", "SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) FROM h) AS centre FROM dom GROUP BY suffix")},
-{_shrunk("s2", "SELECT dom.domain, dom.n, dom.k, s1.a / (s1.a + s1.b) AS centre FROM dom JOIN s1 ON s1.suffix = dom.suffix")},
-{_shrunk("s3", "SELECT h.host, h.n, h.k, s2.a / (s2.a + s2.b) AS centre FROM h JOIN s2 ON s2.domain = h.domain")},
+{_shrunk("s1", "SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) FROM h) AS centre, (SELECT coalesce(sum(n), 0) + 2 FROM h) AS weight FROM dom GROUP BY suffix")},
+{_shrunk("s2", "SELECT dom.domain, dom.n, dom.k, s1.a / (s1.a + s1.b) AS centre, s1.a + s1.b AS weight FROM dom JOIN s1 ON s1.suffix = dom.suffix")},
+{_shrunk("s3", "SELECT h.host, h.n, h.k, s2.a / (s2.a + s2.b) AS centre, s2.a + s2.b AS weight FROM h JOIN s2 ON s2.domain = h.domain")},
 e AS (SELECT host, round(a / (a + b), 6) AS mean, round(a / (a + b) - 1.645::DOUBLE * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 6) AS lower FROM s3)
 SELECT page_id, w.host, path, hit.rule AS rule, coalesce(hit.verdict, CASE WHEN lower >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict, mean, lower FROM w JOIN e ON e.host = w.host
 """
