@@ -150,12 +150,11 @@ def chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES)
 
 
 _LETTERS = np.arange(256)
-#: A 64-bit term and a small number for each byte, as it is, and with A-Z taken as a-z.
-EXACT = np.stack([mixed(np.arange(1, 257, dtype=np.uint64) * MIX), np.arange(1, 257, dtype=np.uint64)])
-FOLDED = EXACT[:, np.where((_LETTERS >= 65) & (_LETTERS <= 90), _LETTERS + 32, _LETTERS)]
-_BASE = 0xD1342543DE82EF95
-#: The second sum is taken modulo this prime, where no two words can agree for the reasons for which they may modulo 2**64.
-PRIME = (1 << 61) - 1
+#: A number for each byte, as it is, and with A-Z taken as a-z.
+EXACT = np.arange(1, 257, dtype=np.uint64)
+FOLDED = EXACT[np.where((_LETTERS >= 65) & (_LETTERS <= 90), _LETTERS + 32, _LETTERS)]
+#: Keys are sums modulo a prime: modulo 2**64 some words of 1,024 letters and more have one sum, whatever the base.
+PRIME, _BASE = (1 << 61) - 1, 0xD1342543DE82EF95
 _HALF = np.uint64((1 << 31) - 1)
 
 
@@ -174,17 +173,13 @@ def _product(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 class _Powers:
-    """Powers for up to CHUNK_BYTES bytes: of a base modulo 2**64 and of its inverse, and of a base modulo PRIME, whole and in two halves."""
+    """Powers of the base for up to CHUNK_BYTES bytes, whole and in two halves."""
 
     def __init__(self) -> None:
-        n = CHUNK_BYTES + 1
-        self.wrapped, self.inverse = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, b, np.uint64)])) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
-        self.prime = np.ones(1, np.uint64)
-        while len(self.prime) < n:
-            next_ = np.uint64(pow(_BASE % PRIME, len(self.prime), PRIME))
-            self.prime = np.concatenate([self.prime, _product(self.prime, next_)])
-        self.prime = self.prime[:n]
-        self.high, self.low = (self.prime >> np.uint64(31)).astype(np.uint32), (self.prime & _HALF).astype(np.uint32)
+        self.whole = np.ones(1, np.uint64)
+        while len(self.whole) < CHUNK_BYTES + 1:
+            self.whole = np.concatenate([self.whole, _product(self.whole, np.uint64(pow(_BASE, len(self.whole), PRIME)))])
+        self.high, self.low = (self.whole >> np.uint64(31)).astype(np.uint32), (self.whole & _HALF).astype(np.uint32)
 
 
 @functools.cache
@@ -199,11 +194,7 @@ def _sums(values: np.ndarray) -> np.ndarray:
 
 
 def keys_of_spans(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, terms: np.ndarray = EXACT) -> np.ndarray:
-    """A 64-bit key of the bytes of each span, never 0. Spans ascend and do not overlap.
-
-    It is made of two sums of unlike kinds: one modulo 2**64 alone cannot tell some words of 1,024 letters and more apart, whatever its terms are. A word
-    longer than CHUNK_BYTES is a chain of its parts' keys.
-    """
+    """A 64-bit key of the bytes of each span, never 0. Spans ascend and do not overlap. A word longer than CHUNK_BYTES is a chain of its parts' keys."""
     long = np.flatnonzero(ends - begins > CHUNK_BYTES)
     if len(long):
         out = np.zeros(len(begins), np.uint64)
@@ -222,15 +213,13 @@ def keys_of_spans(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, terms:
         high = max(low + 1, int(np.searchsorted(ends, first + CHUNK_BYTES, "right")))
         part = data[first : int(ends[high - 1])]
         a, b, n = begins[low:high] - first, ends[low:high] - first, len(part)
-        total = _sums(terms[0][part] * powers.wrapped[:n])
-        key = (total[b] - total[a]) * powers.inverse[a] + (b - a).astype(np.uint64) * MIX
-        letters = terms[1][part]  # at most 256, so that sums over CHUNK_BYTES stay below 2**59
+        letters = terms[part]  # at most 256, so that sums over CHUNK_BYTES stay below 2**59
         total = _sums(letters * powers.high[:n])
         upper = total[b] - total[a]
         total = _sums(letters * powers.low[:n])
         shifted = ((upper & np.uint64((1 << 30) - 1)) << np.uint64(31)) + (upper >> np.uint64(30))  # upper * 2**31, as 2**61 is 1
-        second = _reduced(shifted + total[b] - total[a])
-        out[low:high] = mixed(key ^ mixed(_product(second, powers.prime[CHUNK_BYTES - a])))
+        own = _product(_reduced(shifted + total[b] - total[a]), powers.whole[CHUNK_BYTES - a])
+        out[low:high] = mixed(own ^ (b - a).astype(np.uint64) * MIX)
         low = high
     return np.where(out == 0, np.uint64(1), out)
 
