@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakewarden.operators import order
+
 # Hosts that are never allowed; * stands for any characters.
 DENIED_HOSTS = (
     "api.openai.com", "*.openai.azure.com", "api.anthropic.com", "*.googleapis.com", "bedrock*.amazonaws.com", "api.mistral.ai", "api.cohere.ai", "api.cohere.com", "api.groq.com",
@@ -30,6 +32,42 @@ def breaks(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select(*key, F.explode(found).alias("problem"))
 
 
+FACTS = ("type", "required", "vals")
+
+
+def reachable(refs: DataFrame, roots: DataFrame) -> DataFrame:
+    """(subject, model): each root and every model that its fields refer to, directly or through others, once each. refs: model, ref; roots: subject.
+
+    A round adds what is one reference further on and new; the rounds end, on circles too, as a subject reaches a model once. Each is written.
+    """
+    refs = refs.filter("model is not null and ref is not null").distinct()
+    found = front = order.staged(roots.select("subject", F.col("subject").alias("model")).distinct(), "models")
+    while not front.isEmpty():
+        further = front.join(refs, "model").select("subject", F.col("ref").alias("model")).distinct()
+        front = order.staged(further.join(found, ["subject", "model"], "left_anti"), "models")
+        found = found.unionByName(front)
+    return found
+
+
+def flatten(fields: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows for all fields of each root and of what it refers to: subject, model (null for the root's own), path, type, required, vals. fields: model, field, type, required, vals, ref."""
+    held = reachable(fields.select("model", "ref"), roots).join(fields.drop("ref"), "model", "left")
+    own = F.col("model") == F.col("subject")
+    path = F.when(own, F.concat(F.lit("/properties/"), "field")).otherwise(F.concat(F.lit("/$defs/"), "model", F.lit("/properties/"), "field"))
+    return held.select("subject", F.when(~own, F.col("model")).alias("model"), path.alias("path"), *FACTS)  # no path: a model without fields
+
+
+def nested_breaks(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(subject, path, problem) of two flattened versions: as breaks, and a model that is gone is one removed_model at its own path, its fields none."""
+    key = ["subject", "model"]
+    models = lambda df: df.filter("model is not null").select(*key).distinct()
+    kept = new.select("subject").distinct()
+    gone = models(old).join(kept, "subject", "left_semi").join(models(new), key, "left_anti")
+    removed = gone.select("subject", F.concat(F.lit("/$defs/"), "model").alias("path"), F.lit("removed_model").alias("problem"))
+    plain = lambda df: df.filter("path is not null").select("subject", "path", *FACTS)
+    return breaks(plain(old.join(gone, key, "left_anti")), plain(new)).unionByName(removed)
+
+
 def verdicts(old: DataFrame, new: DataFrame, found: DataFrame, declared: DataFrame) -> DataFrame:
     """subject, verdict: breaking if a break is not declared, stale if a declaration has no break, else pass. declared: subject, path, problem."""
     key = ["subject", "path", "problem"]

@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakewarden.functions import text
+from lakewarden.streaming import streams
 
 #: Values of more characters are grouped by a digest and their first characters, so that long texts are not shuffled.
 LONG = 256
@@ -40,21 +41,34 @@ def long_form(df: DataFrame, most: int | None = None) -> DataFrame:
     return df.select(F.explode(F.array(*pairs)).alias("pair")).select("pair.*").filter("value is not null")
 
 
-def statistics(df: DataFrame) -> DataFrame:
-    """(ordinal, name, data_type, row_count, present, low, high): one row for each column, from one aggregate over the table."""
-    column = lambda f: F.col(f"`{f.name.replace('`', '``')}`")
+def quoted(name: str) -> Column:
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def extrema(df: DataFrame) -> DataFrame:
+    """One row: row_count, and of each column the values that are there and its least and greatest one, in its own type (n1, low1, high1, n2, ...)."""
     aggregates = [F.count(F.lit(1)).alias("row_count")]
     for i, f in enumerate(df.schema, 1):
-        extrema = [g(column(f)) if orderable(f.dataType) else F.lit(None) for g in (F.min, F.max)]
-        aggregates += [F.count(column(f)).alias(f"n{i}"), extrema[0].cast("string").alias(f"low{i}"), extrema[1].cast("string").alias(f"high{i}")]
+        ends = [g(quoted(f.name)) if orderable(f.dataType) else F.lit(None).cast("string") for g in (F.min, F.max)]
+        aggregates += [F.count(quoted(f.name)).alias(f"n{i}"), ends[0].alias(f"low{i}"), ends[1].alias(f"high{i}")]
+    return df.agg(*aggregates)
+
+
+def described(found: DataFrame, schema: T.StructType) -> DataFrame:
+    """(ordinal, name, data_type, row_count, present, low, high): what extrema gives, as one row for each column."""
     rows = [
         F.struct(
             F.lit(i).alias("ordinal"), F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("data_type"), F.col("row_count"),
-            F.col(f"n{i}").alias("present"), F.col(f"low{i}").alias("low"), F.col(f"high{i}").alias("high"),
+            F.col(f"n{i}").alias("present"), F.col(f"low{i}").cast("string").alias("low"), F.col(f"high{i}").cast("string").alias("high"),
         )
-        for i, f in enumerate(df.schema, 1)
+        for i, f in enumerate(schema, 1)
     ]
-    return df.agg(*aggregates).select(F.explode(F.array(*rows)).alias("row")).select("row.*")
+    return found.select(F.explode(F.array(*rows)).alias("row")).select("row.*")
+
+
+def statistics(df: DataFrame) -> DataFrame:
+    """(ordinal, name, data_type, row_count, present, low, high): one row for each column, from one aggregate over the table."""
+    return described(extrema(df), df.schema)
 
 
 def frequencies(df: DataFrame) -> DataFrame:
@@ -102,20 +116,25 @@ def vote(types: Column) -> Column:
 
 
 def profile(df: DataFrame, k: int = 5) -> DataFrame:
-    """One row for each column, in the table's order: its counts and ratios, masked extrema and top values, and its semantic type.
+    """One row for each column, in the table's order: its counts and ratios, masked extrema and top values, and its semantic type."""
+    counted = frequencies(df)
+    return assembled(statistics(df), counted, top_values(df, counted, k))
+
+
+def assembled(stats: DataFrame, counted: DataFrame, tops: DataFrame) -> DataFrame:
+    """A profile from its parts: statistics, frequencies and top values.
 
     A column of one or two distinct values publishes the constant mask alone, so that no mask tells them apart.
     """
-    # Facts, extrema and top values of a column as rows, so that each table is aggregated once and every value masked by one expression.
-    counted = frequencies(df)
+    # Facts, extrema and top values of a column as rows, so that every value is masked by one expression.
     facts = ["name", "data_type", "row_count", "present"]
     no = lambda *names: [F.lit(None).cast({"count": "bigint", "row_count": "bigint", "present": "bigint"}.get(n, "string")).alias(n) for n in names]
     part = lambda place, value: F.struct(F.lit(place).alias("place"), value.alias("value"))
     ends = F.array(part(LOW, F.col("low")), part(HIGH, F.col("high")))
-    rows = statistics(df).select("ordinal", *facts, F.explode(ends).alias("p")).select("ordinal", "p.place", "p.value", *no("count"), *facts)
+    rows = stats.select("ordinal", *facts, F.explode(ends).alias("p")).select("ordinal", "p.place", "p.value", *no("count"), *facts)
     distinct = counted.groupBy("ordinal").agg(F.count(F.lit(1)).alias("count"))
     rows = rows.unionByName(distinct.select("ordinal", F.lit(DISTINCT).alias("place"), *no("value"), "count", *no(*facts)))
-    rows = rows.unionByName(top_values(df, counted, k).select("ordinal", "place", "value", "count", *no(*facts)))
+    rows = rows.unionByName(tops.select("ordinal", "place", "value", "count", *no(*facts)))
     masked = rows.withColumn("masked", text.mask(F.col("value")))
     only = lambda place, c: F.max(F.when(F.col("place") == place, F.col(c)))
     top = F.when(F.col("place") > 0, F.struct("place", F.col("masked").alias("value"), "count"))
@@ -136,6 +155,65 @@ def profile(df: DataFrame, k: int = 5) -> DataFrame:
     ).orderBy("ordinal")
 
 
+class State:
+    """What a profile of all rows so far can be read from, as deltas in a folder: one for each batch, merged as they are read.
+
+    A delta holds a batch's counts and typed extrema in one row, and its values with how often they occur, long ones with their digest. Counts add up, extrema
+    are taken again, and equal values meet by their first characters and digest, so that deltas may come in any order. A batch whose id comes again replaces its
+    delta. `compact` merges deltas into a new generation, which counts once it is whole and listed. Only counts are shuffled, never rows. All batches have one schema;
+    one process writes a state.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType) -> None:
+        self.spark, self.path, self.schema = spark, path, schema
+        listed = streams.stored(spark, f"{path}/generations", "generation long").agg(F.max("generation")).first()[0]
+        self.generation = listed or 0
+
+    def _folder(self, part: str, generation: int) -> str:
+        return f"{self.path}/generation-{generation}/{part}"
+
+    def add(self, batch: DataFrame, batch_id: int) -> None:
+        value = F.col("value")
+        keyed = long_form(batch).select("ordinal", F.substring(value, 1, LONG).alias("short"), F.when(F.length(value) > LONG, F.sha2(value, 256)).alias("digest"), F.when(F.length(value) > LONG, value).alias("long"))
+        self._write(extrema(batch), keyed.groupBy("ordinal", "short", "digest").agg(F.count(F.lit(1)).alias("count"), F.min("long").alias("long")), batch_id, self.generation)
+
+    def _write(self, ends: DataFrame, values: DataFrame, batch_id: int, generation: int) -> None:
+        ends.write.mode("overwrite").parquet(f"{self._folder('extrema', generation)}/batch={batch_id}")
+        values.write.mode("overwrite").parquet(f"{self._folder('values', generation)}/batch={batch_id}")
+
+    def _read(self, part: str) -> DataFrame:
+        return self.spark.read.parquet(self._folder(part, self.generation))
+
+    @staticmethod
+    def _extrema(found: DataFrame) -> DataFrame:
+        merge = {"n": F.sum, "l": F.min, "h": F.max, "r": F.sum}
+        return found.agg(*(merge[c[0]](c).alias(c) for c in found.columns if c != "batch"))
+
+    @staticmethod
+    def _values(found: DataFrame) -> DataFrame:
+        """(ordinal, short, digest, count, long): the frequencies; long is the whole of a long value."""
+        return found.groupBy("ordinal", "short", "digest").agg(F.sum("count").alias("count"), F.min("long").alias("long"))
+
+    def compact(self, before: int) -> None:
+        """Writes the deltas of batches before a number, which must not come again, as one delta of a new generation, and the others as they are."""
+        ends, values, new = self._read("extrema"), self._read("values"), self.generation + 1
+        old = F.col("batch") < before
+        self._write(self._extrema(ends.filter(old)), self._values(values.filter(old)), before - 1, new)
+        for (batch,) in ends.filter(~old).select("batch").distinct().collect():  # those few that have come since
+            self._write(*(df.filter(F.col("batch") == batch).drop("batch") for df in (ends, values)), batch, new)
+        self.spark.createDataFrame([(new,)], "generation long").write.mode("append").parquet(f"{self.path}/generations")
+        self.generation = new
+
+    def profile(self, k: int = 5) -> DataFrame:
+        """The profile of all rows so far, as `profile` gives it for a table of them."""
+        values = self._values(self._read("values"))
+        near = values.withColumn("place", F.rank().over(Window.partitionBy("ordinal").orderBy(F.desc("count"), "short"))).filter(F.col("place") <= k)
+        whole = near.select("ordinal", F.coalesce("long", "short").alias("value"), "count")
+        place = F.row_number().over(Window.partitionBy("ordinal").orderBy(F.desc("count"), "value"))
+        tops = whole.withColumn("place", place).filter(F.col("place") <= k)
+        return assembled(described(self._extrema(self._read("extrema")), self.schema), values.drop("long"), tops)
+
+
 def flat(profiled: DataFrame) -> DataFrame:
     """A profile with its structs written as text, for reports and comparisons."""
     shown = lambda s: F.concat_ws("|", s["masked"], s["semantic_type"], F.coalesce(s["length"].cast("string"), F.lit("-")))

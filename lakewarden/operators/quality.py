@@ -35,6 +35,13 @@ def stability(base: DataFrame, now: DataFrame, column: str) -> DataFrame:
     return both.join(F.broadcast(totals)).agg(F.round(F.sum((q - p) * F.log(q / p)), 6).alias("psi"))
 
 
+def freshness(df: DataFrame, at: str, now: Column, most_seconds: int, *by: str) -> DataFrame:
+    """by, latest, age_seconds, fresh: whether the newest row (of each group) is at most so old. Without a time at all it is not fresh."""
+    rows = df.groupBy(*by).agg(F.max(at).alias("latest"))
+    age = F.timestamp_diff("SECOND", F.col("latest"), now)
+    return rows.withColumn("age_seconds", age).withColumn("fresh", F.coalesce(F.col("age_seconds") <= most_seconds, F.lit(False)))
+
+
 def name_tokens(name: Column) -> Column:
     """An identifier and its parts, in lower case."""
     parts = F.split(F.lower(name), r"[^\p{L}\p{N}]+")

@@ -81,6 +81,23 @@ def settle_keys(decisions: DataFrame, proposals: DataFrame, states: DataFrame) -
         turn += 1
 
 
+def answered(judged: DataFrame, refused: DataFrame) -> DataFrame:
+    """(id, verdict, settled_by, outcome): what each decision is told. Both as settle_keys gives them, judged with all columns.
+
+    A decision that repeats an accepted one under its key, in full, is told that one's outcome (replayed, settled_by its id) and changes nothing; a key that was used for another
+    request is a conflict; all others are told their verdict.
+    """
+    at, request = F.struct("decided_at", "id"), F.struct(*REQUEST)
+    keyed = judged.filter("idempotency_key is not null")
+    first = keyed.filter("verdict = 'accepted'").select("idempotency_key", F.col("id").alias("first_id"), at.alias("first_at"), request.alias("request"))
+    again = keyed.filter("verdict <> 'accepted'").join(first, "idempotency_key").filter((at > F.col("first_at")) & request.eqNullSafe(F.col("request"))).select("id", "first_id")
+    verdict = F.when(F.col("first_id").isNotNull(), "replayed").otherwise(F.col("verdict"))
+    settled = F.when(F.col("verdict") == "accepted", F.col("id")).otherwise(F.col("first_id"))
+    told = judged.join(again, "id", "left").select("id", verdict.alias("verdict"), settled.alias("settled_by"), F.when(settled.isNotNull(), F.col("outcome")).alias("outcome"))
+    none = [F.lit(None).cast(told.schema[c].dataType).alias(c) for c in ("settled_by", "outcome")]
+    return told.unionByName(refused.select("id", F.col("why").alias("verdict"), *none))
+
+
 def statuses(proposals: DataFrame, judged: DataFrame) -> DataFrame:
     """proposal_id, asset_id, version, status: approved, superseded, rejected or pending_review."""
     done = judged.filter("verdict = 'accepted'").groupBy("proposal_id").agg(F.max((F.col("outcome") == "approve").cast("int")).alias("yes"))

@@ -363,12 +363,12 @@ def _f6b(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    from lakewarden.plans import estate_more
+    from lakewarden.plans import estate_depth, estate_more
 
-    return {**QUERIES, **estate_more.QUERIES_MORE}
+    return {**QUERIES, **estate_more.QUERIES_MORE, **estate_depth.QUERIES_DEPTH}
 
 
 def oracle_sql() -> dict[str, str]:
-    from lakewarden.plans import estate_more
+    from lakewarden.plans import estate_depth, estate_more
 
-    return {**SQL, **estate_more.SQL_MORE}
+    return {**SQL, **estate_more.SQL_MORE, **estate_depth.SQL_DEPTH}

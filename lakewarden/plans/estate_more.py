@@ -412,7 +412,8 @@ def drained(spark, stream: DataFrame, name: str, mode: str) -> DataFrame:
     if mode == "append":
         query = writer.format("parquet").option("path", f"{folder}/rows").start()
     else:
-        query = writer.foreachBatch(lambda df, batch: df.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{folder}/rows")).start()
+        with folds.rocks(spark):
+            query = writer.foreachBatch(lambda df, batch: df.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{folder}/rows")).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema if mode == "append" else T.StructType([*stream.schema, T.StructField("batch", T.IntegerType())])).parquet(f"{folder}/rows")
 
@@ -423,10 +424,13 @@ def event_stream(spark, sf_dir) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path if not path.endswith(".parquet") else path + "*")
 
 
-@add("k1_stream_task_states", "SELECT user_id AS task_id, CASE WHEN event_type IN ('click', 'view') THEN 'running' WHEN event_type = 'error' THEN 'failed' ELSE 'done' END AS state FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+_STATES_OF_EVENTS = "SELECT user_id AS task_id, ts, event_id, CASE WHEN event_type IN ('click', 'view') THEN 'running' WHEN event_type = 'error' THEN 'failed' ELSE 'done' END AS state FROM events"
+
+
+@add("k1_stream_task_states", with_inputs("SELECT task_id, coalesce(arg_min(state, (ts, event_id)) FILTER (state <> 'running'), arg_max(state, (ts, event_id))) AS state FROM s GROUP BY task_id", s=_STATES_OF_EVENTS))
 def _k1(spark, sf_dir):
     state = F.when(F.col("event_type").isin("click", "view"), "running").when(F.col("event_type") == "error", "failed").otherwise("done")
-    rows = event_stream(spark, sf_dir).select(F.col("user_id").alias("task_id"), state.alias("state"), F.lit(1).cast("long").alias("attempts"), F.col("ts").cast("timestamp").alias("at"))
+    rows = event_stream(spark, sf_dir).select(F.col("user_id").alias("task_id"), state.alias("state"), F.lit(1).cast("long").alias("attempts"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"))
     found = drained(spark, folds.fold_tasks(rows, 365 * 24 * 3600 * 1000), "task-states", "update")
     return found.groupBy("task_id").agg(F.max_by("state", F.struct("at", "batch")).alias("state"))
 
@@ -448,8 +452,8 @@ def _k3(spark, sf_dir):
 def _k4(spark, sf_dir):
     folder = streams.folder(spark, "profiles")
     stream = event_stream(spark, sf_dir)
-    for turn in ("first", "again"):  # the second run sees the same rows as new batches, and appends nothing
-        writer = stream.writeStream.foreachBatch(folds.record_profiles(f"{folder}/versions", "events")).option("checkpointLocation", f"{folder}/{turn}").trigger(availableNow=True)
+    for turn in ("first", "again"):  # the second run sees the same rows under the same batch ids, and changes nothing
+        writer = stream.writeStream.foreachBatch(folds.record_profiles(folder, "events")).option("checkpointLocation", f"{folder}/{turn}").trigger(availableNow=True)
         writer.start().awaitTermination()
     return spark.read.parquet(f"{folder}/versions").select("asset_id", F.col("version").cast("int").alias("version"), "row_count")
 

@@ -1,51 +1,157 @@
-"""Streams: task states with lease timeouts, usage totals, request deduplication and incremental profiles.
+"""Streams: task states with leases, usage clamped charge by charge, request deduplication, cumulated profiles and health over time.
 
-Watermarks need timestamps with a zone; cast event times first. Files must arrive in order of event time, or late rows are dropped.
+Watermarks need timestamps with a zone; cast event times first. Rows older than the watermark are late and dropped, so files must arrive in order of event
+time, but for the delay. The keyed states need the RocksDB state store (`rocks`).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from typing import Any
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from lakewarden.operators import history, profile
+from lakewarden.streaming import streams
 
 TASK = "task_id long, state string, attempts long, at timestamp"
 ENDED = ("done", "failed", "dead", "cancelled")
+LEASED = ("claimed", "running")
+STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def rocks(spark: SparkSession) -> Iterator[None]:
+    """While a query is started: the state store that keyed states need."""
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(STORE, before) if before else spark.conf.unset(STORE)
+
+
+class TaskFold(StatefulProcessor):
+    """A task's last state, and a timer: its lease while it is claimed or running, and the end of its memory once it has ended."""
+
+    def __init__(self, lease_ms: int, max_attempts: int, keep_ms: int) -> None:
+        self.lease_ms, self.max_attempts, self.keep_ms = lease_ms, max_attempts, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "state string, attempts long, at long, seq long")
+
+    def _timer(self, at: int | None) -> None:
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if at is not None:
+            self.handle.registerTimer(at)
+
+    def _hold(self, state: str, attempts: int, at: int, seq: int) -> None:
+        self.held.update((state, attempts, at, seq))
+        self._timer(at + self.keep_ms + 1 if state in ENDED else at + self.lease_ms + 1 if state in LEASED else None)
+
+    def _lapsed(self, attempts: int, at: int) -> tuple[str, int, int]:
+        return "dead" if attempts >= self.max_attempts else "pending", attempts, at + self.lease_ms
+
+    def _rows(self, key: Any, rows: list[tuple[str, int, int]]) -> pd.DataFrame:
+        return pd.DataFrame({
+            "task_id": pd.Series([key[0]] * len(rows), dtype="int64"), "state": [r[0] for r in rows], "attempts": pd.Series([r[1] for r in rows], dtype="int64"),
+            "at": pd.to_datetime(pd.Series([r[2] for r in rows], dtype="int64"), unit="ms"),
+        })
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        # a task's rows of one batch are few: those since the last trigger
+        given = pd.concat(list(rows)).sort_values(["at", "seq"], kind="stable")
+        held = self.held.get() if self.held.exists() else None
+        out: list[tuple[str, int, int]] = []
+        for state, attempts, at, seq in zip(given["state"], given["attempts"], given["at"], given["seq"], strict=True):
+            ms = int(pd.Timestamp(at).value // 1_000_000)
+            if held is not None and held[0] in LEASED and ms > held[2] + self.lease_ms:  # its lease was over before this row
+                held = (*self._lapsed(held[1], held[2]), -1)
+                out.append(held[:3])
+            if held is not None and (held[0] in ENDED or (held[2], held[3]) >= (ms, int(seq))):
+                continue  # what has ended stays ended; what is older than what is known changes nothing
+            held = (state, int(attempts), ms, int(seq))
+            out.append(held[:3])
+        if held is not None:
+            self._hold(*held)
+        if out:
+            yield self._rows(key, out)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        if not self.held.exists():
+            return
+        state, attempts, at, _ = self.held.get()
+        if state in LEASED:
+            lapsed = self._lapsed(attempts, at)
+            self._hold(*lapsed, -1)
+            yield self._rows(key, [lapsed])
+        elif state in ENDED:
+            self.held.clear()
+
+    def close(self) -> None:
+        pass
 
 
-def fold_tasks(events: DataFrame, lease_ms: int, max_attempts: int = 3, delay: str = "0 seconds") -> DataFrame:
-    """The latest state of each task; a claimed or running task whose lease passes in event time becomes pending, or dead without attempts left.
+def fold_tasks(events: DataFrame, lease_ms: int, max_attempts: int = 3, delay: str = "0 seconds", keep_ms: int = 0) -> DataFrame:
+    """Each state that a task takes, and when; a claimed or running task whose lease ends in event time becomes pending, or dead without attempts left.
 
-    events: task_id, state, attempts, at. One state of a few bytes for each open task.
+    events: task_id, state, attempts, at, and optionally seq, which orders rows of one time. A lease that ends before the task's next row is over whether its timer has run by then or not, so
+    that batches do not matter. An ended task stays ended: it is remembered until the watermark is keep_ms past its end; rows of before its end are late by
+    then. State: one row of a few bytes for each task that is open or remembered.
     """
+    rows = events if "seq" in events.columns else events.withColumn("seq", F.lit(0).cast("bigint"))
+    keyed = rows.select("task_id", "state", "attempts", "at", "seq").withWatermark("at", delay).groupBy("task_id")
+    return keyed.transformWithStateInPandas(TaskFold(lease_ms, max_attempts, keep_ms), TASK, "Update", "EventTime")
+
+
+CAPPED = ("steps", "tokens", "cost")
+CHARGED = "run_id long, seq long, " + ", ".join(f"{d}_used long, {d}_applied long, {d}_over long" for d in CAPPED) + ", wall_clock_used long"
+
+
+class UsageClamp(StatefulProcessor):
+    """What a run has used so far, in whole units; costs are in millionths."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.used = handle.getValueState("used", ", ".join(f"{d} long" for d in (*CAPPED, "wall_clock")))
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        given = pd.concat(list(rows)).sort_values(["seq", "task_id"], kind="stable")
+        used = self.used.get() if self.used.exists() else (0, 0, 0, 0)
+        out: dict[str, Any] = {"run_id": np.full(len(given), key[0], np.int64), "seq": given["seq"].to_numpy(np.int64)}
+        last = []
+        for d, before in zip(CAPPED, used, strict=False):
+            charge = given[d].to_numpy(np.int64)
+            # charges are not negative, so that min(used + x, cap), charge by charge, is the least of the running sum and the cap
+            after = np.minimum(before + np.cumsum(charge), given[f"{d}_cap"].to_numpy(np.int64))
+            applied = np.diff(after, prepend=min(before, int(after[0])))
+            out |= {f"{d}_used": after, f"{d}_applied": applied, f"{d}_over": charge - applied}
+            last.append(int(after[-1]))
+        out["wall_clock_used"] = used[3] + np.cumsum(given["wall_clock"].to_numpy(np.int64))
+        self.used.update((*last, int(out["wall_clock_used"][-1])))
+        yield pd.DataFrame(out)
+
+    def close(self) -> None:
+        pass
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            name, attempts, at = state.get
-            state.remove()
-            ended = "dead" if attempts >= max_attempts else "pending"
-            yield pd.DataFrame({"task_id": [key[0]], "state": [ended], "attempts": [attempts], "at": [pd.Timestamp(at + lease_ms, unit="ms")]})
-            return
-        rows = pd.concat(batches).sort_values("at", kind="stable")
-        last = rows.iloc[-1]
-        at = int(last["at"].timestamp() * 1000)
-        if state.exists and state.get[2] > at:
-            return
-        if last["state"] in ENDED:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((last["state"], int(last["attempts"]), at))
-            if last["state"] in ("claimed", "running"):
-                state.setTimeoutTimestamp(max(at + lease_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"task_id": [key[0]], "state": [last["state"]], "attempts": [int(last["attempts"])], "at": [last["at"]]})
 
-    return events.withWatermark("at", delay).groupBy("task_id").applyInPandasWithState(step, TASK, "state string, attempts long, at long", "update", GroupStateTimeout.EventTimeTimeout)
+def clamp_usage(charges: DataFrame, budgets: DataFrame) -> DataFrame:
+    """Each charge with what is used after it, what of it was applied and what was overspent, in every capped dimension, as ledger.clamped gives them for a table.
+
+    charges: run_id, task_id, seq, steps, tokens, cost, wall_clock; budgets: run_id and a cap of steps, tokens and cost, a table. Charges arrive in order of seq from batch to batch; within a
+    batch they are sorted. Wall clock is summed, not capped. State: four numbers for each run; a run's charges of one batch are one group, bounded by what a trigger takes.
+    """
+    millionths = lambda c: (F.round(F.col(c), 6) * 1_000_000).cast("bigint").alias(c)
+    rows = charges.select("run_id", "task_id", "seq", "steps", "tokens", millionths("cost"), "wall_clock").join(budgets.select("run_id", "steps_cap", "tokens_cap", millionths("cost_cap")), "run_id")
+    found = rows.groupBy("run_id").transformWithStateInPandas(UsageClamp(), CHARGED, "Append", "None")
+    money = [(F.col(f"cost_{x}") / 1_000_000).cast("decimal(20,6)").alias(f"cost_{x}") for x in ("used", "applied", "over")]
+    return found.select(*(c for c in found.columns if not c.startswith("cost_")), *money)
 
 
 def usage_totals(charges: DataFrame, caps: DataFrame | None = None) -> DataFrame:
@@ -59,24 +165,33 @@ def first_requests(requests: DataFrame, within: str) -> DataFrame:
     return requests.withWatermark("at", within).dropDuplicatesWithinWatermark(["key"])
 
 
+def health(tasks: DataFrame, width: str = "1 hour", delay: str = "0 seconds") -> DataFrame:
+    """start, events, dead and oldest_seconds of each window of event time, once it is closed (append mode). tasks: at, state, age_seconds.
+
+    A window is closed when the watermark, the newest time less the delay, reaches its end. A late row counts as long as its window is open and is dropped after that.
+    """
+    counted = tasks.withWatermark("at", delay).groupBy(F.window("at", width))
+    found = counted.agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("state") == "dead").alias("dead"), F.max("age_seconds").alias("oldest_seconds"))
+    return found.select(F.col("window.start").alias("start"), "events", "dead", "oldest_seconds")
+
+
+VERSIONS = "asset_id string, version long, digest string, row_count long, batch_id long"
+
+
 def record_profiles(path: str, asset_id: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: profiles the batch and appends a version only if the digest is new; a repeated batch id appends nothing."""
+    """For foreachBatch: adds the batch to the asset's profile state under `path`/state and appends a version of the profile of all rows so far to `path`/versions if its digest is new.
+
+    A batch id that comes again replaces what it has added, and so changes nothing.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        shape = "asset_id string, version long, digest string, row_count long, batch_id long"
-        try:
-            stored = spark.read.schema(shape).parquet(path)
-            stored.isEmpty()
-        except Exception as error:  # nothing has been stored yet
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            stored = spark.createDataFrame([], shape)
-        if not stored.filter((F.col("batch_id") == batch_id) & (F.col("asset_id") == asset_id)).isEmpty():
-            return
-        document = profile.table_document(profile.profile(batch))
+        state = profile.State(spark, f"{path}/state", batch.schema)
+        state.add(batch, batch_id)
+        stored = streams.stored(spark, f"{path}/versions", VERSIONS).filter(F.col("asset_id") == asset_id)
+        document = profile.table_document(state.profile())
         computed = document.select(F.lit(asset_id).alias("asset_id"), profile.digest("row_count", "columns").alias("digest"), "row_count", F.lit(batch_id).cast("long").alias("batch_id"))
-        fresh = history.record(computed, stored.filter(F.col("asset_id") == asset_id))
-        fresh.select("asset_id", F.col("version").cast("long").alias("version"), "digest", "row_count", "batch_id").write.mode("append").parquet(path)
+        fresh = history.record(computed, stored)
+        fresh.select("asset_id", F.col("version").cast("long").alias("version"), "digest", "row_count", "batch_id").write.mode("append").parquet(f"{path}/versions")
 
     return run
