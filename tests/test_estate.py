@@ -258,8 +258,9 @@ def test_leases_that_pass(spark, tmp_path):
     stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
     query = folds.fold_tasks(stream, 60_000).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True)
     seen = []
-    query.foreachBatch(lambda df, i: seen.extend((i, r.task_id, r.state, r.attempts) for r in df.collect())).start().awaitTermination()
-    last = {task: (state, attempts) for _, task, state, attempts in sorted(seen, key=lambda x: x[0])}
+    with folds.rocks(spark):
+        query.foreachBatch(lambda df, i: seen.extend((i, r.at, r.task_id, r.state, r.attempts) for r in df.collect())).start().awaitTermination()
+    last = {task: (state, attempts) for _, _, task, state, attempts in sorted(seen, key=lambda x: x[:2])}
     assert last == {1: ("pending", 1), 2: ("dead", 3), 3: ("done", 1), 4: ("running", 2), 5: ("done", 1), 9: ("done", 1)}
 
 
