@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewarden.functions import text
-from lakewarden.operators import catalog, classify, compat, history, ledger, profile, quality, review, score
+from lakewarden.operators import catalog, history, order, profile, quality
 from lakewarden.plans import duck
 from lakewarden.plans import inputs as I
 from lakewarden.sources import catalog as sources
@@ -64,10 +64,11 @@ def doubles(df: DataFrame, *names: str) -> DataFrame:
 
 def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sources.scan({("main", t): table(spark, sf_dir, t) for t in I.TABLES})
-    return found.select("schema_name", "name", "asset_type", "column_name", F.col("ordinal").cast("int").alias("ordinal"))
+    return found.select("schema_name", "name", "asset_type", "column_name", "data_type", F.col("ordinal").cast("int").alias("ordinal"), "nullable")
 
 
-_SCAN_SQL = "SELECT 'main' AS schema_name, table_name AS name, 'table' AS asset_type, column_name, CAST(ordinal_position AS INTEGER) AS ordinal FROM information_schema.columns WHERE table_name IN (" + ", ".join(f"'{t}'" for t in I.TABLES) + ")"
+_TYPES = "CASE data_type WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'FLOAT[]' THEN 'array<float>' ELSE lower(data_type) END"
+_SCAN_SQL = f"SELECT 'main' AS schema_name, table_name AS name, 'table' AS asset_type, column_name, {_TYPES} AS data_type, CAST(ordinal_position AS INTEGER) AS ordinal, is_nullable = 'YES' AS nullable FROM information_schema.columns WHERE table_name IN (" + ", ".join(f"'{t}'" for t in I.TABLES) + ")"
 add("a1_scan_schemas", _SCAN_SQL)(_scanned)
 
 
@@ -82,7 +83,7 @@ _SOURCES = "SELECT concat('src', o_orderkey) AS name, CASE o_orderkey % 3 WHEN 0
 @add(
     "a4_register_sources",
     with_inputs(
-        "SELECT name, engine, host, database FROM (SELECT *, row_number() OVER (PARTITION BY engine, host, database ORDER BY requested_at, name) AS turn FROM r WHERE (engine, host) NOT IN (SELECT ('postgres', concat('h', n_nationkey)) FROM nation)) WHERE turn = 1", r=_SOURCES
+        "SELECT name, engine, host, database, sha256('{\"engine\":\"' || engine || '\",\"host\":\"' || host || '\",\"database\":\"' || database || '\",\"include_schemas\":[\"a\",\"b\"],\"exclude_schemas\":[]}') AS source_id FROM (SELECT *, row_number() OVER (PARTITION BY engine, host, database ORDER BY requested_at, name) AS turn FROM r WHERE (engine, host) NOT IN (SELECT ('postgres', concat('h', n_nationkey)) FROM nation)) WHERE turn = 1", r=_SOURCES
     ),
 )
 def _a4(spark, sf_dir):
@@ -90,7 +91,7 @@ def _a4(spark, sf_dir):
     requests = I.derive(spark, sf_dir, _SOURCES).withColumn("exclude_schemas", empty)
     known = I.derive(spark, sf_dir, "SELECT DISTINCT 'postgres' AS engine, concat('h', o_custkey % 50) AS host, concat('d', o_custkey % 20) AS database FROM orders WHERE o_custkey % 50 < 25")
     known = known.withColumn("include_schemas", F.array(F.lit("b"), F.lit("a"))).withColumn("exclude_schemas", empty)
-    return sources.register(requests, known).select("name", "engine", "host", "database")
+    return sources.register(requests, known).select("name", "engine", "host", "database", "source_id")
 
 
 _COLS = "SELECT concat('a', c_custkey) AS asset_id, concat('c', c_nationkey) AS column_name FROM customer"
@@ -162,8 +163,27 @@ def counts_sql(name: str) -> str:
     return f"WITH s AS ({stats_sql(name)}) SELECT name, row_count, null_count, CAST({duck.ratio('null_count', 'row_count')} AS DOUBLE) AS null_ratio, distinct_count, CAST({duck.ratio('distinct_count', 'row_count')} AS DOUBLE) AS distinct_ratio FROM s"
 
 
+_JSON_VALUE = """'{"masked":' || to_json(CASE WHEN low2 THEN '***' ELSE masked END) || ',"semantic_type":"' || CASE WHEN low2 THEN semantic ELSE kind END || '","length":' || CASE WHEN low2 OR length IS NULL THEN 'null' ELSE CAST(length AS VARCHAR) END || '}'"""
+_JSON_COLUMN = """'{{"ordinal":' || ordinal || ',"name":"' || name || '","data_type":"' || {kinds} || '","null_count":' || null_count || ',"null_ratio":' || {null_ratio} || ',"distinct_count":' || distinct_count || ',"distinct_ratio":' || {distinct_ratio} || ',"min_value":' || coalesce(lo, 'null') || ',"max_value":' || coalesce(hi, 'null') || ',"top_values":[' || coalesce(tops, '') || '],"semantic_type":"' || semantic || '"}}'"""
+
+
+def digest_sql(name: str, kinds: list[str]) -> str:
+    """row_count and the digest of a table's profile, written as the canonical JSON of its document."""
+    column = _JSON_COLUMN.format(kinds="[" + ", ".join(f"'{k}'" for k in kinds) + "][ordinal]", null_ratio=duck.ratio("null_count", "row_count"), distinct_ratio=duck.ratio("distinct_count", "row_count"))
+    top = """'{"value":' || shown || ',"count":' || n || '}'"""
+    return f"""{profile_parts(name, _JSON_VALUE, top, ',')}
+SELECT max(row_count) AS row_count, sha256('{{"columns":[' || string_agg({column}, ',' ORDER BY ordinal) || '],"row_count":' || max(row_count) || '}}') AS digest FROM c LEFT JOIN g USING (ordinal)"""
+
+
 def profile_sql(name: str) -> str:
     shown = "concat_ws('|', CASE WHEN low2 THEN '***' ELSE masked END, CASE WHEN low2 THEN semantic ELSE kind END, CASE WHEN low2 OR length IS NULL THEN '-' ELSE CAST(length AS VARCHAR) END)"
+    return f"""{profile_parts(name, shown, "shown || '|' || n", ';')}
+SELECT CAST(c.ordinal AS INTEGER) AS ordinal, name, row_count, null_count, CAST({duck.ratio('null_count', 'row_count')} AS DOUBLE) AS null_ratio, distinct_count, CAST({duck.ratio('distinct_count', 'row_count')} AS DOUBLE) AS distinct_ratio,
+  lo AS min_value, hi AS max_value, coalesce(tops, '') AS top_values, semantic AS semantic_type FROM c LEFT JOIN g USING (ordinal)"""
+
+
+def profile_parts(name: str, shown: str, top: str, between: str) -> str:
+    """CTE text: c has a column's facts and g its masked extrema and top values, each shown and joined as told."""
     return f"""WITH s AS ({stats_sql(name)}),
 f AS (SELECT ordinal, v, count(*) AS n FROM ({long_sql(name)}) WHERE v IS NOT NULL GROUP BY ordinal, v),
 t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ordinal ORDER BY n DESC, v) AS place FROM f) WHERE place <= 5),
@@ -173,9 +193,7 @@ votes AS (SELECT ordinal, count(DISTINCT CASE WHEN kind <> 'empty' THEN kind END
 c AS (SELECT s.*, CASE WHEN coalesce(kinds, 0) = 0 THEN 'unknown' WHEN kinds > 1 THEN 'mixed' ELSE one END AS semantic,
   distinct_count BETWEEN 1 AND 2 OR coalesce(samples, 0) BETWEEN 1 AND 2 AS low2 FROM s LEFT JOIN votes USING (ordinal)),
 d AS (SELECT m.ordinal, m.place, m.n, {shown} AS shown FROM masks m JOIN c USING (ordinal)),
-g AS (SELECT ordinal, string_agg(shown || '|' || n, ';' ORDER BY place) FILTER (WHERE place < 100) AS tops, max(shown) FILTER (WHERE place = 100) AS lo, max(shown) FILTER (WHERE place = 101) AS hi FROM d GROUP BY ordinal)
-SELECT CAST(c.ordinal AS INTEGER) AS ordinal, name, row_count, null_count, CAST({duck.ratio('null_count', 'row_count')} AS DOUBLE) AS null_ratio, distinct_count, CAST({duck.ratio('distinct_count', 'row_count')} AS DOUBLE) AS distinct_ratio,
-  lo AS min_value, hi AS max_value, coalesce(tops, '') AS top_values, semantic AS semantic_type FROM c LEFT JOIN g USING (ordinal)"""
+g AS (SELECT ordinal, string_agg({top}, '{between}' ORDER BY place) FILTER (WHERE place < 100) AS tops, max(shown) FILTER (WHERE place = 100) AS lo, max(shown) FILTER (WHERE place = 101) AS hi FROM d GROUP BY ordinal)"""
 
 
 def _profiles() -> None:
@@ -218,17 +236,21 @@ def _c10(spark, sf_dir):
     return profile.flat(profile.profile_estate({t: table(spark, sf_dir, t) for t in I.TABLES}))
 
 
-@add("c11_profile_digest")
+@add("c11_profile_digest", digest_sql("customer", ["bigint", "string", "int", "double", "string"]))
 def _c11(spark, sf_dir):
     document = profile.table_document(profile.profile(table(spark, sf_dir, "customer")))
     return document.select("row_count", profile.digest("row_count", "columns").alias("digest"))
 
 
-@add("c12_state_digest", "SELECT (SELECT count(*) FROM customer) AS rows, true AS same")
+_ROW = """'{"c_acctbal":' || c_acctbal || ',"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name || '"}'"""
+_STATE = f"SELECT CAST(sum(CAST('0x' || substr(md5({_ROW}), 1, 15) AS BIGINT)) AS VARCHAR) FROM customer"
+
+
+@add("c12_state_digest", f"SELECT (SELECT count(*) FROM customer) AS rows, ({_STATE}) AS digest, ({_STATE}) AS again")
 def _c12(spark, sf_dir):
     df = table(spark, sf_dir, "customer")
-    again = profile.state_digest(df.repartition(7, "c_nationkey")).select(F.col("digest").alias("again"))
-    return profile.state_digest(df).join(F.broadcast(again)).select("rows", (F.col("digest") == F.col("again")).alias("same"))
+    again = profile.state_digest(df.repartition(7, "c_nationkey"), ("c_nationkey",)).select(F.col("digest").alias("again"))
+    return profile.state_digest(df, ("c_nationkey",)).join(F.broadcast(again))
 
 
 # Masks
@@ -274,9 +296,13 @@ def _d13(spark, sf_dir):
     return reduce(DataFrame.unionByName, (quality.leaks(table(spark, sf_dir, t), tokens, t) for t in I.TABLES))
 
 
-@add("d14_residue", f"WITH {duck.mask_steps('SELECT doc_id, text AS x FROM documents WHERE text IS NOT NULL')} SELECT doc_id FROM masks WHERE (masked = x AND {duck.alnums('x')} > 0) OR {duck.alnums('x')} - {duck.alnums('masked')} < least({duck.alnums('x')}, greatest({text.LEAST_HIDDEN}, ({duck.alnums('x')} + 1) // 2))")
+_BADLY = "CASE WHEN doc_id % 50 = 0 THEN text WHEN doc_id % 50 = 1 THEN substr(text, 1, 20) ELSE {masked} END"  # masks that keep what they should hide, among right ones
+
+
+@add("d14_residue", f"WITH {duck.mask_steps('SELECT doc_id, text AS x FROM documents WHERE text IS NOT NULL')}, bad AS (SELECT doc_id, x, {_BADLY.replace('text', 'x').format(masked='masked')} AS masked FROM masks) SELECT doc_id FROM bad WHERE (masked = x AND {duck.alnums('x')} > 0) OR {duck.alnums('x')} - {duck.alnums('masked')} < least({duck.alnums('x')}, greatest({text.LEAST_HIDDEN}, ({duck.alnums('x')} + 1) // 2))")
 def _d14(spark, sf_dir):
     df = table(spark, sf_dir, "documents").select("doc_id", "text", text.mask(F.col("text"))["masked"].alias("masked"))
+    df = df.withColumn("masked", F.expr(_BADLY.format(masked="masked")))
     return df.filter((F.col("masked") == F.col("text")) & (text.alnums(F.col("text")) > 0) | ~text.conceals(F.col("text"), F.col("masked"))).select("doc_id")
 
 
@@ -284,7 +310,8 @@ def _d14(spark, sf_dir):
 
 _OA = "oa AS (SELECT schema_name, name, min(asset_type) AS t FROM o GROUP BY ALL), sa AS (SELECT schema_name, name, min(asset_type) AS t, min(asset_lifecycle) AS l FROM s GROUP BY ALL)"
 _E_ASSETS = f"{_OA} SELECT coalesce(oa.schema_name, sa.schema_name) AS schema_name, coalesce(oa.name, sa.name) AS name, CASE WHEN sa.name IS NULL THEN 'insert_asset' WHEN oa.name IS NULL THEN 'missing_asset' ELSE 'update_asset' END AS change, sa.t AS type_before, oa.t AS type_after, sa.l AS lifecycle_before FROM oa FULL JOIN sa ON oa.schema_name = sa.schema_name AND oa.name = sa.name WHERE sa.name IS NULL OR (oa.name IS NULL AND sa.l = 'active') OR (oa.name IS NOT NULL AND (oa.t <> sa.t OR sa.l <> 'active'))"
-_E_COLUMNS = "SELECT coalesce(o.schema_name, s.schema_name) AS schema_name, coalesce(o.name, s.name) AS name, coalesce(o.column_name, s.column_name) AS column_name, CASE WHEN s.name IS NULL THEN 'insert_column' WHEN o.name IS NULL THEN 'missing_column' ELSE 'update_column' END AS change, s.data_type AS data_type_before, o.data_type AS data_type_after FROM o FULL JOIN s ON o.schema_name = s.schema_name AND o.name = s.name AND o.column_name = s.column_name WHERE s.name IS NULL OR (o.name IS NULL AND s.column_lifecycle = 'active' AND s.asset_lifecycle = 'active') OR (o.name IS NOT NULL AND s.name IS NOT NULL AND (o.data_type <> s.data_type OR o.ordinal <> s.ordinal OR o.nullable IS DISTINCT FROM s.nullable OR s.column_lifecycle <> 'active'))"
+_FACTS = """CASE WHEN {0}.name IS NOT NULL THEN '{{"data_type":"' || {0}.data_type || '","ordinal":' || {0}.ordinal || ',"nullable":' || {0}.nullable || '}}' END"""
+_E_COLUMNS = f"SELECT {_FACTS.format('s')} AS before, {_FACTS.format('o')} AS after, coalesce(o.schema_name, s.schema_name) AS schema_name, coalesce(o.name, s.name) AS name, coalesce(o.column_name, s.column_name) AS column_name, CASE WHEN s.name IS NULL THEN 'insert_column' WHEN o.name IS NULL THEN 'missing_column' ELSE 'update_column' END AS change, s.data_type AS data_type_before, o.data_type AS data_type_after FROM o FULL JOIN s ON o.schema_name = s.schema_name AND o.name = s.name AND o.column_name = s.column_name WHERE s.name IS NULL OR (o.name IS NULL AND s.column_lifecycle = 'active' AND s.asset_lifecycle = 'active') OR (o.name IS NOT NULL AND s.name IS NOT NULL AND (o.data_type <> s.data_type OR o.ordinal <> s.ordinal OR o.nullable IS DISTINCT FROM s.nullable OR s.column_lifecycle <> 'active'))"
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -296,32 +323,57 @@ def _e1(spark, sf_dir):
     return catalog.asset_changes(*snapshots(spark, sf_dir))
 
 
-@add("e4_column_changes", f"WITH o AS ({I.OBSERVED}), s AS ({I.STORED}) {_E_COLUMNS}")
+@add("e4_column_changes", f"WITH o AS ({I.OBSERVED}), s AS ({I.STORED}) SELECT * EXCLUDE (before, after) FROM ({_E_COLUMNS})")
 def _e4(spark, sf_dir):
     return catalog.column_changes(*snapshots(spark, sf_dir)).select("schema_name", "name", "column_name", "change", F.col("before.data_type").alias("data_type_before"), F.col("after.data_type").alias("data_type_after"))
 
 
-@add("e7_plan", f"WITH o AS ({I.OBSERVED}), s AS ({I.STORED}), a AS (WITH {_E_ASSETS}), c AS ({_E_COLUMNS}) SELECT change, count(*) AS n FROM (SELECT change FROM a UNION ALL SELECT change FROM c) GROUP BY change")
+_PLAN = f"""o AS ({I.OBSERVED}), s AS ({I.STORED}), a AS (WITH {_E_ASSETS}), c AS ({_E_COLUMNS}), plan AS (
+SELECT schema_name, name, NULL AS column_name, change, '{{"asset_type":"' || type_before || '","lifecycle":"' || lifecycle_before || '"}}' AS before, '{{"asset_type":"' || type_after || '","lifecycle":"active"}}' AS after FROM a
+UNION ALL SELECT schema_name, name, column_name, change, before, after FROM c)"""
+
+
+@add("e7_plan", f"WITH {_PLAN} SELECT * FROM plan")
 def _e7(spark, sf_dir):
-    return catalog.plan(*snapshots(spark, sf_dir)).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
+    return catalog.plan(*snapshots(spark, sf_dir))
+
+
+@add("e7_plan_order", f"WITH {_PLAN} SELECT row_number() OVER (ORDER BY schema_name, name, column_name NULLS FIRST, change) AS place, schema_name, name, column_name, change FROM plan")
+def _e7b(spark, sf_dir):
+    """The plan in its stable order; places are read off the order in which the rows come."""
+    ordered = order.staged(catalog.stable_order(catalog.plan(*snapshots(spark, sf_dir))).withColumn("at", F.monotonically_increasing_id()), "plan")
+    return order.running(ordered.withColumn("one", F.lit(1)), "at", "one").select(F.col("run_one").alias("place"), "schema_name", "name", "column_name", "change")
 
 
-@add("e8_apply", f"WITH o AS ({I.OBSERVED}), s AS ({I.STORED}), oa AS (SELECT schema_name, name, min(asset_type) AS t FROM o GROUP BY ALL) SELECT coalesce(o.schema_name, s.schema_name) AS schema_name, coalesce(o.name, s.name) AS name, coalesce(o.column_name, s.column_name) AS column_name, coalesce(oa.t, s.asset_type) AS asset_type, coalesce(o.data_type, s.data_type) AS data_type, coalesce(o.ordinal, s.ordinal) AS ordinal, CASE WHEN oa.name IS NOT NULL THEN 'active' WHEN s.asset_lifecycle = 'active' THEN 'missing' ELSE s.asset_lifecycle END AS asset_lifecycle, CASE WHEN o.name IS NOT NULL THEN 'active' WHEN s.column_lifecycle = 'active' AND (oa.name IS NOT NULL OR s.asset_lifecycle = 'active') THEN 'missing' ELSE s.column_lifecycle END AS column_lifecycle FROM o FULL JOIN s ON o.schema_name = s.schema_name AND o.name = s.name AND o.column_name = s.column_name LEFT JOIN oa ON oa.schema_name = coalesce(o.schema_name, s.schema_name) AND oa.name = coalesce(o.name, s.name)")
+_IDS = "concat_ws('-', 'a', schema_name, name) AS asset_id, concat_ws('-', 'c', schema_name, name, column_name) AS column_id"
+
+
+@add("e8_apply", f"WITH o AS ({I.OBSERVED}), s AS (SELECT *, {_IDS} FROM ({I.STORED})), oa AS (SELECT schema_name, name, min(asset_type) AS t FROM o GROUP BY ALL) SELECT coalesce(s.asset_id, sha256(concat_ws(chr(31), o.schema_name, o.name))) AS asset_id, coalesce(s.column_id, sha256(concat_ws(chr(31), o.schema_name, o.name, o.column_name))) AS column_id, CASE WHEN o.name IS NOT NULL THEN o.nullable ELSE s.nullable END AS nullable, coalesce(o.schema_name, s.schema_name) AS schema_name, coalesce(o.name, s.name) AS name, coalesce(o.column_name, s.column_name) AS column_name, coalesce(oa.t, s.asset_type) AS asset_type, coalesce(o.data_type, s.data_type) AS data_type, coalesce(o.ordinal, s.ordinal) AS ordinal, CASE WHEN oa.name IS NOT NULL THEN 'active' WHEN s.asset_lifecycle = 'active' THEN 'missing' ELSE s.asset_lifecycle END AS asset_lifecycle, CASE WHEN o.name IS NOT NULL THEN 'active' WHEN s.column_lifecycle = 'active' AND (oa.name IS NOT NULL OR s.asset_lifecycle = 'active') THEN 'missing' ELSE s.column_lifecycle END AS column_lifecycle FROM o FULL JOIN s ON o.schema_name = s.schema_name AND o.name = s.name AND o.column_name = s.column_name LEFT JOIN oa ON oa.schema_name = coalesce(o.schema_name, s.schema_name) AND oa.name = coalesce(o.name, s.name)")
 def _e8(spark, sf_dir):
-    return catalog.apply(*snapshots(spark, sf_dir)).select("schema_name", "name", "column_name", "asset_type", "data_type", "ordinal", "asset_lifecycle", "column_lifecycle")
+    observed, stored = snapshots(spark, sf_dir)
+    stored = stored.withColumns({"asset_id": F.concat_ws("-", F.lit("a"), "schema_name", "name"), "column_id": F.concat_ws("-", F.lit("c"), "schema_name", "name", "column_name")})
+    return catalog.apply(observed, stored)
 
 
-@add("e9_change_events", f"WITH o AS ({I.OBSERVED}), s AS ({I.STORED}), a AS (WITH {_E_ASSETS}), c AS ({_E_COLUMNS}) SELECT CASE split_part(change, '_', 1) WHEN 'insert' THEN 'asset.discovered' WHEN 'update' THEN 'asset.changed' ELSE 'asset.missing' END AS action, 'asset' AS entity_type, concat_ws('.', schema_name, name) AS entity_id FROM a UNION ALL SELECT CASE split_part(change, '_', 1) WHEN 'insert' THEN 'column.discovered' WHEN 'update' THEN 'column.changed' ELSE 'column.missing' END, 'column', concat_ws('.', schema_name, name, column_name) FROM c")
+@add("e9_change_events", f"WITH {_PLAN} SELECT kind || CASE split_part(change, '_', 1) WHEN 'insert' THEN '.discovered' WHEN 'update' THEN '.changed' ELSE '.missing' END AS action, kind AS entity_type, concat_ws('.', schema_name, name, column_name) AS entity_id, before, after FROM (SELECT *, CASE WHEN column_name IS NULL THEN 'asset' ELSE 'column' END AS kind FROM plan)")
 def _e9(spark, sf_dir):
-    return catalog.events(catalog.plan(*snapshots(spark, sf_dir))).select("action", "entity_type", "entity_id")
+    return catalog.events(catalog.plan(*snapshots(spark, sf_dir)))
 
 
-@add("e10_scan_summary", f"WITH o AS ({I.OBSERVED}), s AS ({I.STORED}), a AS (WITH {_E_ASSETS}), c AS ({_E_COLUMNS}) SELECT (SELECT count(*) FROM (SELECT DISTINCT schema_name, name FROM o)) AS assets, (SELECT count(*) FROM o) AS columns, (SELECT count(*) FROM a) + (SELECT count(*) FROM c) AS changes, true AS changed")
+@add("e10_scan_summary", f"WITH {_PLAN}, n AS (SELECT (SELECT count(*) FROM (SELECT DISTINCT schema_name, name FROM o)) AS assets, (SELECT count(*) FROM o) AS columns, (SELECT count(*) FROM plan) AS changes) SELECT *, changes > 0 AS changed FROM n")
 def _e10(spark, sf_dir):
     observed, stored = snapshots(spark, sf_dir)
     return catalog.summary(observed, catalog.plan(observed, stored))
 
 
+@add("e10_unchanged_scan", f"WITH s AS ({I.STORED}), n AS (SELECT count(DISTINCT (schema_name, name)) AS assets, count(*) AS columns, count(*) FILTER (asset_lifecycle <> 'active' OR column_lifecycle <> 'active') AS others FROM (SELECT schema_name, name, 'active' AS asset_lifecycle, 'active' AS column_lifecycle FROM s)) SELECT assets, columns, others AS changes, others > 0 AS changed FROM n")
+def _e10b(spark, sf_dir):
+    """A scan that sees what is stored, once what was found missing is active: nothing changes."""
+    stored = I.derive(spark, sf_dir, I.STORED)
+    healed = catalog.apply(stored.drop("asset_lifecycle", "column_lifecycle"), stored)
+    return catalog.summary(stored, catalog.plan(stored, healed))
+
+
 # Versions
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from lakewarden.operators import classify, compat, ledger, profile, quality, review, score
 from lakewarden.plans import duck
 from lakewarden.plans import inputs as I
-from lakewarden.plans.estate import Query, doubles, table, with_inputs
+from lakewarden.plans.estate import Query, doubles, profile_sql, table, with_inputs
 from lakewarden.sources import catalog as sources
 from lakewarden.streaming import folds, streams
 
@@ -48,7 +48,11 @@ _PROBLEMS = """concat_ws(',', CASE WHEN k = 1 THEN 'duplicate_label' END, CASE W
 CASE WHEN s % 4 <> 0 AND s % 11 = 0 THEN 'repeated_citation' END, CASE WHEN s % 4 <> 0 AND s % 7 = 0 THEN 'foreign_citation' END, CASE WHEN s % 4 <> 0 AND s % 9 = 0 THEN 'wrong_version' END, CASE WHEN confidence > 1 THEN 'bad_confidence' END)"""
 
 
-@add("g1_rule_labels")
+_RULED = f"""p AS ({profile_sql('customer')}), n AS (SELECT name AS column_name, semantic_type, regexp_replace(lower(name), '^[a-z]_', '') AS n FROM p),
+f AS (SELECT *, list_filter([{', '.join(f"CASE WHEN (regexp_matches(n, '{pattern}') AND NOT regexp_matches(n, '{classify.DERIVED}')) OR {kinds} THEN '{label}' END" for (label, pattern), kinds in zip(classify.NAME_RULES.items(), ("semantic_type IN ('email', 'phone', 'ip_address')", "false", "semantic_type = 'credit_card'"), strict=True))}], lambda x: x IS NOT NULL) AS labels FROM n)"""
+
+
+@add("g1_rule_labels", f"WITH {_RULED} SELECT 'customer' AS table_name, column_name, CASE WHEN len(labels) > 0 THEN array_to_string(labels, ',') ELSE 'none' END AS labels, CASE WHEN semantic_type IN ('email', 'credit_card') THEN 0.95::DOUBLE WHEN len(labels) > 0 THEN 0.8::DOUBLE ELSE 0.7::DOUBLE END AS confidence, CAST(CASE WHEN len(labels) > 0 THEN 2 ELSE 0 END AS INTEGER) AS citations FROM f")
 def _g1(spark, sf_dir):
     found = profile.profile(table(spark, sf_dir, "customer")).withColumn("table_name", F.lit("customer"))
     labelled = classify.classify(found)
@@ -267,7 +271,7 @@ def _i3(spark, sf_dir):
     return doubles(rows, *(f"{d}_{x}" for d in ("steps", "tokens", "cost") for x in ("used", "applied", "over")))
 
 
-@add("i4_ledger_rounding", "SELECT event_id, CAST(round(CAST(value AS DECIMAL(18,8)) / 7.0000, 6) AS DOUBLE) AS cost FROM (SELECT event_id, CAST(event_id * 5 AS DECIMAL(18,8)) AS value FROM events) WHERE false UNION ALL SELECT event_id, CAST(CAST((event_id * 5 + 5) // 10 AS DECIMAL(18,6)) / 1000000 AS DOUBLE) FROM events")
+@add("i4_ledger_rounding", "SELECT event_id, CAST(CAST((event_id * 5 + 5) // 10 AS DECIMAL(18,6)) / 1000000 AS DOUBLE) AS cost FROM events")
 def _i4(spark, sf_dir):
     exact = (F.col("event_id") * 5).cast("decimal(18,0)") * F.expr("CAST(0.0000001 AS DECIMAL(8,7))")
     return table(spark, sf_dir, "events").select("event_id", ledger.ledger_cost(exact).cast("double").alias("cost"))
@@ -356,11 +360,11 @@ def _i17b(spark, sf_dir):
     return ledger.audit_counts(I.derive(spark, sf_dir, _AUDITED))
 
 
-@add("a8_audit_sink", f"WITH o AS ({I.OBSERVED}) SELECT 'scanner' AS actor, 'column.seen' AS action, 'column' AS entity_type, concat_ws('.', schema_name, name, column_name) AS entity_id FROM o")
+@add("a8_audit_sink", f"WITH o AS ({I.OBSERVED}) SELECT 'scanner' AS actor, 'column.seen' AS action, 'column' AS entity_type, concat_ws('.', schema_name, name, column_name) AS entity_id, CAST(NULL AS VARCHAR) AS before, '{{\"data_type\":\"' || data_type || '\",\"ordinal\":' || ordinal || '}}' AS after FROM o")
 def _a8(spark, sf_dir):
     seen = I.derive(spark, sf_dir, I.OBSERVED)
     rows = sources.audit("column", "scanner", [(seen, "column.seen", sources.qualified_name("schema_name", "name", "column_name"), F.lit(None).cast("string"), F.to_json(F.struct("data_type", "ordinal")))])
-    return rows.select("actor", "action", "entity_type", "entity_id")
+    return rows
 
 
 _TRACED = "SELECT event_id AS task_id, substr(md5(concat('run', user_id)), 1, 16) AS trace_id FROM events"
