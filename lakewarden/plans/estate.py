@@ -28,6 +28,7 @@ COLUMNS = {
     "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"],
     "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
     "documents": ["doc_id", "text", "lang", "source", "n_chars"],
+    "embeddings": ["vec_id", "embedding", "label"],
     "pages": ["page_id", "url", "html"],
     "benchmark": ["item_id", "text"],
     "labels": ["doc_id", "quality", "toxic"],
@@ -148,13 +149,29 @@ def _b9(spark, sf_dir):
 # Profiles
 
 
+_X = "CAST(x AS VARCHAR)"
+_DIGITS = f"ltrim(split_part({_X}, '.', 2), '0')"
+_MANTISSA = f"ltrim(split_part({_X}, 'e', 1), '-')"
+#: A float as the JVM writes it: small and large ones with one digit before the point and an exponent.
+_FLOAT = (
+    f"CASE WHEN x IS NULL THEN 'null' WHEN x = 0 OR (abs(x) >= 0.001 AND abs(x) < 10000000) THEN {_X} ELSE CASE WHEN x < 0 THEN '-' ELSE '' END || CASE WHEN contains({_X}, 'e') "
+    f"THEN {_MANTISSA} || CASE WHEN contains({_MANTISSA}, '.') THEN '' ELSE '.0' END || 'E' || CAST(split_part({_X}, 'e', 2) AS INTEGER) "
+    f"ELSE {_DIGITS}[1] || '.' || CASE WHEN length({_DIGITS}) > 1 THEN {_DIGITS}[2:] ELSE '0' END || 'E-' || (length(split_part({_X}, '.', 2)) - length({_DIGITS}) + 1) END END"
+)
+
+
+def as_text(column: str, value: str) -> str:
+    """A value of a column as text; vectors are written by their components."""
+    return f"CASE WHEN {value} IS NOT NULL THEN '[' || array_to_string(list_transform({value}, lambda x: {_FLOAT}), ', ') || ']' END" if column == "embedding" else f"CAST({value} AS VARCHAR)"
+
+
 def long_sql(name: str) -> str:
-    return " UNION ALL ".join(f"SELECT {i} AS ordinal, CAST({c} AS VARCHAR) AS v FROM {name}" for i, c in enumerate(COLUMNS[name], 1))
+    return " UNION ALL ".join(f"SELECT {i} AS ordinal, {as_text(c, c)} AS v FROM {name}" for i, c in enumerate(COLUMNS[name], 1))
 
 
 def stats_sql(name: str) -> str:
     return " UNION ALL ".join(
-        f"SELECT {i} AS ordinal, '{c}' AS name, count(*) AS row_count, count(*) - count({c}) AS null_count, count(DISTINCT CAST({c} AS VARCHAR)) AS distinct_count, CAST(min({c}) AS VARCHAR) AS low, CAST(max({c}) AS VARCHAR) AS high FROM {name}"
+        f"SELECT {i} AS ordinal, '{c}' AS name, count(*) AS row_count, count(*) - count({c}) AS null_count, count(DISTINCT {as_text(c, c)}) AS distinct_count, {as_text(c, f'min({c})')} AS low, {as_text(c, f'max({c})')} AS high FROM {name}"
         for i, c in enumerate(COLUMNS[name], 1)
     )
 
@@ -197,9 +214,9 @@ g AS (SELECT ordinal, string_agg({top}, '{between}' ORDER BY place) FILTER (WHER
 
 
 def _profiles() -> None:
-    for name in (*COLUMNS, "embeddings"):
+    for name in COLUMNS:
 
-        @add(f"c9_profile_{name}", profile_sql(name) if name in COLUMNS else None)
+        @add(f"c9_profile_{name}", profile_sql(name))
         def _profile(spark, sf_dir, name=name):
             return doubles(profile.flat(profile.profile(table(spark, sf_dir, name))), "null_ratio", "distinct_ratio")
 
@@ -231,9 +248,9 @@ def _c6(spark, sf_dir):
     return profile.top_values(df, profile.frequencies(df), 5).select("ordinal", "value", "count", "place")
 
 
-@add("c10_profile_estate")
+@add("c10_profile_estate", " UNION ALL ".join(f"SELECT '{t}' AS table_name, * FROM ({profile_sql(t)})" for t in COLUMNS))
 def _c10(spark, sf_dir):
-    return profile.flat(profile.profile_estate({t: table(spark, sf_dir, t) for t in I.TABLES}))
+    return doubles(profile.flat(profile.profile_estate({t: table(spark, sf_dir, t) for t in I.TABLES})), "null_ratio", "distinct_ratio")
 
 
 @add("c11_profile_digest", digest_sql("customer", ["bigint", "string", "int", "double", "string"]))
