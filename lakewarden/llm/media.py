@@ -16,13 +16,13 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakewarden.llm import html
 from lakewarden.llm.common import chunks
 
 WIDTH = 24
@@ -33,72 +33,90 @@ _ITEM = pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.
 ITEM = "struct<position: int, kind: string, text: string, digest: string, caption: string>"
 
 
-class _Items(HTMLParser):
-    """Ordered text and media items of a page; a figure's caption belongs to the media inside it."""
+class _Items:
+    """Ordered text and media items of a page. A figure's caption goes to all media inside it when the figure ends; a caption or figure that is never closed ends with the figure or page around it."""
 
     MEDIA = ("img", "audio", "video", "source")
-    BLOCKS = frozenset("address article aside blockquote body br dd div dl dt figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table td th title tr ul".split())
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.words: list[str] = []
-        self.hidden = 0
-        self.figures: list[int] = []  # of each open figure its first item
+        self.figures: list[tuple[int, str | None]] = []  # of each open figure its first item, and its caption
         self.caption: list[str] | None = None
+        self.captioned = 0  # the number of the figure whose caption is open
+        self.captions: list[tuple[int, int, str]] = []  # of each figure that has ended its first item, its end and its caption
+
+    @staticmethod
+    def line(words: list[str]) -> str:
+        return re.sub(r"\s+", " ", "".join(words)).strip()
 
     def flush(self) -> None:
-        text = re.sub(r"\s+", " ", "".join(self.words)).strip()
-        if text:
+        if text := self.line(self.words):
             self.items.append({"position": len(self.items), "kind": "text", "text": text, "digest": None, "caption": None})
         self.words = []
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        values = dict(attrs)
-        if tag in ("script", "style"):
-            self.hidden += 1
-        elif tag in self.MEDIA and values.get("src"):
-            self.flush()
-            source = values["src"]
-            digest = source[len(SCHEME) :].lower() if source.startswith(SCHEME) else None
-            self.items.append({"position": len(self.items), "kind": "media", "text": source, "digest": digest, "caption": values.get("alt") or None})
-        elif tag == "figcaption":
-            self.flush()
-            self.caption = [] if self.figures else None
-        elif tag in self.BLOCKS:
+    def end_caption(self) -> None:
+        if self.caption is not None:
+            self.figures[self.captioned] = (self.figures[self.captioned][0], self.line(self.caption))
+            self.caption = None
+
+    def end_figure(self) -> None:
+        if self.caption is not None and self.captioned == len(self.figures) - 1:
+            self.end_caption()
+        first, caption = self.figures.pop()
+        if caption is not None:
+            self.captions.append((first, len(self.items), caption))
+
+    def hand_out(self) -> None:
+        """Captions go to the media of their figures; an outer figure ends later and its caption holds for all inside it."""
+        covered = len(self.items)
+        for first, end, caption in reversed(self.captions):
+            if end <= covered:  # else inside of one that has been handed out
+                for item in self.items[first:end]:
+                    item["caption"] = caption if item["kind"] == "media" else None
+                covered = first
+
+    def start(self, tag: str, inside: str) -> None:
+        if tag in self.MEDIA:
+            values = html.attributes(inside)
+            if source := values.get("src") or values.get("srcset", "").strip().split(",")[0].split(" ")[0]:
+                self.flush()
+                digest = source[len(SCHEME) :].lower() if source.startswith(SCHEME) else None
+                self.items.append({"position": len(self.items), "kind": "media", "text": source, "digest": digest, "caption": values.get("alt") or None})
+        elif tag in html.BLOCKS:
             self.flush()
             if tag == "figure":
-                self.figures.append(len(self.items))
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in ("script", "style"):
-            self.hidden = max(0, self.hidden - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            text = re.sub(r"\s+", " ", "".join(self.caption)).strip()
-            for item in self.items[self.figures[-1] if self.figures else len(self.items) :]:
-                if item["kind"] == "media":
-                    item["caption"] = text
-            self.caption = None
-        elif tag in self.BLOCKS:
+                self.figures.append((len(self.items), None))
+            elif tag == "figcaption" and self.figures:
+                self.end_caption()
+                self.caption, self.captioned = [], len(self.figures) - 1
+
+    def end(self, tag: str) -> None:
+        if tag == "figcaption" and self.caption is not None:
+            self.end_caption()
+        elif tag in html.BLOCKS:
             self.flush()
             if tag == "figure" and self.figures:
-                self.figures.pop()
-                self.caption = None
-
-    def handle_data(self, data: str) -> None:
-        if not self.hidden:
-            (self.words if self.caption is None else self.caption).append(data)
-
-
-def items(html: str) -> list[dict]:
-    parser = _Items()
-    parser.feed(html)
-    parser.close()
-    parser.flush()
-    return parser.items
-
-
-def parse(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
+                self.end_figure()
+
+
+def items(page: str) -> list[dict]:
+    found = _Items()
+    for kind, what, inside in html.tokens(page):
+        if kind == "start":
+            found.start(what, inside)
+        elif kind == "end":
+            found.end(what)
+        else:
+            (found.words if found.caption is None else found.caption).append(what)
+    found.flush()
+    while found.figures:
+        found.end_figure()
+    found.hand_out()
+    return found.items
+
+
+def parse(pages: DataFrame, keep: list[str], column: str = "html") -> DataFrame:
     """The columns of keep and items, the page's sequence."""
     keep = [c for c in keep if c.lower() != "items"]
 
@@ -108,7 +126,7 @@ def parse(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(own, pa.list_(_ITEM))], names=[*keep, "items"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*keep).schema)
-    return pages.select(*keep, F.col(html).cast("string").alias("__html")).mapInArrow(run, f"{kinds}, items array<{ITEM}>")
+    return pages.select(*keep, F.col(column).cast("string").alias("__html")).mapInArrow(run, f"{kinds}, items array<{ITEM}>")
 
 
 def _chunk(kind: bytes, data: bytes) -> bytes:
@@ -193,7 +211,7 @@ def documents_as_media(docs: DataFrame) -> DataFrame:
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("unnamed"))
     for sign, shown in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         name = F.replace(name, F.lit(sign), F.lit(shown))
-    html = F.concat(F.lit("<article><h1>Document</h1><figure><img src='" + SCHEME), digest, F.lit("'><figcaption>text of "), name, F.lit("</figcaption></figure></article>"))
-    sequences = parse(docs.select("doc_id", html.alias("html")), ["doc_id"])
+    page = F.concat(F.lit("<article><h1>Document</h1><figure><img src='" + SCHEME), digest, F.lit("'><figcaption>text of "), name, F.lit("</figcaption></figure></article>"))
+    sequences = parse(docs.select("doc_id", page.alias("html")), ["doc_id"])
     found = resolve(sequences, describe(store(docs)), ["doc_id"]).filter("kind = 'media'")
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")

@@ -14,8 +14,6 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-import html as html_module
-import re
 import uuid
 from collections.abc import Iterator
 
@@ -23,17 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakewarden.llm import html
 from lakewarden.llm.common import chunks
 
-#: Each pattern stops at the next tag, so that no page takes longer than its length.
-HIDDEN = re.compile(r"(?i)<(script|style|template|noscript|head)\b[^<>]*>|<(!--)|<!doctype[^<>]*>")
-CLOSES = {tag: re.compile(rf"(?i)</{tag}\s*>") for tag in ("script", "style", "template", "noscript", "head")} | {"!--": re.compile("-->")}
-BREAK = re.compile(r"(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^<>]*>")
-TAG = re.compile(r"<[/a-zA-Z!?][^<>]*>")
-TITLE, TITLE_END = re.compile(r"(?i)<title\b[^<>]*>"), re.compile(r"(?i)</title\s*>")
-LANGUAGE = re.compile(r"(?i)<html\b[^<>]*\blang\s*=\s*[\"']?([A-Za-z-]+)")
-CHARSET = re.compile(r"(?i)<meta\b[^<>]*\bcharset\s*=\s*[\"']?([\w-]+)")
-LINK = re.compile(r"(?i)<a\b[^<>]*\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+HIDDEN = ("script", "style", "template", "noscript")
 NAMES = ["record_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "content_length", "block_digest", "payload_digest", "source_headers", "block"]
 
 
@@ -46,40 +37,42 @@ def record_id(*parts: str) -> str:
 
 
 def squeezed(text: str) -> str:
-    return " ".join(html_module.unescape(text).split())
-
-
-def shown(page: str) -> str:
-    """The page without what is not shown; of an element that is never closed only the tag goes."""
-    out, at, open_ = [], 0, set()
-    while found := HIDDEN.search(page, at):
-        out.append(page[at : found.start()])
-        at, tag = found.end(), (found[1] or found[2] or "").lower()
-        if tag and tag not in open_:
-            close = CLOSES[tag].search(page, at)
-            if close:
-                at = close.end()
-            else:
-                open_.add(tag)  # nor will a later one find an end
-    return " ".join([*out, page[at:]])
+    return " ".join(text.split())
 
 
 def plain_text(page: str) -> str:
-    """One line for each block of the page's body that has text."""
-    page = TAG.sub("", BREAK.sub("\n", shown(page)))
-    lines = (" ".join(line.split()) for line in html_module.unescape(page).split("\n"))
+    """One line for each block of the page's body that has text. Of an element that is never closed only the tag goes."""
+    out: list[str] = []
+    for kind, what, _ in html.tokens(page, (*HIDDEN, "head")):
+        out.append(what if kind == "text" else "\n" if what in html.BLOCKS else " " if what in HIDDEN else "")
+    lines = (squeezed(line) for line in "".join(out).split("\n"))
     return "\n".join(line for line in lines if line)
 
 
 def metadata(page: str, headers: str) -> str:
-    """The warc-fields of a page."""
-    fields = []
-    if (title := TITLE.search(page)) and (end := TITLE_END.search(page, title.end())):
-        fields.append(("title", squeezed(page[title.end() : end.start()])))
-    fields += [(name, squeezed(m[1])) for name, pattern in (("language", LANGUAGE), ("charset", CHARSET)) if (m := pattern.search(page))]
-    fields += [("fetch-header", line) for line in headers.split("\r\n")[1:] if line]
-    fields += [("outlink", " ".join(html_module.unescape(next(x for x in (*m.groups(), "") if x is not None)).split())) for m in LINK.finditer(page)]
-    return "".join(f"{name}: {value}\r\n" for name, value in fields)
+    """The warc-fields of a page: title, language and charset, the response's headers, and the links that are shown."""
+    title: list[str] | None = None
+    fields: dict[str, str] = {}
+    links: list[str] = []
+    for kind, what, inside in html.tokens(page, HIDDEN):
+        if kind == "text":
+            if title is not None:
+                title.append(what)
+        elif kind == "end":
+            if what == "title" and title is not None:
+                fields.setdefault("title", squeezed("".join(title)))
+                title = None
+        elif what == "title":
+            title = [] if title is None else title
+        elif what == "html" and (lang := html.attributes(inside).get("lang")):
+            fields.setdefault("language", squeezed(lang))
+        elif what == "meta" and (charset := html.attributes(inside).get("charset")):
+            fields.setdefault("charset", squeezed(charset))
+        elif what == "a" and (target := html.attributes(inside).get("href")) is not None:
+            links.append(squeezed(target))
+    found = [(name, fields[name]) for name in ("title", "language", "charset") if name in fields]
+    found += [("fetch-header", line) for line in headers.split("\r\n")[1:] if line]
+    return "".join(f"{name}: {value}\r\n" for name, value in (*found, *(("outlink", x) for x in links)))
 
 
 def responses(pages: DataFrame, *, date: str = "2024-01-01T00:00:00Z") -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lakewarden.llm import common, langid, lattice, media, neardup, packing, quotes, sampling, secrets, topk, toxicity, warc
+from lakewarden.llm import common, html, langid, lattice, media, neardup, packing, quotes, sampling, secrets, topk, toxicity, warc
 from lakewarden.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, base string, key string"
@@ -454,11 +454,11 @@ def plain_page(page):
 
         def handle_starttag(self, tag, attrs):
             self.hidden += tag in ("script", "style", "template", "noscript", "head")
-            self.out += "\n" if warc.BREAK.fullmatch(f"<{tag}>") else ""
+            self.out += "\n" if tag in html.BLOCKS else ""
 
         def handle_endtag(self, tag):
             self.hidden -= tag in ("script", "style", "template", "noscript", "head")
-            self.out += "\n" if warc.BREAK.fullmatch(f"<{tag}>") else ""
+            self.out += "\n" if tag in html.BLOCKS else ""
 
         def handle_data(self, data):
             self.out += "" if self.hidden else data
