@@ -1,7 +1,8 @@
 """Toxicity by multiple-instance learning: sentence scores, combined by noisy-or, fitted from document labels.
 
 A sentence's score is logistic in the hashed character n-grams of its words; a document is toxic if at least
-one of its sentences is: 1 - product of (1 - p). The gradient of the document's log-likelihood reaches the
+one of its sentences is: 1 - product of (1 - p). What is returned is stated for even odds of both labels, so that it does not hang on how many toxic rows
+the labels happen to have, or for less toxic ones, if else too many of the clean rows that were learned from would be rejected. The gradient of the document's log-likelihood reaches the
 sentences through that product, so that no sentence needs a label. Partitions fit on their own rows and the
 weights are averaged after each round (iterative parameter mixing). A partition of few rows would learn only what it knows by
 heart, so small samples are fitted in fewer partitions; what the model is hangs on the sample, not on the table's size.
@@ -13,9 +14,11 @@ columns are ignored, and columns to keep that have the name of a result are left
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +34,15 @@ GRAMS = (4, 5, 6)
 ENDS = b".!?\n"
 SENTENCE = re.compile(r"[^.!?\n]*[^.!?\n \t\v\f\r,][^.!?\n]*")  # with a word in it
 PARTING, ENDING = flags(SPACES + b"," + ENDS), flags(ENDS)
-#: A feature needs this many training texts of its partition; rarer ones would only learn these by heart.
-LEAST_TEXTS = 5
+#: A feature is fitted if the labels of the texts that have it differ from the others' by this much (G statistic): of a million features that
+#: tell nothing about a few reach it. Without that, rare features would learn texts by heart and leave nothing to learn to the telling ones.
+TELLING = 20.0
 #: Pull of every weight towards zero, so that few features remain.
-SPARSITY = 2e-4
+SPARSITY = 5e-5
 #: Rejected from here on.
 THRESHOLD = 0.7
+#: Of the clean texts of the sample at most this share is to be rejected.
+REJECTED = 0.002
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -78,11 +84,27 @@ def split(part: Bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return begins, ends, per_sentence, per_text
 
 
+def telling(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """The G statistic of independence of each feature and the label, from how many toxic and clean texts have it."""
+    total, found = n_toxic + n_clean, np.zeros(len(toxic))
+    for seen, size in ((toxic, n_toxic), (clean, n_clean)):
+        for own, others in ((seen, toxic + clean), (size - seen, total - toxic - clean)):
+            found += np.where(own > 0, own * np.log(np.maximum(own, 1) * float(total) / np.maximum(others * float(size), 1)), 0.0)
+    return 2 * found
+
+
 def log_safe(z: np.ndarray) -> np.ndarray:
     """log(1 - p) of sentences with the given log-odds."""
     return -np.logaddexp(0, z)
 
 
+class Odds(NamedTuple):
+    """sentence: log-odds of a sentence without a telling word; even: what a document's log-odds gain, at most where toxic and clean documents are as many."""
+
+    sentence: float
+    even: float
+
+
 class WordLogits(WordCodes):
     """The part of each word in the log-odds of its sentence."""
 
@@ -100,12 +122,14 @@ class WordLogits(WordCodes):
             own[places] = np.bincount(rows, self.weights[features], len(block))
         self.logits = np.concatenate([self.logits, own])
 
-    def score(self, part: Bytes, bias: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Log-odds of all sentences, how many each text has, and the texts' noisy-or."""
+    def score(self, part: Bytes, odds: Odds) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log-odds of all sentences, how many each text has, and the texts' noisy-or at even odds of the labels."""
         begins, ends, per_sentence, per_text = split(part)
         found = self.of(part.data, begins, ends)
-        z = bias + segment_sums(self.logits[found], per_sentence)
-        return z, per_text, -np.expm1(segment_sums(log_safe(z), per_text))
+        z = odds.sentence + segment_sums(self.logits[found], per_sentence)
+        safe = segment_sums(log_safe(z), per_text)
+        with np.errstate(divide="ignore"):
+            return z, per_text, 1 / (1 + np.exp(safe - np.log(-np.expm1(safe)) - odds.even))
 
 
 class Bag:
@@ -127,13 +151,14 @@ class Bag:
         features, per_word = np.concatenate(features)[order], np.bincount(row, minlength=len(number))
         del rows, row, order, raw, part
 
-        first, at, texts_of = np.cumsum(per_word) - per_word, 0, np.zeros(1 << BITS, np.int32)
+        first, at, texts_of = np.cumsum(per_word) - per_word, 0, np.zeros((2, 1 << BITS), np.int32)
         sizes = np.add.reduceat(self.per_sentence, np.cumsum(self.per_text) - self.per_text)
-        for size in sizes:
+        for size, label in zip(sizes, labels, strict=True):
             own = np.unique(self.words[at : at + size])
-            texts_of[np.unique(features[ragged(first[own], per_word[own])])] += 1
+            texts_of[int(label == 1), np.unique(features[ragged(first[own], per_word[own])])] += 1
             at += size
-        often = texts_of >= LEAST_TEXTS
+        n_toxic = sum(y == 1 for y in labels)
+        often = telling(texts_of[1], texts_of[0], n_toxic, len(labels) - n_toxic) >= TELLING
         self.numbers = np.flatnonzero(often)  # of the features that are fitted
         place = (np.cumsum(often) - 1).astype(np.int32)
         self.features = place[features[often[features]]]
@@ -162,8 +187,8 @@ class Bag:
         return w, g2, bias, bias_square
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, rounds: int = 3, steps: int = 40, max_positive: int = 3000, max_negative: int = 9000, max_chars: int = 50_000, workers: int = 6) -> tuple[np.ndarray, float]:
-    """Weights and bias, from docs (doc_id, text) and labels (labelled_id, label of 0 or 1, an id once).
+def fit(docs: DataFrame, labels: DataFrame, *, rounds: int = 3, steps: int = 150, max_positive: int = 3000, max_negative: int = 9000, max_chars: int = 50_000, workers: int = 6) -> tuple[np.ndarray, Odds]:
+    """Weights and odds, from docs (doc_id, text) and labels (labelled_id, label of 0 or 1, an id once).
 
     The classifier is fitted on about max_positive and max_negative labelled documents, those with the smallest hash of the
     id, of texts of at most max_chars characters; rows are weighted so that the labels keep their shares. The chosen
@@ -173,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, rounds: int = 3, steps: int = 40,
     bias, bias_square = -5.0, 1e-6
     counts = {r.label: r.n for r in labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
-        return weights, -50.0
+        return weights, Odds(-50.0, 0.0)
     rates = {0: min(1.0, max_negative / counts[0]), 1: min(1.0, max_positive / counts[1])}
     rate = F.when(F.col("label") == 1, rates[1]).otherwise(rates[0])
     chosen = labels.filter(F.pmod(F.xxhash64("labelled_id"), F.lit(1 << 20)) < rate * (1 << 20))
@@ -205,34 +230,38 @@ def fit(docs: DataFrame, labels: DataFrame, *, rounds: int = 3, steps: int = 40,
             mean_g += r.n / total * own_g
         weights, squares = mean_w.astype(np.float32), mean_g.astype(np.float32)
         bias, bias_square = (sum(r.n / total * r[c] for r in found) for c in ("bias", "bias_square"))
-    return weights, bias
+    # the score that all but a few of the sample's clean texts stay below
+    clean = score(sample.filter("label = 0"), weights, Odds(bias, 0.0), ["label"]).agg(F.percentile("score", 1 - REJECTED)).first()[0]
+    room = math.log(THRESHOLD / (1 - THRESHOLD)) - math.log(clean / (1 - clean)) if clean and clean < 1 else 0.0
+    return weights, Odds(bias, min(float(np.log(counts[0] / counts[1])), room))
 
 
-def offending(text: str, p: np.ndarray) -> list[dict]:
-    """The sentences at or above THRESHOLD, and the likeliest others until those named reach it by themselves, in the order of the text."""
+def offending(text: str, p: np.ndarray, least: float) -> list[dict]:
+    """The sentences at or above THRESHOLD, and the likeliest others until the noisy-or of those named reaches `least`, in the order of the text."""
     order = np.argsort(-p, kind="stable")
     safe = np.cumprod(1 - p[order])
-    few = max(int((p >= THRESHOLD).sum()), int(np.searchsorted(-safe, -(1 - THRESHOLD), "left")) + 1)
+    few = max(int((p >= THRESHOLD).sum()), int(np.searchsorted(-safe, -(1 - least), "left")) + 1)
     where = sentences(text)
     return [{"begin": where[i][0], "end": where[i][1], "score": float(p[i])} for i in sorted(order[:few].tolist())]
 
 
-def score(docs: DataFrame, weights: np.ndarray, bias: float, keep: list[str], *, locate: bool = False) -> DataFrame:
+def score(docs: DataFrame, weights: np.ndarray, odds: Odds, keep: list[str], *, locate: bool = False) -> DataFrame:
     """The columns of keep, score and, if asked for, sentences: begin, end and score of those that make the document toxic."""
     keep = [c for c in keep if c.lower() not in ("score", "sentences")]
     text = "text" if "text" in keep else "__text"
     shared, key = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32)), uuid.uuid4().hex
+    least = 1 / (1 + (1 - THRESHOLD) / THRESHOLD * math.exp(odds.even))  # the noisy-or of a score at the threshold
     found_type = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = remember(key, lambda: WordLogits(shared.value.astype(np.float64)))
         for batch in (part for whole in batches for part in chunks(whole, text)):
             part = Bytes.of(batch.column(text))
-            z, per_text, scores = words.score(part, bias)
+            z, per_text, scores = words.score(part, odds)
             columns = [*(batch.column(c) for c in keep), pa.array(scores, pa.float64())]
             if locate:
                 p, begins = 1 / (1 + np.exp(-np.clip(z, -30, 30))), np.cumsum(per_text) - per_text
-                columns.append(pa.array([offending(part.text(i), p[at : at + n]) if score >= THRESHOLD else [] for i, (at, n, score) in enumerate(zip(begins, per_text, scores, strict=True))], found_type))
+                columns.append(pa.array([offending(part.text(i), p[at : at + n], least) if score >= THRESHOLD else [] for i, (at, n, score) in enumerate(zip(begins, per_text, scores, strict=True))], found_type))
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "score"] + ["sentences"] * locate)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
@@ -253,7 +282,7 @@ def learnable(labels: DataFrame) -> DataFrame:
 
 def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, sentences; a third of the ids is held out and never learned from."""
-    weights, bias = fit(docs, learnable(labels))
-    found = score(docs.select("doc_id", F.col("text").cast("string").alias("text")), weights, bias, ["doc_id"], locate=True)
+    weights, odds = fit(docs, learnable(labels))
+    found = score(docs.select("doc_id", F.col("text").cast("string").alias("text")), weights, odds, ["doc_id"], locate=True)
     predicted = F.when(F.col("score") >= THRESHOLD, 1).otherwise(0)
     return found.select("doc_id", held_out().alias("held_out"), "score", predicted.alias("predicted"), "sentences")

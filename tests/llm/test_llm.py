@@ -379,7 +379,8 @@ def test_windows_keep_to_the_mixture():
 
 
 def test_noisy_or_gradient():
-    bag = toxicity.Bag(["bad words here. fine ones there."] * 6 + ["fine ones there."] * 6, [1] * 6 + [0] * 6, [1.0] * 12)
+    bag = toxicity.Bag(["bad words here. fine ones there."] * 12 + ["fine ones there."] * 12, [1] * 12 + [0] * 12, [1.0] * 24)
+    assert len(bag.numbers) > 10
     w, eps = np.random.default_rng(0).normal(size=len(bag.numbers)) * 0.1, 1e-5
 
     def loss(w, b):
