@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lakewarden.operators import profile
 
 #: Queries' distinct terms up to this number are broadcast.
 POSTINGS = 1_000_000
@@ -124,8 +129,27 @@ def health(events: DataFrame, width: str = "1 hour") -> DataFrame:
     return events.groupBy(F.window("at", width)).agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("state") == "dead").alias("dead"), F.max("age_seconds").alias("oldest_seconds")).select(F.col("window.start").alias("start"), "events", "dead", "oldest_seconds")
 
 
+#: Characters that numbers, booleans, times and arrays of them are written with.
+PLAIN = r"^[-+0-9.:,\[\]{} ENaInfityruelsTZ]*\z"
+
+
+def holds_text(kind: T.DataType) -> bool:
+    """Whether values of a type may have other characters than those of PLAIN."""
+    if isinstance(kind, T.ArrayType):
+        return holds_text(kind.elementType)
+    return not isinstance(kind, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))
+
+
 def leaks(df: DataFrame, tokens: DataFrame, name: str) -> DataFrame:
-    """token, table_name, rows: in how many rows of a table each token (a short list) occurs, in any column."""
-    text = df.select(F.to_json(F.struct("*")).alias("row"))
-    hits = text.join(tokens.select("token").distinct(), F.contains(F.col("row"), F.col("token"))).groupBy("token").agg(F.count(F.lit(1)).alias("rows"))
-    return hits.select("token", F.lit(name).alias("table_name"), "rows")
+    """token, table_name, rows: in how many rows of a table each token (a short list, which meets every row) occurs, in any column.
+
+    Tokens that no number or time can hold are looked for in the other columns alone. Without tokens of a kind its part of the plan is empty, and nothing is read for it.
+    """
+    wanted = tokens.select("token").distinct()
+    plain = F.col("token").rlike(PLAIN)
+    parts = []
+    for own, fields in ((wanted.filter(~plain), [f for f in df.schema if holds_text(f.dataType)]), (wanted.filter(plain), list(df.schema))):
+        if fields:
+            row = df.select(F.concat_ws("\x1f", *(profile.rendered(f.name, f.dataType) for f in fields)).alias("row"))
+            parts.append(row.join(own, F.contains(F.col("row"), F.col("token"))).groupBy("token").agg(F.count(F.lit(1)).alias("rows")))
+    return reduce(DataFrame.unionByName, parts).select("token", F.lit(name).alias("table_name"), "rows")

@@ -33,10 +33,11 @@ def judge(decisions: DataFrame, proposals: DataFrame, states: DataFrame) -> Data
     """Each decision with its verdict: accepted, or the first reason against it.
 
     An approval stands if its proposal is pending, its asset active, its profile the latest, and no equal or newer version has been
-    approved before; a rejection stands if its proposal is pending. Decisions of one asset only meet in windows over (decided_at, id).
+    approved before; a rejection stands if its proposal is pending. Decisions of one asset only meet in windows over (decided_at, id); a proposal is of one
+    asset, so that its windows need no shuffle of their own.
     """
     rows = decisions.join(proposals.select("proposal_id", "asset_id", "version", "profile_version"), "proposal_id", "left").join(states, "asset_id", "left")
-    own = Window.partitionBy("proposal_id").orderBy("decided_at", "id").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("asset_id", "proposal_id").orderBy("decided_at", "id").rowsBetween(Window.unboundedPreceding, -1)
     policy = consistent_policy()
     reject, approve = (F.col("outcome") == "reject") & policy, (F.col("outcome") == "approve") & policy
     rows = rows.withColumn("rejected", F.coalesce(F.max(reject.cast("int")).over(own), F.lit(0)) == 1)

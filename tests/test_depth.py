@@ -299,3 +299,16 @@ def test_a_changed_snapshot_is_refused(spark, tmp_path):
         taken.check()
     with pytest.raises(FileNotFoundError):
         snapshot.Snapshot(spark, str(path))
+
+
+# Leaks
+
+
+def test_leaks_in_columns_of_any_type(spark):
+    df = spark.sql("select * from values (1, 'ab 12', array('x', 'secret'), timestamp_ntz'2024-05-06 07:08:09', 1.5D, map('k', 'v9')), (12, null, null, null, null, null), (3, 'ab', array(), null, 12.25D, null) as t(n, s, l, at, d, m)")
+    tokens = spark.createDataFrame([("12",), ("ab",), ("secret",), ("2024-05",), ("v9",), ("none",), ("12",), (None,), ("1.5",)], "token string")
+    found = {r.token: r.rows for r in quality.leaks(df, tokens, "t").collect()}
+    assert found == {"12": 3, "ab": 2, "secret": 1, "2024-05": 1, "v9": 1, "1.5": 1}
+    numbers = spark.createDataFrame([(7, 8.5)], "a int, b double")
+    assert [tuple(r) for r in quality.leaks(numbers, tokens.union(spark.createDataFrame([("8.5",)], "token string")), "u").collect()] == [("8.5", "u", 1)]
+    assert quality.leaks(df.limit(0), tokens, "t").collect() == []
