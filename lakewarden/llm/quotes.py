@@ -13,64 +13,90 @@ each; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakewarden.llm.common import stage_table
+from lakewarden.llm.common import chunks, stage_table
+
+MARKS = re.compile(r" ?((?:> ?)*)")
+GAP, SPACE = re.compile(r"\n[ \t]*\n"), re.compile(r"[ \t\n\x0b\f\r]+")
+Part = tuple[int, int, bytes]
+HASH = pa.struct([("rank", pa.int32()), ("at", pa.int32()), ("hash", pa.binary())])
+PASSAGE = pa.struct([("place", pa.int32()), ("level", pa.int32()), ("hashes", pa.list_(HASH))])
+
 
-MARKS = r"^[ ]?((?:>[ ]?)*)(.*)$"
+class Digests:
+    """The first 16 bytes of the SHA-256 of normalised texts, none for one that is empty then. Those of lines are kept, as they come again in quotes."""
 
+    def __init__(self) -> None:
+        self.lines: dict[str, bytes | None] = {}
 
-def normalised(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    @staticmethod
+    def of(text: str) -> bytes | None:
+        plain = SPACE.sub(" ", text.lower()).strip(" ")
+        return hashlib.sha256(plain.encode("utf-8", "surrogatepass")).digest()[:16] if plain else None
 
+    def line(self, text: str) -> bytes | None:
+        if text not in self.lines:
+            self.lines[text] = self.of(text)
+        return self.lines[text]
 
-def digest(text: Column) -> Column:
-    """The first 16 bytes of the SHA-256 of a normalised text."""
-    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
+    def parts(self, text: str) -> list[Part]:
+        """(rank, place, hash) of a text: the whole (rank 0), and if it has several its paragraphs (rank 1) and lines (rank 2)."""
+        lines = text.split("\n")
+        if len(lines) == 1:
+            found = [(0, 0, self.line(text))]
+        else:
+            paragraphs = GAP.split(text)
+            found = [(0, 0, self.of(text)), *((1, i, self.of(t)) for i, t in enumerate(paragraphs) if len(paragraphs) > 1), *((2, i, self.line(t)) for i, t in enumerate(lines))]
+        return [(rank, at, own) for rank, at, own in found if own is not None]
 
 
-def parts(text: Column) -> Column:
-    """Paragraphs (rank 1) and lines (rank 2) of a text that has more than one, with their place, as an array of (rank, at, hash)."""
-    cut = lambda pattern, rank: F.transform(F.filter(F.split(text, pattern), lambda t: text.rlike(pattern)), lambda t, i: F.struct(F.lit(rank).alias("rank"), i.alias("at"), normalised(t).alias("text")))
-    kept = F.filter(F.concat(cut(r"\n[ \t]*\n", 1), cut(r"\n", 2)), lambda p: p["text"] != "")
-    return F.transform(kept, lambda p: F.struct(p["rank"].alias("rank"), p["at"].alias("at"), digest(p["text"]).alias("hash")))
+def runs(text: str) -> list[tuple[int, str]]:
+    """(level, text) of each longest run of lines of one level, without their marks."""
+    out: list[tuple[int, list[str]]] = []
+    for line in text.split("\n"):
+        marks = MARKS.match(line) if line[:1] in (">", " ") else None
+        level = marks[1].count(">") if marks else 0
+        if not out or out[-1][0] != level:
+            out.append((level, []))
+        out[-1][1].append(line[marks.end() :] if marks and level else line)
+    return [(level, "\n".join(lines)) for level, lines in out]
 
 
-def hashes(text: Column) -> Column:
-    """The same with the whole text (rank 0) before them."""
-    whole = F.struct(F.lit(0).alias("rank"), F.lit(0).alias("at"), digest(normalised(text)).alias("hash"))
-    return F.concat(F.when(normalised(text) != "", F.array(whole)).otherwise(F.array().cast("array<struct<rank: int, at: int, hash: binary>>")), parts(text))
+def parsed_message(text: str, digests: Digests) -> tuple[str, list[bytes], list[tuple[int, int, list[Part]]]]:
+    """A message's text without quotes, the hashes that others may quote, and its quoted passages (place, level, hashes)."""
+    found = runs(text)
+    own = "\n".join(t for level, t in found if not level).strip("\n")
+    units = dict.fromkeys(h for t in (*(t for level, t in found if not level), own) for _, _, h in digests.parts(t))
+    quoted = ((level, t) for level, t in found if level)
+    passages = [(place, level, parts) for place, (level, t) in enumerate(quoted) if (parts := digests.parts(t))]
+    return own, list(units), passages
 
 
 def parse(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, own (text without quotes), units: array of hashes that others may quote, and passages: array of (place, level, hashes) of quoted runs of lines."""
-    lines = F.transform(
-        F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n"),
-        lambda line: F.struct(
-            F.length(F.regexp_replace(F.regexp_extract(line, MARKS, 1), " ", "")).alias("level"),
-            F.when(F.regexp_extract(line, MARKS, 1) == "", line).otherwise(F.regexp_extract(line, MARKS, 2)).alias("text"),
-        ),
-    )
-    runs = F.aggregate(
-        lines,
-        F.array().cast("array<struct<level: int, text: string>>"),
-        lambda done, line: F.when(
-            (F.size(done) > 0) & (F.element_at(done, -1)["level"] == line["level"]),
-            F.concat(
-                F.slice(done, 1, F.size(done) - 1),
-                F.array(F.struct(line["level"].alias("level"), F.concat_ws("\n", F.element_at(done, -1)["text"], line["text"]).alias("text"))),
-            ),
-        ).otherwise(F.concat(done, F.array(line))),
-    )
-    own = F.array_join(F.transform(F.filter("runs", lambda r: r["level"] == 0), lambda r: r["text"]), "\n")
-    numbered = F.transform(F.filter("runs", lambda r: r["level"] > 0), lambda r, i: F.struct(i.alias("place"), r["level"].alias("level"), r["text"].alias("text")))
-    passages = F.transform(F.filter(numbered, lambda p: normalised(p["text"]) != ""), lambda p: F.struct(p["place"].alias("place"), p["level"].alias("level"), hashes(p["text"]).alias("hashes")))
-    rows = messages.select("conv_id", "turn", F.col("role").cast("string").alias("role"), runs.alias("runs"))
-    rows = rows.withColumn("own", F.regexp_replace(own, r"^\n+|\n+$", ""))
-    each = F.flatten(F.transform(F.filter("runs", lambda r: r["level"] == 0), lambda r: F.transform(hashes(r["text"]), lambda h: h["hash"])))
-    units = F.array_distinct(F.concat(each, F.transform(hashes(F.col("own")), lambda h: h["hash"])))
-    return rows.select("conv_id", "turn", "role", "own", units.alias("units"), passages.alias("passages"))
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        digests = Digests()
+        rows = [parsed_message(t or "", digests) for t in batch.column("text").to_pylist()]
+        passages = [[{"place": p, "level": v, "hashes": [{"rank": r, "at": a, "hash": h} for r, a, h in parts]} for p, v, parts in row[2]] for row in rows]
+        columns = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.binary())), pa.array(passages, pa.list_(PASSAGE))]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("conv_id", "turn", "role")), *columns], names=["conv_id", "turn", "role", "own", "units", "passages"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch):
+                yield step(part)
+
+    given = messages.select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    keys = ", ".join(f"{c} {given.schema[c].dataType.simpleString()}" for c in ("conv_id", "turn"))
+    return given.mapInArrow(run, f"{keys}, role string, own string, units array<binary>, passages array<struct<place: int, level: int, hashes: array<struct<rank: int, at: int, hash: binary>>>>")
 
 
 #: Rows of one hash that is quoted everywhere are dealt into so many parts.
