@@ -9,7 +9,7 @@ from lakewarden.operators import compat, dense, drift, profile, quality, review
 from lakewarden.plans import inputs as I
 from lakewarden.plans.estate import COLUMNS, Query, doubles, profile_sql, table, with_inputs
 from lakewarden.plans.estate_more import SQL_MORE
-from lakewarden.sources import snapshot
+from lakewarden.sources import catalog, snapshot
 from lakewarden.streaming import folds, streams
 
 QUERIES_DEPTH: dict[str, Query] = {}
@@ -213,3 +213,27 @@ def _g10(spark, sf_dir):
     settled = review.settle_keys(decisions.unionByName(again), I.derive(spark, sf_dir, I.PROPOSALS), I.derive(spark, sf_dir, I.STATES))
     return review.answered(*settled)
 
+
+
+# Sinks
+
+
+@add("a7_appended_versions", with_inputs("SELECT asset_id, version, digest FROM v", v=I.VERSIONS))
+def _a7(spark, sf_dir):
+    """First versions first, later ones appended to them."""
+    path, versions = streams.folder(spark, "versions"), I.derive(spark, sf_dir, I.VERSIONS).withColumn("shard", F.crc32("asset_id") % 8)
+    for part in ("version = 1", "version > 1"):
+        catalog.append_version(versions.filter(part), path, "shard")
+    return spark.read.parquet(path).select("asset_id", "version", "digest")
+
+
+_ARTIFACT = "SELECT user_id % 3 AS run, event_id, {} AS event_type FROM events"
+
+
+@add("a10_replaced_artifacts", f"SELECT * FROM ({_ARTIFACT.format('event_type')}) WHERE run <> 2 UNION ALL SELECT * FROM ({_ARTIFACT.format('upper(event_type)')}) WHERE run = 2")
+def _a10(spark, sf_dir):
+    """Three runs, of which one is written again."""
+    path = streams.folder(spark, "artifacts")
+    catalog.write_artifact(I.derive(spark, sf_dir, _ARTIFACT.format("event_type")), path)
+    catalog.write_artifact(I.derive(spark, sf_dir, _ARTIFACT.format("upper(event_type)")).filter("run = 2"), path)
+    return spark.read.schema("run bigint, event_id bigint, event_type string").json(path)

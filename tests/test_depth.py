@@ -12,7 +12,8 @@ from test_whole import DECISION
 
 from lakewarden.operators import compat, dense, drift, ledger, order, profile, quality, review
 from lakewarden.plans import estate_depth
-from lakewarden.sources import snapshot
+from lakewarden.sources import catalog as sources
+from lakewarden.sources import inspector, snapshot
 from lakewarden.streaming import folds, streams
 
 # The queries against their SQL
@@ -312,3 +313,47 @@ def test_leaks_in_columns_of_any_type(spark):
     numbers = spark.createDataFrame([(7, 8.5)], "a int, b double")
     assert [tuple(r) for r in quality.leaks(numbers, tokens.union(spark.createDataFrame([("8.5",)], "token string")), "u").collect()] == [("8.5", "u", 1)]
     assert quality.leaks(df.limit(0), tokens, "t").collect() == []
+
+
+# Inspectors
+
+
+def test_schemas_are_inspected_on_executors(spark, tmp_path):
+    spark.sql("select 1 as a, 'x' as b, array(1.5D) as c, timestamp_ntz'2024-01-01 00:00:00' as d, cast(1 as decimal(9,2)) as e, named_struct('k', 1L) as s, map('a', true) as m").write.parquet(str(tmp_path / "sales" / "orders"))
+    spark.range(3).coalesce(1).write.parquet(str(tmp_path / "plain"))
+    (tmp_path / "staging").mkdir()
+    next((tmp_path / "plain").glob("*.parquet")).rename(tmp_path / "staging" / "ids.parquet")
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    found = inspector.inspect(spark, path=str(tmp_path))
+    wanted = sources.scan({("sales", "orders"): spark.read.parquet(str(tmp_path / "sales" / "orders")), ("staging", "ids"): spark.read.parquet(str(tmp_path / "staging" / "ids.parquet"))})
+    key = lambda r: tuple(r)[:6]  # noqa: E731  nullability is the file's own here
+    assert sorted(map(key, found.collect())) == sorted(map(key, wanted.collect()))
+    assert found.rdd.getNumPartitions() == len([s for s in tmp_path.iterdir()])
+    one = found.filter("schema_name = 'staging'")
+    assert one.rdd.getNumPartitions() == 1 and [r.column_name for r in one.collect()] == ["id"]
+    assert found.filter("schema_name in ('sales', 'none') and ordinal > 6").count() == 1
+    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    assert inspector.inspect(spark, path=str(tmp_path)).filter("schema_name = 'staging'").count() == 1
+
+
+def test_inspectors_are_pluggable(spark):
+    class Fixed(inspector.SchemaInspector):
+        """Another inspector: a list of tables."""
+
+        @classmethod
+        def name(cls):
+            return "fixed_schemas"
+
+        def inspector(self):
+            class Listed:
+                def schemas(self):
+                    return ["a", "b"]
+
+                def tables(self, schema):
+                    yield f"t_{schema}", "view", [("x", "int", 1, True)]
+                    yield "empty", "table", []
+
+            return Listed()
+
+    found = sorted(map(tuple, inspector.inspect(spark, Fixed).collect()), key=str)
+    assert found == [("a", "empty", "table", None, None, None, None), ("a", "t_a", "view", "x", "int", 1, True), ("b", "empty", "table", None, None, None, None), ("b", "t_b", "view", "x", "int", 1, True)]
