@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.llm.common import MIX, SPACES, Bytes, WordCodes, blocks, char_matrix, chunks, flags, keys_of_spans, mixed, remember, stage_table
+from lakewarden.llm.common import SPACES, Bytes, WordCodes, blocks, char_matrix, chunks, flags, keys_of_spans, remember, stage_table
 
 # The base patterns, in the order of their kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -60,6 +60,20 @@ ALPHABETS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "
 HARMLESS = ("https://{}.com/{}/{}.html?id=20417", "/usr/{}/{}/{}.py", "2023-11-05T10:{}:{}", "{}_{}_{}_id", "{}{}.{}@mail4.example.com", "{}-{}-{}-2021", "3f2b8c1a-5d4e-4f6a-9b7c-{}{}{}")
 
 
+#: All letters of a word count in its hash: a polynomial modulo a prime, whose powers come round.
+PRIME = 1_000_003
+
+
+def powers_of(base: int) -> np.ndarray:
+    out = np.ones(1, np.int64)
+    while len(out) < PRIME - 1:
+        out = np.concatenate([out, out * pow(base, len(out), PRIME) % PRIME])
+    return out[: PRIME - 1]
+
+
+POWERS = powers_of(31)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, place of the kind in KINDS, end), sorted."""
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= LEAST["assign"]]
@@ -109,9 +123,9 @@ def respects(words: list[str]) -> np.ndarray:
         own = np.sort(np.where(digit | letter, code, -1), axis=1)
         variety = np.minimum(5, ((np.diff(own, axis=1) > 0).sum(axis=1) + 1) // 4)
         shape = length | (digits > 0) << 3 | (4 * digits > size) << 4 | (case == 4) << 5 | (changes > 3) << 6 | (marks & 1) << 7 | (marks >> 1 & 1) << 8 | (case == 2) << 9
-        small, rank = np.where(upper, code + 32, code).astype(np.uint64), letter.cumsum(axis=1).astype(np.uint64)
-        hashed = np.where(letter, mixed(small * MIX + rank), np.uint64(0)).sum(axis=1)  # each letter and its place among the letters
-        out[places] = np.stack([shape, (hashed % np.uint64(RESPECTS[LETTERS])).astype(np.int64), length, share, case, np.minimum(5, (changes + 2) // 3), marks, variety], axis=1)
+        following = letter[:, ::-1].cumsum(axis=1)[:, ::-1] - letter  # letters after each
+        hashed = np.where(letter, np.where(upper, code + 32, code) * POWERS[following % (PRIME - 1)] % PRIME, 0).sum(axis=1) % PRIME
+        out[places] = np.stack([shape, hashed % RESPECTS[LETTERS], length, share, case, np.minimum(5, (changes + 2) // 3), marks, variety], axis=1)
     return out
 
 

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_llm import DOCS, ODD, check_pieces
 
-from lakewarden.llm import common, hosts, merkle, neardup, packing, periods, queries, sampling
+from lakewarden.llm import common, hosts, merkle, neardup, packing, periods, queries, sampling, secrets
 from lakewarden.llm.queries import tokenizer_path
 
 
@@ -69,6 +69,18 @@ def test_operators_tell_long_words_apart(spark):
     assert all(r.lossless for r in sampling.round_trip(docs, tokenizer_path("piece_bpe_32k.model"), seed=1).collect())
 
 
+def test_all_letters_of_a_word_count():
+    """Also those after the 24th, in the field's hash of letters, whatever stands between them."""
+    words = ["A" * 30 + "b", "a" * 30 + "c", "aaa-" * 10 + "b", "12", "xyZ" * 50_000, "Ab1c"]
+    found = secrets.respects(words)[:, secrets.LETTERS].tolist()
+    for word, own in zip(words, found, strict=True):
+        h = 0
+        for c in (c.lower() for c in word if c.isalpha()):
+            h = (h * 31 + ord(c)) % 1_000_003
+        assert own == h % (1 << 12)
+    assert found[0] != found[1]
+
+
 # 11 hosts
 
 
