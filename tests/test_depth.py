@@ -19,7 +19,7 @@ from lakewarden.streaming import folds, streams
 # The queries against their SQL
 
 
-@pytest.mark.parametrize("name", sorted(estate_depth.SQL_DEPTH))
+@pytest.mark.parametrize("name", sorted(n for n in estate_depth.SQL_DEPTH if not n.startswith(("k1", "k4", "l10", "a6"))))  # those are tested below, and slow
 def test_query_equals_its_sql(spark, data, name):
     test_estate.test_query_equals_its_sql(spark, data, name)
 
