@@ -42,28 +42,31 @@ def numbered(rows: DataFrame, group: str, *order: str) -> DataFrame:
     return placed.join(stage_table(offsets, "offsets"), [group, "part"]).withColumn("index", F.col("place") + F.col("shift")).drop("part", "place", "shift")
 
 
-def sibling(arity: int, k: int) -> Column:
-    """The slot of the k-th sibling after a node, around its run."""
-    return F.col("slot").bitwiseXOR(F.lit(1)) if arity == 2 else F.pmod(F.col("slot") + k, F.lit(arity))
+def sibling_slots(arity: int) -> Column:
+    """The slots of a node's siblings, around its run: in a binary tree its own XOR 1, else its own and an offset."""
+    if arity == 2:
+        return F.array(F.col("slot").bitwiseXOR(F.lit(1)))
+    return F.transform(F.sequence(F.lit(1), F.lit(arity - 1)), lambda k: F.pmod(F.col("slot") + k, F.lit(arity)))
 
 
 def with_siblings(nodes: DataFrame, arity: int, only_first: bool = False) -> DataFrame:
     """nodes (tree, index, n, hash, ...) with run, slot, before and after: the hashes of the siblings on either side, joined. only_first: those of slot zero.
 
-    Nodes are dealt by run once and every join finds them there: the slots' equality is a condition beside the keys (tree, run), as one more key would
-    deal both sides anew for each sibling. A run has no more rows than the arity.
+    Nodes are dealt by run once. The join finds them there, and so does the aggregate behind it: the slots' equality is a condition beside the keys (tree, run), as one more
+    key would deal both sides anew. A run has no more rows than the arity.
     """
     index = F.col("index")
     dealt = nodes.withColumns({"run": F.floor(index / arity).cast("bigint"), "slot": (index % arity).cast("int")}).repartition("tree", "run")
     rows = dealt.filter("slot = 0") if only_first else dealt
-    for k in range(1, arity):
-        other = dealt.select(F.col("tree").alias("_tree"), F.col("run").alias("_run"), F.col("slot").alias("_slot"), F.col("hash").alias(f"_{k}"))
-        same = (F.col("tree") == F.col("_tree")) & (F.col("run") == F.col("_run")) & (sibling(arity, k) - F.col("_slot") == 0)
-        rows = rows.join(other, same, "left").drop("_tree", "_run", "_slot")
-    around = F.array(*(F.col(f"_{k}") for k in range(1, arity)))
-    after = F.array_join(F.slice(around, 1, F.lit(arity - 1) - F.col("slot")), "")
-    before = F.array_join(F.slice(around, F.lit(arity) - F.col("slot"), F.col("slot")), "")
-    return rows.withColumns({"before": before, "after": after}).drop(*(f"_{k}" for k in range(1, arity)))
+    asked = rows.withColumn("wanted", F.explode(sibling_slots(arity)))
+    other = dealt.select(F.col("tree").alias("_tree"), F.col("run").alias("_run"), F.col("slot").alias("_slot"), F.col("hash").alias("_hash"))
+    met = asked.join(other, (F.col("tree") == F.col("_tree")) & (F.col("run") == F.col("_run")) & (F.col("wanted") - F.col("_slot") == 0), "left")
+    kept = [c for c in nodes.columns if c not in ("tree", "index")]
+    found = F.when(F.col("_slot").isNotNull(), F.struct("_slot", "_hash"))
+    whole = met.groupBy("tree", "run", "index", "slot").agg(F.first(F.struct(*kept)).alias("own"), F.array_sort(F.collect_list(found)).alias("near"))  # fewer than the arity
+    side = lambda test: F.array_join(F.transform(F.filter("near", test), lambda s: s["_hash"]), "")
+    around = {"before": side(lambda s: s["_slot"] < F.col("slot")), "after": side(lambda s: s["_slot"] > F.col("slot"))}
+    return whole.withColumns(around).select("tree", "index", "own.*", "run", "slot", "before", "after")
 
 
 def grow(leaves: DataFrame, arity: int) -> tuple[list[DataFrame], DataFrame]:
