@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -125,20 +126,23 @@ def links(parsed: DataFrame) -> DataFrame:
 
 
 def threads(nodes: DataFrame, parents: DataFrame) -> DataFrame:
-    """node, root, depth, by pointer jumping over (node, parent). Replies can go in a circle only across conversations; what does, or leads into a circle, has depth 0 and the smallest node on its way as root."""
+    """node, root, depth, by pointer jumping over (node, parent). Replies can go in a circle only across conversations; what does, or leads into a circle, has depth 0 and the smallest node on its way as root.
+
+    A node whose root is known is done; each round moves only the others on, past where those they point to have come.
+    """
+    columns = ["node", "root", "depth", "least"]
     state = nodes.join(parents, "node", "left").select("node", F.coalesce("parent", "node").alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.least("node", F.coalesce("parent", "node")).alias("least"))
     state = stage_table(state, "threads")
+    done, open_ = [state.filter("root = node")], state.filter("root <> node")  # no message replies to itself
     rounds, enough = 0, state.count().bit_length()
-    while True:
-        far = state.select(F.col("node").alias("root"), F.col("root").alias("beyond"), F.col("depth").alias("more"), F.col("least").alias("least_beyond"))
-        jumped = state.join(far, "root").select("node", F.col("beyond").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), F.least("least", "least_beyond").alias("least"), (F.col("beyond") != F.col("root")).alias("moved"))
-        jumped = stage_table(jumped, "threads")
-        state, rounds = jumped.drop("moved"), rounds + 1
-        if rounds >= enough or jumped.filter("moved").isEmpty():  # or longer than any chain
-            break
-    onward = parents.select(F.col("node").alias("root"), F.lit(True).alias("circle"))  # a root has no parent
-    found = state.join(onward, "root", "left")
-    return found.select("node", F.when(F.col("circle"), F.col("least")).otherwise(F.col("root")).alias("root"), F.when(F.col("circle"), 0).otherwise(F.col("depth")).cast("long").alias("depth"))
+    while rounds < enough and not open_.isEmpty():  # no chain takes more rounds; what is open then is a circle or leads into one
+        known = reduce(DataFrame.unionByName, (df.withColumn("final", F.lit(True)) for df in done), open_.withColumn("final", F.lit(False)))
+        far = known.select("final", F.col("node").alias("root"), F.col("root").alias("beyond"), F.col("depth").alias("more"), F.col("least").alias("least_beyond"))
+        jumped = open_.join(far, "root").select("node", F.col("beyond").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), F.least("least", "least_beyond").alias("least"), "final")
+        jumped, rounds = stage_table(jumped, "threads"), rounds + 1
+        done, open_ = [*done, jumped.filter("final").select(*columns)], jumped.filter("not final").select(*columns)
+    found = reduce(DataFrame.unionByName, done).select("node", "root", "depth")
+    return found.unionByName(open_.select("node", F.col("least").alias("root"), F.lit(0).cast("long").alias("depth")))
 
 
 def conversations(messages: DataFrame) -> DataFrame:
