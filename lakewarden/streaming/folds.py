@@ -12,7 +12,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -36,78 +36,92 @@ def rocks(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(STORE, before) if before else spark.conf.unset(STORE)
 
 
+#: Shards that keyed states are kept in: a call of a state takes about a millisecond, whether it holds one key or thousands.
+SHARDS = 128
+
+
+def shard(key: str, shards: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard")
+
+
 class TaskFold(StatefulProcessor):
-    """A task's last state, and a timer: its lease while it is claimed or running, and the end of its memory once it has ended."""
+    """The last states of a shard's tasks, as one value, and a timer for what is next: the end of a lease, or of the memory of an ended task."""
 
     def __init__(self, lease_ms: int, max_attempts: int, keep_ms: int) -> None:
         self.lease_ms, self.max_attempts, self.keep_ms = lease_ms, max_attempts, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("held", "state string, attempts long, at long, seq long")
+        self.held = handle.getValueState("held", "task_id array<long>, state array<string>, attempts array<long>, ms array<long>, seq array<long>")
+
+    def _held(self) -> pd.DataFrame:
+        parts = self.held.get() if self.held.exists() else ([], [], [], [], [])
+        return pd.DataFrame({c: pd.Series(list(x), dtype="object" if c == "state" else "int64") for c, x in zip(("task_id", "state", "attempts", "ms", "seq"), parts, strict=True)})
 
-    def _timer(self, at: int | None) -> None:
+    def _hold(self, held: pd.DataFrame) -> None:
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old)
-        if at is not None:
-            self.handle.registerTimer(at)
+        if held.empty:
+            self.held.clear()
+            return
+        self.held.update(tuple(held[c].tolist() for c in ("task_id", "state", "attempts", "ms", "seq")))
+        due = self._due(held).min()
+        if pd.notna(due):
+            self.handle.registerTimer(int(due))
 
-    def _hold(self, state: str, attempts: int, at: int, seq: int) -> None:
-        self.held.update((state, attempts, at, seq))
-        self._timer(at + self.keep_ms + 1 if state in ENDED else at + self.lease_ms + 1 if state in LEASED else None)
+    def _due(self, held: pd.DataFrame) -> pd.Series:
+        waits = pd.Series(np.nan, held.index, dtype="float64").mask(held["state"].isin(ENDED), self.keep_ms + 1).mask(held["state"].isin(LEASED), self.lease_ms + 1)
+        return held["ms"] + waits
 
-    def _lapsed(self, attempts: int, at: int) -> tuple[str, int, int]:
-        return "dead" if attempts >= self.max_attempts else "pending", attempts, at + self.lease_ms
+    def _lapsed(self, held: pd.DataFrame) -> pd.DataFrame:
+        """The states that follow when the leases of these are over."""
+        return held.assign(state=np.where(held["attempts"] >= self.max_attempts, "dead", "pending"), ms=held["ms"] + self.lease_ms, seq=-1)
 
-    def _rows(self, key: Any, rows: list[tuple[str, int, int]]) -> pd.DataFrame:
-        return pd.DataFrame({
-            "task_id": pd.Series([key[0]] * len(rows), dtype="int64"), "state": [r[0] for r in rows], "attempts": pd.Series([r[1] for r in rows], dtype="int64"),
-            "at": pd.to_datetime(pd.Series([r[2] for r in rows], dtype="int64"), unit="ms"),
-        })
+    @staticmethod
+    def _rows(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"task_id": rows["task_id"], "state": rows["state"], "attempts": rows["attempts"], "at": pd.to_datetime(rows["ms"], unit="ms")}).reset_index(drop=True)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        # a task's rows of one batch are few: those since the last trigger
+        # a shard's rows of one batch are those since the last trigger
         given = pd.concat(list(rows)).sort_values(["at", "seq"], kind="stable")
-        held = self.held.get() if self.held.exists() else None
-        out: list[tuple[str, int, int]] = []
-        for state, attempts, at, seq in zip(given["state"], given["attempts"], given["at"], given["seq"], strict=True):
-            ms = int(pd.Timestamp(at).value // 1_000_000)
-            if held is not None and held[0] in LEASED and ms > held[2] + self.lease_ms:  # its lease was over before this row
-                held = (*self._lapsed(held[1], held[2]), -1)
-                out.append(held[:3])
-            if held is not None and (held[0] in ENDED or (held[2], held[3]) >= (ms, int(seq))):
-                continue  # what has ended stays ended; what is older than what is known changes nothing
-            held = (state, int(attempts), ms, int(seq))
-            out.append(held[:3])
-        if held is not None:
-            self._hold(*held)
-        if out:
-            yield self._rows(key, out)
+        given = pd.DataFrame({"task_id": given["task_id"].astype("int64"), "state": given["state"], "attempts": given["attempts"].astype("int64"), "ms": given["at"].astype("datetime64[us]").astype("int64") // 1000, "seq": given["seq"].astype("int64"), "new": True})
+        every = pd.concat([self._held().assign(new=False), given], ignore_index=True).sort_values("task_id", kind="stable", ignore_index=True)
+        # What is not after all that its task had before, by (ms, seq), changes nothing: times ascend but for the held one's.
+        top = every.groupby("task_id")["ms"].cummax()
+        newest = every["seq"].where(every["ms"] == top).groupby([every["task_id"], top]).cummax().groupby([every["task_id"], top]).shift()
+        every = every[~every["new"] | ((every["ms"] == top) & ~(newest >= every["seq"]))].reset_index(drop=True)
+        # A lease that was over before its task's next row lapses between the two.
+        over = (every["task_id"] == every["task_id"].shift(-1)) & every["state"].isin(LEASED) & (every["ms"].shift(-1) > every["ms"] + self.lease_ms)
+        every = pd.concat([every, self._lapsed(every[over]).assign(new=True)]).sort_index(kind="stable").reset_index(drop=True)
+        # What has ended stays ended.
+        ends = every["state"].isin(ENDED).astype("int64")
+        every = every[ends.groupby(every["task_id"]).cumsum() - ends == 0]
+        self._hold(every.groupby("task_id").tail(1))
+        if every["new"].any():
+            yield self._rows(every[every["new"]])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        if not self.held.exists():
-            return
-        state, attempts, at, _ = self.held.get()
-        if state in LEASED:
-            lapsed = self._lapsed(attempts, at)
-            self._hold(*lapsed, -1)
-            yield self._rows(key, [lapsed])
-        elif state in ENDED:
-            self.held.clear()
+        held = self._held()
+        due = self._due(held) <= expiredTimerInfo.getExpiryTimeInMs()
+        lapsed = self._lapsed(held[due & held["state"].isin(LEASED)])
+        self._hold(pd.concat([held[~due], lapsed]))
+        if not lapsed.empty:
+            yield self._rows(lapsed)
 
     def close(self) -> None:
         pass
 
 
-def fold_tasks(events: DataFrame, lease_ms: int, max_attempts: int = 3, delay: str = "0 seconds", keep_ms: int = 0) -> DataFrame:
+def fold_tasks(events: DataFrame, lease_ms: int, max_attempts: int = 3, delay: str = "0 seconds", keep_ms: int = 0, shards: int = SHARDS) -> DataFrame:
     """Each state that a task takes, and when; a claimed or running task whose lease ends in event time becomes pending, or dead without attempts left.
 
     events: task_id, state, attempts, at, and optionally seq, which orders rows of one time. A lease that ends before the task's next row is over whether its timer has run by then or not, so
     that batches do not matter. An ended task stays ended: it is remembered until the watermark is keep_ms past its end; rows of before its end are late by
-    then. State: one row of a few bytes for each task that is open or remembered.
+    then. State: one row of a few bytes for each task that is open or remembered, in shards by the task's hash: a batch reads and writes those it meets, and sorts
+    their rows. A checkpoint goes with its number of shards.
     """
     rows = events if "seq" in events.columns else events.withColumn("seq", F.lit(0).cast("bigint"))
-    keyed = rows.select("task_id", "state", "attempts", "at", "seq").withWatermark("at", delay).groupBy("task_id")
+    keyed = rows.select(shard("task_id", shards), "task_id", "state", "attempts", "at", "seq").withWatermark("at", delay).groupBy("shard")
     return keyed.transformWithStateInPandas(TaskFold(lease_ms, max_attempts, keep_ms), TASK, "Update", "EventTime")
 
 

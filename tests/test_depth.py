@@ -46,6 +46,16 @@ def test_an_ended_task_stays_ended(spark):
     assert found == [(1, 990, "running", 1), (1, 1000, "done", 1), (2, 1000, "pending", 0), (2, 1010, "running", 1)]
 
 
+@pytest.mark.parametrize("shards", [1, 3])
+def test_tasks_share_a_shard(spark, shards):
+    rng = random.Random(shards)
+    kinds = ("claimed", "running", "running", "pending", "done", "failed")
+    rows = [(rng.randrange(12), rng.choice(kinds), rng.randrange(5), 1000 + 7 * i, i) for i in range(150)]
+    last = (99, "pending", 0, 4000, 999)
+    found = folded(spark, [rows[:60], [*rows[60:], rows[100]], [last]], lease_ms=90_000, keep_ms=10**9, shards=shards)
+    assert found == sorted([*plain_fold(rows, 90, 4000), (99, 4000, "pending", 0)])
+
+
 def plain_fold(rows, lease, watermark):
     out = []
     for task in sorted({r[0] for r in rows}):
