@@ -130,40 +130,54 @@ CHARGED = "run_id long, seq long, " + ", ".join(f"{d}_used long, {d}_applied lon
 
 
 class UsageClamp(StatefulProcessor):
-    """What a run has used so far, in whole units; costs are in millionths."""
+    """What a shard's runs have used so far, in whole units; costs are in millionths."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.used = handle.getValueState("used", ", ".join(f"{d} long" for d in (*CAPPED, "wall_clock")))
+        self.used = handle.getValueState("used", ", ".join(f"{c} array<long>" for c in ("run_id", *CAPPED, "wall_clock")))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        given = pd.concat(list(rows)).sort_values(["seq", "task_id"], kind="stable")
-        used = self.used.get() if self.used.exists() else (0, 0, 0, 0)
-        out: dict[str, Any] = {"run_id": np.full(len(given), key[0], np.int64), "seq": given["seq"].to_numpy(np.int64)}
-        last = []
-        for d, before in zip(CAPPED, used, strict=False):
+        given = pd.concat(list(rows)).sort_values(["run_id", "seq", "task_id"], kind="stable")
+        parts = self.used.get() if self.used.exists() else ([],) * 5
+        used = pd.DataFrame({c: np.array(x, np.int64) for c, x in zip(("run_id", *CAPPED, "wall_clock"), parts, strict=True)}).set_index("run_id")
+        runs, first, sizes = np.unique(given["run_id"].to_numpy(np.int64), return_index=True, return_counts=True)
+        last, before = first + sizes - 1, used.reindex(runs, fill_value=0)
+
+        def summed(column: str) -> np.ndarray:
+            """What each run had before, and its charges up to each."""
+            charge = given[column].to_numpy(np.int64)
+            total = np.cumsum(charge)
+            return total + np.repeat(before[column].to_numpy(np.int64) - (total - charge)[first], sizes)
+
+        out: dict[str, Any] = {"run_id": np.repeat(runs, sizes), "seq": given["seq"].to_numpy(np.int64)}
+        ends = {}
+        for d in CAPPED:
             charge = given[d].to_numpy(np.int64)
             # charges are not negative, so that min(used + x, cap), charge by charge, is the least of the running sum and the cap
-            after = np.minimum(before + np.cumsum(charge), given[f"{d}_cap"].to_numpy(np.int64))
-            applied = np.diff(after, prepend=min(before, int(after[0])))
+            after = np.minimum(summed(d), given[f"{d}_cap"].to_numpy(np.int64))
+            applied = np.diff(after, prepend=0)
+            applied[first] = after[first] - np.minimum(before[d].to_numpy(np.int64), after[first])
             out |= {f"{d}_used": after, f"{d}_applied": applied, f"{d}_over": charge - applied}
-            last.append(int(after[-1]))
-        out["wall_clock_used"] = used[3] + np.cumsum(given["wall_clock"].to_numpy(np.int64))
-        self.used.update((*last, int(out["wall_clock_used"][-1])))
+            ends[d] = after[last]
+        out["wall_clock_used"] = summed("wall_clock")
+        ends["wall_clock"] = out["wall_clock_used"][last]
+        held = pd.concat([used[~used.index.isin(runs)], pd.DataFrame(ends, index=runs)])
+        self.used.update((held.index.tolist(), *(held[c].tolist() for c in (*CAPPED, "wall_clock"))))
         yield pd.DataFrame(out)
 
     def close(self) -> None:
         pass
 
 
-def clamp_usage(charges: DataFrame, budgets: DataFrame) -> DataFrame:
+def clamp_usage(charges: DataFrame, budgets: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Each charge with what is used after it, what of it was applied and what was overspent, in every capped dimension, as ledger.clamped gives them for a table.
 
     charges: run_id, task_id, seq, steps, tokens, cost, wall_clock; budgets: run_id and a cap of steps, tokens and cost, a table. Charges arrive in order of seq from batch to batch; within a
-    batch they are sorted. Wall clock is summed, not capped. State: four numbers for each run; a run's charges of one batch are one group, bounded by what a trigger takes.
+    batch they are sorted. Wall clock is summed, not capped. State: four numbers for each run, in shards by the run's hash; a shard's charges of one batch are one group,
+    bounded by what a trigger takes. A checkpoint goes with its number of shards.
     """
     millionths = lambda c: (F.round(F.col(c), 6) * 1_000_000).cast("bigint").alias(c)
     rows = charges.select("run_id", "task_id", "seq", "steps", "tokens", millionths("cost"), "wall_clock").join(budgets.select("run_id", "steps_cap", "tokens_cap", millionths("cost_cap")), "run_id")
-    found = rows.groupBy("run_id").transformWithStateInPandas(UsageClamp(), CHARGED, "Append", "None")
+    found = rows.select(shard("run_id", shards), "*").groupBy("shard").transformWithStateInPandas(UsageClamp(), CHARGED, "Append", "None")
     money = [(F.col(f"cost_{x}") / 1_000_000).cast("decimal(20,6)").alias(f"cost_{x}") for x in ("used", "applied", "over")]
     return found.select(*(c for c in found.columns if not c.startswith("cost_")), *money)
 

@@ -56,6 +56,26 @@ def test_tasks_share_a_shard(spark, shards):
     assert found == sorted([*plain_fold(rows, 90, 4000), (99, 4000, "pending", 0)])
 
 
+def test_runs_share_a_shard(spark):
+    rng = random.Random(5)
+    charges = [(rng.randrange(6), i, i, 1, rng.randrange(9), Decimal(rng.randrange(500)) / 100, i % 5) for i in range(90)]
+    caps = [(r, 8 + r, 40 + r, Decimal(20 + r)) for r in range(6)]
+    budgets, home = spark.createDataFrame(caps, "run_id long, steps_cap long, tokens_cap long, cost_cap decimal(20,6)"), streams.folder(spark, "clamp")
+    for part in (charges[:40], charges[40:45], charges[45:]):
+        df = spark.createDataFrame(part, "run_id long, task_id long, seq long, steps long, tokens long, cost decimal(18,8), wall_clock long")
+        df.write.mode("append").parquet(f"{home}/source")
+        with folds.rocks(spark):
+            query = folds.clamp_usage(spark.readStream.schema(df.schema).parquet(f"{home}/source"), budgets, shards=1).writeStream.format("parquet").option("path", f"{home}/rows").option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+    sums, expected = defaultdict(lambda: [0, 0, 0, 0]), []
+    for run, _, seq, *given in charges:
+        used, cap = sums[run], caps[run][1:]
+        now = [*(min(u + x, c) for u, x, c in zip(used, given, cap, strict=False)), used[3] + given[3]]
+        expected.append((run, seq, *(y for d in range(3) for y in (now[d], now[d] - used[d], given[d] - now[d] + used[d])), now[3]))
+        sums[run] = now
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{home}/rows").select("run_id", "seq", *(f"{d}_{x}" for d in folds.CAPPED for x in ("used", "applied", "over")), "wall_clock_used").collect()) == sorted(expected)
+
+
 def plain_fold(rows, lease, watermark):
     out = []
     for task in sorted({r[0] for r in rows}):
