@@ -122,3 +122,12 @@ EVIDENT = ["h1_evidence_failures", "h4_verdicts_on_evidence", "h5_gate_on_eviden
 @pytest.mark.parametrize("name", EVIDENT)
 def test_evidence_queries_equal_their_sql(spark, data, name):
     test_estate.test_query_equals_its_sql(spark, data, name)
+
+
+def test_only_contested_decisions_are_settled_in_rounds(spark):
+    make = lambda i, p, outcome, key, day: (i, p, outcome, "human", "x", None, "r", key, day)
+    decisions = [make("a", 1, "reject", None, 1), make("b", 1, "reject", "k", 2), make("c", 2, "approve", None, 3), make("d", 3, "approve", "k", 4), make("e", 4, "reject", "k", 5), make("f", 5, "reject", None, 6)]
+    ours = spark.createDataFrame([(1, 7, 1, 1), (2, 7, 9, 1), (3, 7, 8, 1), (4, 8, 1, 1), (5, 8, 2, 1)], "proposal_id long, asset_id long, version long, profile_version long")
+    states = spark.createDataFrame([(7, True, 1), (8, True, 1)], "asset_id long, active boolean, latest_version long")
+    kept = review.contested(spark.createDataFrame(decisions, DECISION), ours, states)
+    assert sorted(r.id for r in kept.collect()) == ["c", "e"]
