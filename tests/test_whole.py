@@ -131,3 +131,12 @@ def test_only_contested_decisions_are_settled_in_rounds(spark):
     states = spark.createDataFrame([(7, True, 1), (8, True, 1)], "asset_id long, active boolean, latest_version long")
     kept = review.contested(spark.createDataFrame(decisions, DECISION), ours, states)
     assert sorted(r.id for r in kept.collect()) == ["c", "e"]
+
+
+def test_only_sound_approvals_meet_by_asset(spark):
+    decisions = spark.createDataFrame([("a", 1, "reject", "human", "x", None, "r", None, None)], DECISION)
+    ours = spark.createDataFrame([(1, 7, 1, 1)], "proposal_id long, asset_id long, version long, profile_version long")
+    states = spark.createDataFrame([(7, True, 1)], "asset_id long, active boolean, latest_version long")
+    plan = review.judge(decisions, ours, states)._jdf.queryExecution().optimizedPlan().toString()
+    by_asset = [line for line in plan.splitlines() if "Window [" in line and ", [asset_id#" in line]
+    assert len(by_asset) == 1
