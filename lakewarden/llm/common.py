@@ -278,12 +278,18 @@ _remembered: dict[str, object] = {}
 def remember(key: str, make: Callable[[], T]) -> T:
     """What a Python worker keeps between tasks: one thing at a time, so that operators that follow each other do not add up."""
     if key not in _remembered:
-        _remembered.clear()
-        pa.default_memory_pool().release_unused()
+        forget()
         _remembered[key] = make()
     return _remembered[key]  # type: ignore[return-value]
 
 
+def forget() -> None:
+    """What operators that keep nothing begin a task with: what the one before has kept would stand beside their own."""
+    if _remembered:
+        _remembered.clear()
+        pa.default_memory_pool().release_unused()
+
+
 class WordCodes:
     """Numbers words as they come, by 64-bit keys of their bytes; a subclass fills what it keeps for new ones."""
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.llm.common import FOLDED, MIX, SPACES, Bytes, chunks, flags, keys_of_spans, mixed, stage_table
+from lakewarden.llm.common import FOLDED, MIX, SPACES, Bytes, chunks, flags, forget, keys_of_spans, mixed, stage_table
 
 BANDS, BINS_OF_BAND = 40, 6
 BINS = BANDS * BINS_OF_BAND
@@ -96,6 +96,7 @@ def sign(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        forget()
         for batch in (part for whole in batches for part in chunks(whole)):
             n, keys, bands = [], [], []
             for shingles in shingle_sets(Bytes.of(batch.column("text")), size):
@@ -111,6 +112,7 @@ def sets(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, shingles): the sorted hashes as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in (part for whole in batches for part in chunks(whole)):
             own = [s.tobytes() for s in shingle_sets(Bytes.of(batch.column("text")), size)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(own, pa.binary())], names=["doc_id", "shingles"])
@@ -130,6 +132,7 @@ def overlap(edges: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
     names = ["a", "b", "n_a", "n_b", "common", "linked"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             rows = []
             for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
@@ -153,6 +156,7 @@ def material(members: DataFrame, shingles: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for whole in batches:
             for low in range(0, whole.num_rows, 512):
                 batch = whole.slice(low, 512)
@@ -190,6 +194,7 @@ def sketch(rows: DataFrame) -> np.ndarray:
     """How often the shingles of a cell occur in their groups, up to 65535: sums of fixed size, of tasks, then of some tasks, then of all."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         total = np.zeros(CELLS, np.uint32)
         for batch in batches:
             for _, own in cells(batch):
@@ -197,6 +202,7 @@ def sketch(rows: DataFrame) -> np.ndarray:
         yield packed(total)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         total = np.zeros(CELLS, np.uint32)
         for batch in batches:
             for own in batch.column("cells"):
@@ -223,6 +229,7 @@ def first_few(rows: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for whole in batches:
             for low in range(0, whole.num_rows, 512):
                 batch = whole.slice(low, 512)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.llm.common import SPACES, Bytes, WordCodes, blocks, char_matrix, chunks, flags, keys_of_spans, remember, stage_table
+from lakewarden.llm.common import CHUNK_BYTES, SPACES, Bytes, WordCodes, blocks, char_matrix, chunks, flags, forget, keys_of_spans, remember, stage_table
 
 # The base patterns, in the order of their kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -48,6 +48,8 @@ STEP, FILES = sum(RESPECTS), 64
 #: Rows of the weights: respects of the word, of the one before, of the one after, then the file's features.
 ROWS = 3 * STEP + FILES
 WINDOW = 64
+#: Windows whose gradient is worked out at a time, so that what it takes beside the windows themselves does not grow with them.
+AT_ONCE = 256
 #: The respects of neighbours that count: shape as a whole, letters and marks.
 NEAR = [0, 1, 6]
 FEATURES = len(RESPECTS) + 2 * len(NEAR) + 1
@@ -285,12 +287,22 @@ class Windows:
     value in another alphabet in its place, beside harmless words of a secret's length."""
 
     def __init__(self, texts: list[str]) -> None:
+        rows, tags, low = [], [], 0
+        ends = np.cumsum([len(t) for t in texts])
+        while low < len(texts):  # some texts at a time
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + CHUNK_BYTES, "right")))
+            self._add(texts[low:high], rows, tags)
+            low = high
+        self.rows = np.array(rows, np.int32).reshape(-1, WINDOW, FEATURES)
+        self.tags = np.array(tags, np.int8).reshape(-1, WINDOW)
+
+    @staticmethod
+    def _add(texts: list[str], rows: list[np.ndarray], tags: list[np.ndarray]) -> None:
         part = Bytes.of(pa.array(texts, pa.large_string()))
         begins, ends, counts = part.words(PARTING)
         _, some, every = np.unique(keys_of_spans(part.data, begins, ends), return_index=True, return_inverse=True)
         raw, files, at = part.data.tobytes(), 3 * STEP + file_features(part), 0
         known = respects([raw[begins[i] : ends[i]].decode("utf-8", "replace") for i in some.tolist()])
-        rows, tags = [], []
         for text, size, file in zip(texts, counts.tolist(), files.tolist(), strict=True):
             numbers, own = known[every[at : at + size]], labels(text)
             at += size
@@ -318,17 +330,26 @@ class Windows:
                 row, k, then = np.full((WINDOW, FEATURES), -1, np.int32), len(RESPECTS), len(RESPECTS) + len(NEAR)
                 row[:n, :k], row[1:n, k:then], row[: n - 1, then:-1] = near_by, near_by[:-1, NEAR] + STEP, near_by[1:, NEAR] + 2 * STEP
                 row[:n, -1] = file
-                rows.append(np.where(row < 0, ROWS, row))
+                rows.append(np.where(row < 0, ROWS, row).astype(np.int32))
                 tags.append(np.pad(here, (0, WINDOW - n), constant_values=-1))
-        self.rows = np.array(rows, np.int32).reshape(-1, WINDOW, FEATURES)
-        self.tags = np.array(tags, np.int8).reshape(-1, WINDOW)
 
     def gradient(self, weights: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of the mean negative conditional log-likelihood, by forward-backward."""
-        padded, scores = np.vstack([weights, np.zeros((1, 3))]), np.zeros((*self.tags.shape, 3))
-        for k in range(self.rows.shape[2]):
-            scores += padded[self.rows[:, :, k]]
-        n, there = len(self.rows), self.tags >= 0
+        padded, n = np.vstack([weights, np.zeros((1, 3))]), len(self.rows)
+        of_weights, of_moves = np.zeros((ROWS, 3)), np.zeros((3, 3))
+        for low in range(0, n, AT_ONCE):
+            found = self._gradient(padded, moves, self.rows[low : low + AT_ONCE], self.tags[low : low + AT_ONCE])
+            of_weights += found[0]
+            of_moves += found[1]
+        return of_weights / n, of_moves / n
+
+    @staticmethod
+    def _gradient(padded: np.ndarray, moves: np.ndarray, rows: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sum over some windows."""
+        scores = np.zeros((*tags.shape, 3))
+        for k in range(rows.shape[2]):
+            scores += padded[rows[:, :, k]]
+        there = tags >= 0
         step = np.exp(moves)
         local = np.exp(scores - scores.max(axis=2, keepdims=True))
         forward, backward = np.zeros_like(local), np.ones_like(local)
@@ -345,11 +366,11 @@ class Windows:
         pairs = forward[:, :-1, :, None] * step * (local * backward)[:, 1:, None, :]
         pairs *= there[:, 1:, None, None] / pairs.sum(axis=(2, 3), keepdims=True)
         of_moves = pairs.sum(axis=(0, 1))
-        np.subtract.at(of_moves, (self.tags[:, :-1][there[:, 1:]], self.tags[:, 1:][there[:, 1:]]), 1)
+        np.subtract.at(of_moves, (tags[:, :-1][there[:, 1:]], tags[:, 1:][there[:, 1:]]), 1)
         at = np.nonzero(there)
-        expected[(*at, self.tags[at])] -= 1
-        out = np.stack([np.bincount(self.rows.ravel(), np.repeat(expected[:, :, k].ravel(), self.rows.shape[2]), ROWS + 1)[:ROWS] for k in range(3)], axis=1)
-        return out / n, of_moves / n
+        expected[(*at, tags[at])] -= 1
+        out = np.stack([np.bincount(rows.ravel(), np.repeat(expected[:, :, k].ravel(), rows.shape[2]), ROWS + 1)[:ROWS] for k in range(3)], axis=1)
+        return out, of_moves
 
     def descend(self, state: tuple, steps: int) -> list[np.ndarray]:
         values, squares = [x.copy() for x in state[:2]], [x.copy() for x in state[2:]]
@@ -383,6 +404,7 @@ def fit(docs: DataFrame, *, rounds: int = 2, steps: int = 20, max_docs: int = 40
     for _ in range(rounds):
 
         def local(batches: Iterator[pa.RecordBatch], now: tuple = state) -> Iterator[pa.RecordBatch]:
+            forget()
             windows = Windows([t for b in batches for t in b.column("text").to_pylist()])
             found = windows.descend(now, steps)
             yield pa.RecordBatch.from_arrays([pa.array([len(windows.rows)], pa.int64()), pa.array([np.concatenate([x.ravel() for x in found]).astype(np.float32).tobytes()], pa.binary())], names=["n", "state"])

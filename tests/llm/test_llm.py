@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -239,6 +240,31 @@ def test_field_finds_what_it_was_shown():
     assert secrets.beyond(spans, secrets.base_spans(text)) == spans  # the closing quote is not in a base span
 
 
+def test_memory_of_a_gradient_does_not_grow_with_its_windows():
+    rng = random.Random(4)
+    words = lambda n: " ".join(rng.choice(["the", "river", "ran", "över", "stones"]) for _ in range(n))
+    windows = secrets.Windows([f'{words(30)} token = "{rng.randbytes(16).hex()}" {words(30)}' for _ in range(600)])
+    weights, moves = state_of_field()[:2]
+    padded, found, peaks = np.vstack([weights, np.zeros((1, 3))]), [], []
+    for run in (lambda: windows.gradient(weights, moves), lambda: windows._gradient(padded, moves, windows.rows, windows.tags)):
+        tracemalloc.start()
+        found.append(run())
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert len(windows.rows) > 8 * secrets.AT_ONCE and 4 * peaks[0] < peaks[1]
+    assert all(np.allclose(a, b / len(windows.rows)) for a, b in zip(*found, strict=True))
+
+
+def test_operators_that_keep_nothing_free_what_others_kept():
+    class Given:
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    for task in (neardup.sign(Given(), 5), neardup.sets(Given(), 5)):
+        common.remember("something", dict)
+        assert list(task(iter([]))) == [] and not common._remembered
+
+
 def test_spans_that_base_spans_cover_are_left_out():
     base = [(0, 0, 10), (8, 2, 20), (30, 0, 40)]
     assert secrets.beyond([(2, 3, 18), (5, 3, 25), (30, 3, 40), (50, 3, 60)], base) == [(5, 3, 25), (50, 3, 60)]
