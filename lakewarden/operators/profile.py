@@ -5,6 +5,8 @@ Empty tables have counts and ratios of zero and no extrema; nulls are counted, n
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -35,9 +37,14 @@ def rendered(name: str, kind: T.DataType) -> Column:
     return F.to_json(column) if isinstance(kind, (T.MapType, T.VariantType)) else column.cast("string")
 
 
-def long_form(df: DataFrame, most: int | None = None) -> DataFrame:
-    """(ordinal, value): each non-null value of each column as text."""
-    pairs = [F.struct(F.lit(i).alias("ordinal"), rendered(f.name, f.dataType).alias("value")) for i, f in enumerate(df.schema, 1)]
+def may_be_long(kind: T.DataType) -> bool:
+    """Whether values of a type can have more than LONG characters as text; those of numbers, times and the like have not."""
+    return not isinstance(kind, T.AtomicType) or isinstance(kind, (T.StringType, T.BinaryType, T.VariantType))
+
+
+def long_form(df: DataFrame, which: Callable[[T.DataType], bool] = lambda kind: True) -> DataFrame:
+    """(ordinal, value): each non-null value of each column, or of those of some types, as text."""
+    pairs = [F.struct(F.lit(i).alias("ordinal"), rendered(f.name, f.dataType).alias("value")) for i, f in enumerate(df.schema, 1) if which(f.dataType)]
     return df.select(F.explode(F.array(*pairs)).alias("pair")).select("pair.*").filter("value is not null")
 
 
@@ -81,13 +88,11 @@ def frequencies(df: DataFrame) -> DataFrame:
 def top_values(df: DataFrame, counted: DataFrame, k: int) -> DataFrame:
     """(ordinal, value, count, place): the k most frequent values of each column, ties by value."""
     near = counted.withColumn("place", F.rank().over(Window.partitionBy("ordinal").orderBy(F.desc("count"), "short"))).filter(F.col("place") <= k).drop("place")
-    if any(isinstance(f.dataType, T.AtomicType) and not isinstance(f.dataType, (T.StringType, T.BinaryType)) for f in df.schema) and not any(
-        isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.MapType, T.VariantType)) for f in df.schema
-    ):
+    if not any(may_be_long(f.dataType) for f in df.schema):
         whole = near.select("ordinal", F.col("short").alias("value"), "count")
     else:
         wanted = near.filter("digest is not null").select("ordinal", "digest")
-        full = long_form(df).filter(F.length("value") > LONG).select("ordinal", "value", F.sha2("value", 256).alias("digest"))
+        full = long_form(df, may_be_long).filter(F.length("value") > LONG).select("ordinal", "value", F.sha2("value", 256).alias("digest"))
         full = full.join(wanted, ["ordinal", "digest"], "left_semi").groupBy("ordinal", "digest").agg(F.min("value").alias("value"))
         whole = near.join(full, ["ordinal", "digest"], "left").select("ordinal", F.coalesce("value", "short").alias("value"), "count")
     order = Window.partitionBy("ordinal").orderBy(F.desc("count"), "value")
@@ -118,11 +123,24 @@ def vote(types: Column) -> Column:
 def profile(df: DataFrame, k: int = 5) -> DataFrame:
     """One row for each column, in the table's order: its counts and ratios, masked extrema and top values, and its semantic type."""
     counted = frequencies(df)
-    return assembled(statistics(df), counted, top_values(df, counted, k))
+    return assembled(statistics(df), distinct_counts(counted), top_values(df, counted, k))
+
+
+@functools.cache
+def masked_value() -> Column:
+    """The mask of a column named value: some thousand calls build it, so it is built once."""
+    return text.mask(F.col("value"))
+
+
+def distinct_counts(counted: DataFrame, *keys: str) -> DataFrame:
+    """(keys, ordinal, count): distinct values of each column. Every value counts, but by all that top values need of it, so that both read the one exchange of the frequencies."""
+    there = F.col("count") > 0
+    there = there & (F.col("digest").isNull() | F.col("long").isNotNull()) if "long" in counted.columns else there
+    return counted.groupBy(*keys, "ordinal").agg(F.count_if(there).alias("count"))
 
 
-def assembled(stats: DataFrame, counted: DataFrame, tops: DataFrame) -> DataFrame:
-    """A profile from its parts: statistics, frequencies and top values.
+def assembled(stats: DataFrame, distinct: DataFrame, tops: DataFrame, *keys: str) -> DataFrame:
+    """A profile from its parts: statistics, distinct counts and top values; with keys, the profiles of all tables that these tell apart.
 
     A column of one or two distinct values publishes the constant mask alone, so that no mask tells them apart.
     """
@@ -131,14 +149,13 @@ def assembled(stats: DataFrame, counted: DataFrame, tops: DataFrame) -> DataFram
     no = lambda *names: [F.lit(None).cast({"count": "bigint", "row_count": "bigint", "present": "bigint"}.get(n, "string")).alias(n) for n in names]
     part = lambda place, value: F.struct(F.lit(place).alias("place"), value.alias("value"))
     ends = F.array(part(LOW, F.col("low")), part(HIGH, F.col("high")))
-    rows = stats.select("ordinal", *facts, F.explode(ends).alias("p")).select("ordinal", "p.place", "p.value", *no("count"), *facts)
-    distinct = counted.groupBy("ordinal").agg(F.count(F.lit(1)).alias("count"))
-    rows = rows.unionByName(distinct.select("ordinal", F.lit(DISTINCT).alias("place"), *no("value"), "count", *no(*facts)))
-    rows = rows.unionByName(tops.select("ordinal", "place", "value", "count", *no(*facts)))
-    masked = rows.withColumn("masked", text.mask(F.col("value")))
+    rows = stats.select(*keys, "ordinal", *facts, F.explode(ends).alias("p")).select(*keys, "ordinal", "p.place", "p.value", *no("count"), *facts)
+    rows = rows.unionByName(distinct.select(*keys, "ordinal", F.lit(DISTINCT).alias("place"), *no("value"), "count", *no(*facts)))
+    rows = rows.unionByName(tops.select(*keys, "ordinal", "place", "value", "count", *no(*facts)))
+    masked = rows.withColumn("masked", masked_value())
     only = lambda place, c: F.max(F.when(F.col("place") == place, F.col(c)))
     top = F.when(F.col("place") > 0, F.struct("place", F.col("masked").alias("value"), "count"))
-    rows = masked.groupBy("ordinal").agg(
+    rows = masked.groupBy(*keys, "ordinal").agg(
         *(F.max(c).alias(c) for c in facts), F.coalesce(only(DISTINCT, "count"), F.lit(0)).alias("distinct_count"),
         only(LOW, "masked").alias("low"), only(HIGH, "masked").alias("high"), F.array_sort(F.collect_list(top)).alias("tops"),  # k tops a column
     )
@@ -149,10 +166,10 @@ def assembled(stats: DataFrame, counted: DataFrame, tops: DataFrame) -> DataFram
     shown = F.transform("tops", lambda t: F.struct(F.when(low, hidden).otherwise(t["value"]).alias("value"), t["count"].alias("count")))
     nulls = F.col("row_count") - F.col("present")
     return rows.select(
-        "ordinal", "name", "data_type", "row_count", nulls.alias("null_count"), text.ratio(nulls, F.col("row_count")).alias("null_ratio"),
+        *keys, "ordinal", "name", "data_type", "row_count", nulls.alias("null_count"), text.ratio(nulls, F.col("row_count")).alias("null_ratio"),
         "distinct_count", text.ratio(F.col("distinct_count"), F.col("row_count")).alias("distinct_ratio"),
         extremum("low").alias("min_value"), extremum("high").alias("max_value"), shown.alias("top_values"), "semantic_type",
-    ).orderBy("ordinal")
+    ).orderBy(*keys, "ordinal")
 
 
 class State:
@@ -211,7 +228,7 @@ class State:
         whole = near.select("ordinal", F.coalesce("long", "short").alias("value"), "count")
         place = F.row_number().over(Window.partitionBy("ordinal").orderBy(F.desc("count"), "value"))
         tops = whole.withColumn("place", place).filter(F.col("place") <= k)
-        return assembled(described(self._extrema(self._read("extrema")), self.schema), values.drop("long"), tops)
+        return assembled(described(self._extrema(self._read("extrema")), self.schema), distinct_counts(values), tops)
 
 
 def flat(profiled: DataFrame) -> DataFrame:
@@ -231,8 +248,12 @@ def table_document(profiled: DataFrame) -> DataFrame:
 
 
 def profile_estate(tables: dict[str, DataFrame], k: int = 5) -> DataFrame:
-    """The profiles of many tables as one frame with a column table_name."""
-    return reduce(DataFrame.unionByName, (profile(df, k).withColumn("table_name", F.lit(name)) for name, df in sorted(tables.items())))
+    """The profiles of many tables as one frame with a column table_name; masks are built and run once for all of them."""
+    parts = []
+    for name, df in sorted(tables.items()):
+        counted = frequencies(df)
+        parts.append([part.withColumn("table_name", F.lit(name)) for part in (statistics(df), distinct_counts(counted), top_values(df, counted, k))])
+    return assembled(*(reduce(DataFrame.unionByName, same) for same in zip(*parts, strict=True)), "table_name")
 
 
 def digest(*columns: str) -> Column:

@@ -307,6 +307,30 @@ def test_profile_uses_one_frequency_exchange(spark, data):
     assert plan.count("hashpartitioning(ordinal") <= 2 and "Python" not in plan
 
 
+def frequency_exchanges(df):
+    """Exchanges of value counts that a plan runs, without those that it reads again."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    return sum("Exchange hashpartitioning(ordinal" in line and ", short" in line and "ReusedExchange" not in line for line in plan.splitlines())
+
+
+def test_profiles_count_values_once(spark, data, tmp_path):
+    events = spark.read.parquet(f"{data}/events.parquet")
+    assert frequency_exchanges(profile.profile(events)) == 1
+    state = profile.State(spark, str(tmp_path / "state"), events.schema)
+    state.add(events, 0)
+    assert frequency_exchanges(state.profile()) == 1
+
+
+def test_estate_has_the_profiles_of_its_tables(spark, data):
+    long = spark.createDataFrame([(1, "x" * 300 + "a"), (2, "x" * 300 + "a"), (3, "x" * 300 + "b"), (4, None)], "id int, text string")
+    tables = {"long": long, "empty": long.limit(0), "supplier": spark.read.parquet(f"{data}/supplier.parquet")}
+    whole = profile.profile_estate(tables)
+    for name, df in tables.items():
+        assert whole.filter(F.col("table_name") == name).drop("table_name").collect() == profile.profile(df).collect()
+    assert [profile.may_be_long(f.dataType) for f in long.schema] == [False, True]
+
+
 def rows_of(df):
     plain = lambda v: None if v is None or v is pd.NaT or v is pd.NA or v != v else round(float(v), 6) if isinstance(v, (int, float, Decimal)) and not isinstance(v, bool) else v.item() if hasattr(v, "item") and not isinstance(v, pd.Timestamp) else v
     frame = df[sorted(df.columns)]
