@@ -236,6 +236,26 @@ def test_nearest_equals_brute_force(spark, monkeypatch):
     assert dense.nearest(df, df.limit(0), 5).collect() == []
 
 
+@pytest.mark.parametrize(("wide", "broadcast", "first"), [(512, 4_000_000, 2), (3, 4_000_000, 2), (512, 0, 3)])
+def test_nearest_by_products_of_columns(spark, monkeypatch, wide, broadcast, first):
+    """Longer vectors than columns are made of, queries that are not broadcast, and scores that no answer is below: all give the same."""
+    for name, value in (("WIDE", wide), ("BROADCAST", broadcast), ("FIRST", first), ("BLOCK", 7)):
+        monkeypatch.setattr(dense, name, value)
+    rng = random.Random(5)
+    vectors = {i: [rng.choice([-1.0, 0.5, 2.0, 3.0]) for _ in range(rng.choice([3, 5]))] for i in range(120)}
+    df = spark.createDataFrame([*vectors.items()], "vec_id long, embedding array<double>")
+    ranked = dense.nearest(df, df.filter("vec_id % 4 = 0"), 3)
+    joins = [line for line in ranked._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
+    assert joins and (wide == 3 or not any("lambdafunction" in line for line in joins))
+    found = defaultdict(list)
+    for r in ranked.orderBy("query_id", "rank").collect():
+        found[r.query_id].append((r.doc_id, pytest.approx(r.score, abs=2e-6)))
+    cosine = lambda v, w: round(sum(x * y for x, y in zip(v, w, strict=True)) / math.sqrt(sum(x * x for x in v)) / math.sqrt(sum(y * y for y in w)), 6)
+    for q in range(0, 120, 4):
+        near = [(i, cosine(vectors[q], w)) for i, w in vectors.items() if i != q and len(w) == len(vectors[q])]
+        assert found[q] == sorted(near, key=lambda x: (-x[1], x[0]))[:3]
+
+
 # Nested schemas
 
 FIELD = "model string, field string, type string, required boolean, vals array<string>, ref string"
